@@ -74,8 +74,9 @@ def read_panel(spark: SparkSession, path: str, meta=("node",)) -> DataFrame:
     """Wide CSV panel (meta columns + one column per day) to long (node, ds, value)."""
     wide = spark.read.csv(path, header=True)
     days = [c for c in wide.columns if c not in meta]
-    cells = F.array(*[F.struct(F.lit(d).cast("date").alias("ds"), F.col(f"`{d}`").try_cast("double").alias("value")) for d in days])
-    return wide.select(*meta, F.explode(cells).alias("x")).select(*meta, "x.ds", "x.value")
+    cells = F.expr("map_from_arrays(split('" + ",".join(days) + "', ','), array(" + ",".join(f"`{d}`" for d in days) + "))")
+    return wide.select(*meta, F.explode(cells).alias("d", "v")).select(
+        *meta, F.col("d").cast("date").alias("ds"), F.col("v").try_cast("double").alias("value"))
 
 
 def panel_wide(panel: DataFrame, labels: list[str], column: str = "ds", meta=("node",)) -> DataFrame:
@@ -96,7 +97,7 @@ ARCHIVE_FIELDS = {"event_id": 0, "day": 1, "country_a": 7, "country_b": 17, "ton
 def read_archive_raw(spark: SparkSession, path: str) -> DataFrame:
     """58 tab-separated text columns; lines of another width are skipped."""
     schema = ", ".join(f"c{i} string" for i in range(ARCHIVE_WIDTH))
-    return spark.read.schema(schema).csv(path, sep="\t", mode="DROPMALFORMED", quote="")
+    return spark.read.schema(schema).option("columnPruning", False).csv(path, sep="\t", mode="DROPMALFORMED", quote="")
 
 
 def read_event_archive(spark: SparkSession, path: str, countries: list[str]) -> DataFrame:
