@@ -85,8 +85,16 @@ def panel_wide(panel: DataFrame, labels: list[str], column: str = "ds", meta=("n
 
 
 def write_panel_wide(panel: DataFrame, path: str, meta=("node",)) -> None:
+    """Wide CSV: meta columns, then one column per day in order.
+
+    The day columns live in one array cell until the line is written, so the plan does not grow
+    with the calendar; the day list (the header) is the only thing read back to the driver."""
     days = [r[0] for r in panel.select(F.date_format("ds", "yyyy-MM-dd").alias("d")).distinct().orderBy("d").toLocalIterator()]
-    panel_wide(panel.withColumn("ds", F.date_format("ds", "yyyy-MM-dd")), days, meta=meta).write.csv(path, header=True)
+    cells = F.map_from_entries(F.collect_list(F.struct(F.date_format("ds", "yyyy-MM-dd"), F.col("value").cast("string"))))
+    rows = panel.groupBy(*meta).agg(cells.alias("m")).orderBy(*meta)
+    order = F.split(F.lit(",".join(days)), ",")
+    line = F.concat_ws(",", *meta, F.transform(order, lambda d: F.coalesce(F.try_element_at("m", d), F.lit(""))))
+    rows.select(line.alias(",".join([*meta, *days]))).write.csv(path, header=True, sep="\x01", escapeQuotes=False)
 
 
 # Positions used in the 58-column event archive (0-based).
