@@ -211,7 +211,7 @@ def market_joined(s, d):
 
 
 _MKT = "mk AS (SELECT ds, max(value) FILTER (name='A') AS A, max(value) FILTER (name='N') AS N FROM external GROUP BY 1), joined AS (SELECT idx.* EXCLUDE (n), mk.A, mk.N FROM idx LEFT JOIN mk USING (ds))"
-family("w21_cross_series_lags", _ext, _ext, lambda s, d: ft.cross_lags(market_joined(s, d), SW, ["A", "N"]), 2, "joined", b.EXTERNAL + ", " + _MKT)
+family("w21_cross_series_lags", _ext, _ext, lambda s, d: ft.cross_lags(market_joined(s, d), SW, ["A", "N"]), 6, "joined", b.EXTERNAL + ", " + _MKT)
 
 _int = {"lag_1_x_day_of_week": f"{_lag(1)} * (isodow(ds) - 1)", "lag_5_x_day_of_week": f"{_lag(5)} * (isodow(ds) - 1)", "rolling_mean_5_x_month": f"{_full('avg(y)', 5)} * month(ds)",
         "rolling_mean_30_x_is_weekend": f"{_full('avg(y)', 30)} * CAST(isodow(ds) > 5 AS INT)"}
