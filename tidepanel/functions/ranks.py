@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 64
+def slice_count(df: DataFrame) -> int:
+    """As many slices per group as the session has shuffle partitions, within reason."""
+    return max(16, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _cuts(df: DataFrame, keys: list[str], value: str, slices: int) -> DataFrame:
-    probs = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(1000))).alias("_cuts"))
+    probs = F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: i / slices)
+    return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(max(1000, 20 * slices)))).alias("_cuts"))
 
 
 def _attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
@@ -24,8 +26,9 @@ def _attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(small, keys) if keys else df.join(F.broadcast(small))
 
 
-def sliced_counts(df: DataFrame, keys: list[str], value: str, slices: int = SLICES) -> DataFrame:
+def sliced_counts(df: DataFrame, keys: list[str], value: str, slices: int | None = None) -> DataFrame:
     """(keys, value, n, before, total): how often a value occurs and how many rows lie below it."""
+    slices = slices or slice_count(df)
     vals = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
     cut = _attach(vals, _cuts(vals, keys, value, slices), keys).withColumn(
         "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
@@ -40,13 +43,13 @@ def sliced_counts(df: DataFrame, keys: list[str], value: str, slices: int = SLIC
                .drop("_slice", "_off"))
 
 
-def average_ranks(df: DataFrame, keys: list[str], value: str, slices: int = SLICES) -> DataFrame:
+def average_ranks(df: DataFrame, keys: list[str], value: str, slices: int | None = None) -> DataFrame:
     """(keys, value, n, rank): rank of each distinct value, ties averaged."""
     return sliced_counts(df, keys, value, slices).select(
         *keys, value, "n", "total", (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], slices: int = SLICES) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], slices: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles per key, one column per named probability."""
     c = sliced_counts(df, keys, value, slices)
 
@@ -62,8 +65,9 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return got.select(*keys, *[(F.col(f"_{n}_lo") + F.col(f"_{n}_w") * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))).alias(n) for n in probs])
 
 
-def global_row_number(df: DataFrame, order: str, tie: str, name: str = "rn", slices: int = SLICES) -> DataFrame:
+def global_row_number(df: DataFrame, order: str, tie: str, name: str = "rn", slices: int | None = None) -> DataFrame:
     """1..N over the whole table in (order, tie) order without a single-task window."""
+    slices = slices or slice_count(df)
     kind = dict(df.dtypes)[order]
     key = F.col(order).cast("timestamp") if kind.startswith(("timestamp", "date")) else F.col(order)
     d = df.withColumn("_k", key.cast("double"))

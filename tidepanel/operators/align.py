@@ -13,8 +13,10 @@ def ffill(col: Column, keys, order="ds", limit: int | None = None) -> Column:
     return F.last(col, ignorenulls=True).over(W_UP(keys, order).rowsBetween(lo, 0))
 
 
-def bfill(col: Column, keys, order="ds") -> Column:
-    return F.first(col, ignorenulls=True).over(W_UP(keys, order).rowsBetween(0, Window.unboundedFollowing))
+def head_value(col: Column, keys, order="ds") -> Column:
+    """First known value of a series.  After a forward fill only leading rows are empty, so this is their
+    backward fill; one value per series costs O(n) where a frame to the end would cost O(n^2)."""
+    return F.first(col, ignorenulls=True).over(W_UP(keys, order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
 
 
 def on_dates(long_df: DataFrame, dates: DataFrame, names: list[str]) -> DataFrame:
@@ -30,7 +32,7 @@ def merge_external(dates: DataFrame, external: DataFrame, names: list[str], how:
             "inner": dates.select("ds").distinct().join(ext_days, "ds", "left_semi"),
             "outer": dates.select("ds").union(ext_days).distinct()}[how]
     g = on_dates(external, keep, names)
-    filled = g.withColumn("value", F.coalesce(ffill(F.col("value"), ["name"]), bfill(F.col("value"), ["name"])))
+    filled = g.withColumn("value", F.coalesce(ffill(F.col("value"), ["name"]), head_value(F.col("value"), ["name"])))
     med = F.percentile("value", F.lit(0.5)).over(Window.partitionBy("name"))
     return filled.withColumn("value", F.coalesce("value", med))
 
@@ -43,7 +45,7 @@ def align_asof(external: DataFrame, dates: DataFrame, names: list[str]) -> DataF
     w = Window.partitionBy("name").orderBy("ds", "target")
     back = F.last("value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     got = both.withColumn("value", back).filter("target = 1").drop("target")
-    return got.withColumn("value", F.coalesce("value", bfill(F.col("value"), ["name"])))
+    return got.withColumn("value", F.coalesce("value", head_value(F.col("value"), ["name"])))
 
 
 def roll_map(calendar: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def combine_sources(*sources: DataFrame) -> DataFrame:
         t = s.select("name", "ds", "value", F.lit(p).alias("_p"))
         tagged = t if tagged is None else tagged.unionByName(t)
     owner = tagged.groupBy("name").agg(F.max("_p").alias("_p"))
-    return tagged.join(F.broadcast(owner), ["name", "_p"]).drop("_p")
+    return tagged.join(owner, ["name", "_p"]).drop("_p")
 
 
 def lag_pairs(df: DataFrame, lags: list[int], keys=("series",), value: str = "y") -> DataFrame:

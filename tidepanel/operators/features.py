@@ -2,6 +2,8 @@
 
 All windows share one partitioning and order (series, day), so a feature build is one shuffle and one
 sort however many columns are asked for; columns that are not selected are pruned from the windows.
+Features are given as Spark SQL text per name: a pool of a hundred windows is then a few calls to the
+session instead of thousands.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import calendar as cal
 
-EPS = 1e-8
+EPS = "1e-8D"
 LAGS = (*range(1, 16), 20, 25, 30)
 ROLL = (5, 10, 15, 20, 25, 30, 60, 120)
 
 
 class SeriesWindow:
-    """Frames over one series in day order."""
+    """Frames over one series in day order, as Columns and (``sql_``) as text."""
 
     def __init__(self, keys=("series",), order: str = "ds", value: str = "y"):
         self.keys, self.order, self.value = list(keys), order, value
@@ -39,229 +41,221 @@ class SeriesWindow:
     def lag(self, k: int, col=None) -> Column:
         return F.lag(col if col is not None else self.value, k).over(self.w)
 
+    def sql_over(self, frame: str = "", extra: str = "") -> str:
+        return f"OVER (PARTITION BY {', '.join(self.keys)}{extra} ORDER BY {self.order} {frame})"
 
-def _full(expr: Column, col, frame, n: int) -> Column:
-    return F.when(F.count(col).over(frame) == n, expr)
+    def sql_back(self, agg: str, n: int) -> str:
+        return f"{agg} {self.sql_over(f'ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING')}"
 
+    def sql_now(self, agg: str, n: int) -> str:
+        return f"{agg} {self.sql_over(f'ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW')}"
 
-def _safe(c: Column) -> Column:
-    return F.abs(F.coalesce(c, F.lit(0.0))) + EPS
+    def sql_lag(self, k: int, col: str | None = None) -> str:
+        return f"lag({col or self.value}, {k}) {self.sql_over()}"
+
+    def sql_full(self, agg: str, n: int, col: str | None = None) -> str:
+        """The aggregate over the n rows before, only where all n are known."""
+        return f"CASE WHEN {self.sql_back(f'count({col or self.value})', n)} = {n} THEN {self.sql_back(agg, n)} END"
+
+
+def add(df: DataFrame, cols: dict[str, str]) -> DataFrame:
+    return df.selectExpr("*", *[f"{e} AS `{n}`" for n, e in cols.items()])
+
+
+def _safe(e: str) -> str:
+    return f"(abs(coalesce({e}, 0D)) + {EPS})"
 
 
 def with_index(df: DataFrame, sw: SeriesWindow) -> DataFrame:
     """Row index from 0 and series length."""
-    return df.withColumn("_i", F.row_number().over(sw.w) - 1).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*sw.keys)))
+    return add(df, {"_i": f"row_number() {sw.sql_over()} - 1", "_n": f"count(1) OVER (PARTITION BY {', '.join(sw.keys)})"})
 
 
-def lag_features(sw, lags=LAGS) -> dict[str, Column]:
-    return {f"lag_{k}": sw.lag(k) for k in lags}
+def lag_features(sw, lags=LAGS) -> dict[str, str]:
+    return {f"lag_{k}": sw.sql_lag(k) for k in lags}
 
 
-def rolling_features(sw, windows=ROLL, min_full: bool = True) -> dict[str, Column]:
-    out = {}
-    for n in windows:
-        f = sw.back(n)
-        for name, agg in (("mean", F.avg), ("std", F.stddev_samp), ("min", F.min), ("max", F.max)):
-            out[f"rolling_{name}_{n}"] = _full(agg(sw.value).over(f), sw.value, f, n)
-    return out
+def rolling_features(sw, windows=ROLL) -> dict[str, str]:
+    return {f"rolling_{name}_{n}": sw.sql_full(f"{agg}({sw.value})", n) for n in windows
+            for name, agg in (("mean", "avg"), ("std", "stddev_samp"), ("min", "min"), ("max", "max"))}
 
 
-def quantile_features(sw, windows=(7, 30)) -> dict[str, Column]:
-    out = {}
+def quantile_features(sw, windows=(7, 30)) -> dict[str, str]:
+    out, v = {}, sw.value
     for n in windows:
-        f = sw.back(n)
-        p = lambda q: F.percentile(sw.value, F.lit(q)).over(f)
-        out[f"rolling_median_{n}"] = _full(p(0.5), sw.value, f, n)
-        out[f"rolling_q25_{n}"], out[f"rolling_q75_{n}"] = p(0.25), p(0.75)
-        out[f"rolling_range_{n}"] = _full(F.max(sw.value).over(f) - F.min(sw.value).over(f), sw.value, f, n)
+        out[f"rolling_median_{n}"] = sw.sql_full(f"percentile({v}, 0.5D)", n)
+        out[f"rolling_q25_{n}"], out[f"rolling_q75_{n}"] = sw.sql_back(f"percentile({v}, 0.25D)", n), sw.sql_back(f"percentile({v}, 0.75D)", n)
+        out[f"rolling_range_{n}"] = f"{sw.sql_full(f'max({v})', n)} - {sw.sql_back(f'min({v})', n)}"
     return out
 
 
-def shape_features(sw, windows=(7, 30)) -> dict[str, Column]:
+def shape_features(sw, windows=(7, 30)) -> dict[str, str]:
     """Bias-corrected skewness and excess kurtosis of full windows."""
     out = {}
     for n in windows:
-        f = sw.back(n)
-        g1, g2 = F.skewness(sw.value).over(f), F.kurtosis(sw.value).over(f)
-        out[f"rolling_skew_{n}"] = _full(g1 * math.sqrt(n * (n - 1)) / (n - 2), sw.value, f, n)
-        out[f"rolling_kurt_{n}"] = _full(((n + 1) * g2 + 6) * ((n - 1) / ((n - 2) * (n - 3))), sw.value, f, n)
+        out[f"rolling_skew_{n}"] = f"{sw.sql_full(f'skewness({sw.value})', n)} * {math.sqrt(n * (n - 1)) / (n - 2)!r}D"
+        out[f"rolling_kurt_{n}"] = f"({n + 1} * {sw.sql_full(f'kurtosis({sw.value})', n)} + 6) * {(n - 1) / ((n - 2) * (n - 3))!r}D"
     return out
 
 
-def change_features(sw, periods=(1, 5, 30)) -> dict[str, Column]:
+def _change(sw, p: int) -> str:
+    return f"({sw.sql_lag(1)} - {sw.sql_lag(p + 1)})"
+
+
+def change_features(sw, periods=(1, 5, 30)) -> dict[str, str]:
     out = {}
     for p in periods:
-        d = sw.lag(1) - sw.lag(p + 1)
-        out[f"value_diff_{p}"] = d
-        out[f"value_pct_change_{p}"] = d / _safe(sw.lag(p + 1))
+        out[f"value_diff_{p}"] = _change(sw, p)
+        out[f"value_pct_change_{p}"] = f"{_change(sw, p)} / {_safe(sw.sql_lag(p + 1))}"
     return out
 
 
-def momentum_features(sw, moms=(7, 30, 60), rocs=(7, 14, 30, 60, 90)) -> dict[str, Column]:
-    out = {f"momentum_{p}": sw.lag(1) - sw.lag(p + 1) for p in moms}
-    out.update({f"roc_{p}": (sw.lag(1) - sw.lag(p + 1)) / _safe(sw.lag(p + 1)) for p in rocs})
+def momentum_features(sw, moms=(7, 30, 60), rocs=(7, 14, 30, 60, 90)) -> dict[str, str]:
+    out = {f"momentum_{p}": _change(sw, p) for p in moms}
+    out.update({f"roc_{p}": f"{_change(sw, p)} / {_safe(sw.sql_lag(p + 1))}" for p in rocs})
     return out
 
 
-def volatility_features(sw, windows=(5, 15, 30)) -> dict[str, Column]:
-    out = {}
-    for n in windows:
-        f = sw.back(n)
-        out[f"volatility_{n}"] = _full(F.stddev_samp(sw.value).over(f) / _safe(F.avg(sw.value).over(f)), sw.value, f, n)
-    return out
+def volatility_features(sw, windows=(5, 15, 30)) -> dict[str, str]:
+    return {f"volatility_{n}": f"{sw.sql_full(f'stddev_samp({sw.value})', n)} / {_safe(sw.sql_back(f'avg({sw.value})', n))}" for n in windows}
 
 
-def regime_features(sw, median_window: int = 60) -> dict[str, Column]:
+def regime_features(sw, median_window: int = 60) -> dict[str, str]:
     """Needs the volatility columns."""
-    prev = F.lag("volatility_15", 1).over(sw.w)
-    med = F.percentile("volatility_15", F.lit(0.5)).over(sw.back(median_window))
-    return {"volatility_ratio_5_30": F.col("volatility_5") / (F.col("volatility_30") + EPS),
-            "is_high_volatility_regime": F.coalesce((prev > med).cast("double"), F.lit(0.0))}
+    return {"volatility_ratio_5_30": f"volatility_5 / (volatility_30 + {EPS})",
+            "is_high_volatility_regime": f"CAST(coalesce({sw.sql_lag(1, 'volatility_15')} > {sw.sql_back('percentile(volatility_15, 0.5D)', median_window)}, false) AS DOUBLE)"}
 
 
-def position_features(sw, windows=(30, 60)) -> dict[str, Column]:
+def position_features(sw, windows=(30, 60)) -> dict[str, str]:
     out = {}
     for n in windows:
-        lo, hi = F.min(sw.value).over(sw.back(n)), F.max(sw.value).over(sw.back(n))
-        out[f"price_position_{n}"] = (sw.lag(1) - lo) / (hi - lo + EPS)
+        lo, hi = sw.sql_back(f"min({sw.value})", n), sw.sql_back(f"max({sw.value})", n)
+        out[f"price_position_{n}"] = f"({sw.sql_lag(1)} - {lo}) / ({hi} - {lo} + {EPS})"
     return out
 
 
 def with_changes(df: DataFrame, sw: SeriesWindow) -> DataFrame:
     """Helper columns: last known change and its ratio to the level before."""
-    return df.withColumn("_ch", sw.lag(1) - sw.lag(2)).withColumn("_ret", F.col("_ch") / _safe(sw.lag(2)))
+    return add(df, {"_ch": _change(sw, 1), "_ret": f"{_change(sw, 1)} / {_safe(sw.sql_lag(2))}"})
 
 
-def asymmetric_features(sw, windows=(15, 30)) -> dict[str, Column]:
+def asymmetric_features(sw, windows=(15, 30)) -> dict[str, str]:
     out = {}
     for n in windows:
-        f = sw.to_now(n)
-        dn = F.stddev_samp(F.least(F.col("_ret"), F.lit(0.0) + F.col("_ret") * 0)).over(f)
-        up = F.stddev_samp(F.greatest(F.col("_ret"), F.lit(0.0) + F.col("_ret") * 0)).over(f)
-        out[f"downside_volatility_{n}"], out[f"upside_volatility_{n}"], out[f"volatility_skew_{n}"] = dn, up, dn / (up + EPS)
+        dn = sw.sql_now("stddev_samp(CASE WHEN _ret > 0 THEN 0D ELSE _ret END)", n)
+        up = sw.sql_now("stddev_samp(CASE WHEN _ret < 0 THEN 0D ELSE _ret END)", n)
+        out[f"downside_volatility_{n}"], out[f"upside_volatility_{n}"], out[f"volatility_skew_{n}"] = dn, up, f"{dn} / ({up} + {EPS})"
     return out
 
 
-def rsi_features(sw, windows=(15,)) -> dict[str, Column]:
-    gain = F.coalesce(F.greatest(F.col("_ch"), F.lit(0.0)), F.lit(0.0))
-    loss = F.coalesce(F.greatest(-F.col("_ch"), F.lit(0.0)), F.lit(0.0))
-    gain, loss = F.when(F.col("_ch").isNotNull(), gain), F.when(F.col("_ch").isNotNull(), loss)
-    return {f"rsi_{n}": 100 - 100 / (1 + F.avg(gain).over(sw.to_now(n)) / (F.avg(loss).over(sw.to_now(n)) + EPS)) for n in windows}
+def rsi_features(sw, windows=(15,)) -> dict[str, str]:
+    gain, loss = "avg(CASE WHEN _ch > 0 THEN _ch WHEN _ch <= 0 THEN 0D END)", "avg(CASE WHEN _ch < 0 THEN -_ch WHEN _ch >= 0 THEN 0D END)"
+    return {f"rsi_{n}": f"100 - 100 / (1 + {sw.sql_now(gain, n)} / ({sw.sql_now(loss, n)} + {EPS}))" for n in windows}
 
 
-def bollinger_features(sw, n: int = 20) -> dict[str, Column]:
-    f = sw.back(n)
-    m, s = _full(F.avg(sw.value).over(f), sw.value, f, n), _full(F.stddev_samp(sw.value).over(f), sw.value, f, n)
-    up, lo = m + 2 * s, m - 2 * s
-    return {f"bb_upper_{n}": up, f"bb_lower_{n}": lo, f"bb_middle_{n}": m, f"bb_width_{n}": F.try_divide(up - lo, m + EPS),
-            f"bb_percent_{n}": (sw.lag(1) - lo) / (up - lo + EPS)}
+def bollinger_features(sw, n: int = 20) -> dict[str, str]:
+    m, s = sw.sql_full(f"avg({sw.value})", n), sw.sql_full(f"stddev_samp({sw.value})", n)
+    up, lo = f"({m} + 2 * {s})", f"({m} - 2 * {s})"
+    return {f"bb_upper_{n}": up, f"bb_lower_{n}": lo, f"bb_middle_{n}": m, f"bb_width_{n}": f"try_divide({up} - {lo}, {m} + {EPS})",
+            f"bb_percent_{n}": f"({sw.sql_lag(1)} - {lo}) / ({up} - {lo} + {EPS})"}
 
 
-def zscore_features(sw, windows=(15, 30)) -> dict[str, Column]:
+def zscore_features(sw, windows=(15, 30)) -> dict[str, str]:
     out = {}
     for n in windows:
-        f = sw.back(n)
-        z = (sw.lag(1) - F.avg(sw.value).over(f)) / (F.stddev_samp(sw.value).over(f) + EPS)
+        z = f"(({sw.sql_lag(1)} - {sw.sql_back(f'avg({sw.value})', n)}) / ({sw.sql_back(f'stddev_samp({sw.value})', n)} + {EPS}))"
         out[f"z_score_{n}"] = z
-        out[f"is_extreme_high_{n}"] = F.coalesce((z > 2).cast("double"), F.lit(0.0))
-        out[f"is_extreme_low_{n}"] = F.coalesce((z < -2).cast("double"), F.lit(0.0))
+        out[f"is_extreme_high_{n}"], out[f"is_extreme_low_{n}"] = f"CAST(coalesce({z} > 2, false) AS DOUBLE)", f"CAST(coalesce({z} < -2, false) AS DOUBLE)"
     return out
 
 
-def jump_features(sw, n: int = 15) -> dict[str, Column]:
-    f = sw.to_now(n)
-    typical = F.avg(F.abs("_ch")).over(f)
-    sd = _full(F.stddev_samp("_ch").over(f), F.col("_ch"), f, n)
-    return {"jump_size": F.abs("_ch") / (typical + EPS),
-            "is_jump": F.coalesce((F.abs("_ch") > typical + 2 * sd).cast("double"), F.lit(0.0))}
+def jump_features(sw, n: int = 15) -> dict[str, str]:
+    typical = sw.sql_now("avg(abs(_ch))", n)
+    sd = f"CASE WHEN {sw.sql_now('count(_ch)', n)} = {n} THEN {sw.sql_now('stddev_samp(_ch)', n)} END"
+    return {"jump_size": f"abs(_ch) / ({typical} + {EPS})", "is_jump": f"CAST(coalesce(abs(_ch) > {typical} + 2 * {sd}, false) AS DOUBLE)"}
 
 
-def since_jump(sw, cap: float = 120.0) -> Column:
+def since_jump(sw, cap: float = 120.0) -> dict[str, str]:
     """Needs is_jump and the row index."""
-    last = F.last(F.when(F.col("is_jump") == 1, F.col("_i")), ignorenulls=True).over(sw.w.rowsBetween(Window.unboundedPreceding, -1))
-    return F.least((F.col("_i") - F.coalesce(last, F.lit(0))).cast("double"), F.lit(cap))
+    last = f"max(CASE WHEN is_jump = 1 THEN _i END) {sw.sql_over('ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING')}"
+    return {"days_since_jump": f"least(CAST(_i - coalesce({last}, 0) AS DOUBLE), {cap!r}D)"}
 
 
-def change_limit_features(sw, n: int = 15) -> dict[str, Column]:
-    hi, lo = F.max("_ch").over(sw.to_now(n)), F.min("_ch").over(sw.to_now(n))
-    return {f"max_change_{n}d": hi, f"min_change_{n}d": lo, f"change_range_{n}d": hi - lo}
+def change_limit_features(sw, n: int = 15) -> dict[str, str]:
+    hi, lo = sw.sql_now("max(_ch)", n), sw.sql_now("min(_ch)", n)
+    return {f"max_change_{n}d": hi, f"min_change_{n}d": lo, f"change_range_{n}d": f"{hi} - {lo}"}
 
 
 def run_lengths(df: DataFrame, sw: SeriesWindow, flag: str, name: str) -> DataFrame:
     """Running count of consecutive rows with the flag set."""
-    turn = F.coalesce((F.col(flag) != F.lag(flag, 1).over(sw.w)).cast("int"), F.lit(1))
-    d = df.withColumn("_t", turn).withColumn("_g", F.sum("_t").over(sw.w))
-    run = Window.partitionBy(*sw.keys, "_g").orderBy(sw.order)
-    return d.withColumn(name, F.sum(flag).over(run)).drop("_t", "_g")
+    d = add(df, {"_t": f"coalesce(CAST({flag} <> {sw.sql_lag(1, flag)} AS INT), 1)"})
+    d = add(d, {"_g": f"sum(_t) {sw.sql_over()}"})
+    return add(d, {name: f"sum({flag}) {sw.sql_over(extra=', _g')}"}).drop("_t", "_g")
 
 
 def autocorr_features(df: DataFrame, sw: SeriesWindow, lags=(7, 14, 30), n: int = 60) -> DataFrame:
     """Autocorrelation inside the last n rows; 0 for a constant window."""
+    d = add(df, {x: e for k in lags for x, e in ((f"_p{k}", sw.sql_lag(k)), (f"_q{k}", f"CASE WHEN {sw.sql_lag(k)} IS NOT NULL THEN {sw.value} END"))})
+    cols = {}
     for k in lags:
-        df = df.withColumn(f"_p{k}", sw.lag(k))
-    for k in lags:
-        pairs, frame = sw.w.rowsBetween(-n + k, -1), sw.back(n)
-        y, p = F.when(F.col(f"_p{k}").isNotNull(), F.col(sw.value)), F.col(f"_p{k}")
-        c = F.try_divide(F.covar_samp(y, p).over(pairs), F.stddev_samp(y).over(pairs) * F.stddev_samp(p).over(pairs))
-        df = df.withColumn(f"autocorr_{k}", F.when(F.count(sw.value).over(frame) > k, F.when(F.stddev_samp(sw.value).over(frame) > 0, c).otherwise(0.0)))
-    return df.drop(*[f"_p{k}" for k in lags])
+        over = sw.sql_over(f"ROWS BETWEEN {n - k} PRECEDING AND 1 PRECEDING")
+        c = f"try_divide(covar_samp(_q{k}, _p{k}) {over}, stddev_samp(_q{k}) {over} * stddev_samp(_p{k}) {over})"
+        known, spread = sw.sql_back(f"count({sw.value})", n), sw.sql_back(f"stddev_samp({sw.value})", n)
+        cols[f"autocorr_{k}"] = f"CASE WHEN {known} > {k} THEN CASE WHEN {spread} > 0 THEN {c} ELSE 0D END END"
+    return add(d, cols).drop(*[x for k in lags for x in (f"_p{k}", f"_q{k}")])
 
 
-def distance_features(sw, windows=(7, 30, 60)) -> dict[str, Column]:
-    out = {}
-    for n in windows:
-        f = sw.back(n)
-        out[f"distance_from_mean_{n}"] = _full((sw.lag(1) - F.avg(sw.value).over(f)) / (F.stddev_samp(sw.value).over(f) + EPS), sw.value, f, n)
-    return out
+def distance_features(sw, windows=(7, 30, 60)) -> dict[str, str]:
+    v = sw.value
+    return {f"distance_from_mean_{n}": f"({sw.sql_lag(1)} - {sw.sql_full(f'avg({v})', n)}) / ({sw.sql_back(f'stddev_samp({v})', n)} + {EPS})" for n in windows}
 
 
 # --- exponentially weighted sums ---------------------------------------------------------------------
 
-def ewm_sum(df: DataFrame, sw: SeriesWindow, x: str, j: Column, span: float, name: str) -> DataFrame:
-    """S_t = sum of w^(t-k) x_k with w = 1 - 2/(span+1); ``j`` counts the non-null x from 0.
+def ewm_sums(df: DataFrame, sw: SeriesWindow, specs: dict[str, tuple[str, str, float]]) -> DataFrame:
+    """name -> S_t = sum of w^(t-k) x_k with w = 1 - 2/(span+1), for (x, j, span) where j counts the
+    non-null x from 0.
 
     Weights are rebased every 20 spans, so the powers stay finite; what lies more than a block back
     weighs less than 1e-17 of the sum.  Two running sums replace a per-row fold over the history."""
-    w = 1 - 2.0 / (span + 1)
-    size = int(20 * span)
-    d = df.withColumn("_j", j).withColumn("_b", F.floor(F.col("_j") / size)).withColumn("_r", F.col("_j") - F.col("_b") * size)
-    block = Window.partitionBy(*sw.keys, "_b").orderBy(sw.order).rowsBetween(Window.unboundedPreceding, 0)
-    d = d.withColumn("_c", F.pow(F.lit(w), F.col("_r")) * F.sum(F.col(x) * F.pow(F.lit(w), -F.col("_r"))).over(block))
-    carry = F.last(F.when(F.col("_r") == size - 1, F.col("_c")), ignorenulls=True).over(sw.w.rowsBetween(Window.unboundedPreceding, -1))
-    s = F.col("_c") + F.pow(F.lit(w), F.col("_r") + 1) * F.coalesce(carry, F.lit(0.0))
-    return d.withColumn(name, F.when(F.col("_j") >= 0, s)).drop("_j", "_b", "_r", "_c")
+    pos, cur, fin = {}, {}, {}
+    for n, (x, j, span) in specs.items():
+        w, size = 1 - 2.0 / (span + 1), int(20 * span)
+        pos[f"_b_{n}"], pos[f"_r_{n}"] = f"floor(({j}) / {size})", f"({j}) - floor(({j}) / {size}) * {size}"
+        cur[f"_c_{n}"] = f"power({w!r}D, _r_{n}) * sum({x} * power({w!r}D, -_r_{n})) {sw.sql_over('ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW', f', _b_{n}')}"
+        carry = f"last(CASE WHEN _r_{n} = {size - 1} THEN _c_{n} END) IGNORE NULLS {sw.sql_over('ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING')}"
+        fin[n] = f"CASE WHEN ({j}) >= 0 THEN _c_{n} + power({w!r}D, _r_{n} + 1) * coalesce({carry}, 0D) END"
+    d = add(add(add(df, pos), cur), fin)
+    return d.drop(*pos, *cur)
 
 
 def ewm_features(df: DataFrame, sw: SeriesWindow, spans=(5, 30)) -> DataFrame:
     """Adjusted exponentially weighted mean and bias-corrected deviation of the lagged value."""
-    df = df.withColumn("_x", sw.lag(1)).withColumn("_xx", F.col("_x") * F.col("_x"))
-    j = F.col("_i") - 1
+    d = add(df, {"_x": sw.sql_lag(1), "_xx": f"{sw.sql_lag(1)} * {sw.sql_lag(1)}"})
+    d = ewm_sums(d, sw, {f"_s{k}_{sp}": (x, "_i - 1", sp) for sp in spans for k, x in ((1, "_x"), (2, "_xx"))})
+    cols = {}
     for sp in spans:
         w = 1 - 2.0 / (sp + 1)
-        df = ewm_sum(ewm_sum(df, sw, "_x", j, sp, "_s1"), sw, "_xx", j, sp, "_s2")
-        s0 = (1 - F.pow(F.lit(w), j + 1)) / (1 - w)
-        w2 = (1 - F.pow(F.lit(w), 2 * (j + 1))) / (1 - w * w)
-        mean = F.col("_s1") / s0
-        var = F.greatest(F.col("_s2") / s0 - mean * mean, F.lit(0.0)) * F.try_divide(s0 * s0, s0 * s0 - w2)
-        df = df.withColumn(f"ewm_{sp}", F.when(j >= 0, mean)).withColumn(f"ewm_std_{sp}", F.when(j >= 1, F.sqrt(var))).drop("_s1", "_s2")
-    return df.drop("_x", "_xx")
+        s0, w2 = f"((1 - power({w!r}D, _i)) / {1 - w!r}D)", f"((1 - power({w!r}D, 2 * _i)) / {1 - w * w!r}D)"
+        mean = f"(_s1_{sp} / {s0})"
+        cols[f"ewm_{sp}"] = f"CASE WHEN _i >= 1 THEN {mean} END"
+        cols[f"ewm_std_{sp}"] = f"CASE WHEN _i >= 2 THEN sqrt(greatest(_s2_{sp} / {s0} - {mean} * {mean}, 0D) * try_divide({s0} * {s0}, {s0} * {s0} - {w2})) END"
+    return add(d, cols).drop("_x", "_xx", *[f"_s{k}_{sp}" for sp in spans for k in (1, 2)])
 
 
-def ema(df: DataFrame, sw: SeriesWindow, x: str, j: Column, first: Column, span: float, name: str) -> DataFrame:
-    """Recursive exponential average e = a x + (1 - a) e started at the first value."""
+def ema_sql(s: str, j: str, first: str, span: float) -> str:
+    """Recursive average e = a x + (1 - a) e started at the first value, from its weighted sum."""
     a = 2.0 / (span + 1)
-    df = ewm_sum(df, sw, x, j, span, "_s")
-    return df.withColumn(name, F.when(j >= 0, a * F.col("_s") + (1 - a) * F.pow(F.lit(1 - a), F.greatest(j, F.lit(0))) * first)).drop("_s")
+    return f"CASE WHEN ({j}) >= 0 THEN {a!r}D * {s} + {1 - a!r}D * power({1 - a!r}D, greatest({j}, 0)) * {first} END"
 
 
 def macd_features(df: DataFrame, sw: SeriesWindow, fast: int = 10, slow: int = 25, signal: int = 10) -> DataFrame:
-    df = df.withColumn("_x", sw.lag(1)).withColumn("_x0", F.first(sw.value).over(sw.w))
-    j = F.col("_i") - 1
-    df = ema(df, sw, "_x", j, F.col("_x0"), fast, "_f")
-    df = ema(df, sw, "_x", j, F.col("_x0"), slow, "_g").withColumn("macd", F.col("_f") - F.col("_g"))
-    df = df.withColumn("_m", F.lag("macd", 1).over(sw.w))
-    df = ema(df, sw, "_m", F.col("_i") - 2, F.lit(0.0), signal, "macd_signal")     # the first macd is exactly 0
-    return df.withColumn("macd_histogram", F.col("macd") - F.col("macd_signal")).drop("_x", "_x0", "_f", "_g", "_m")
+    d = add(df, {"_x": sw.sql_lag(1), "_x0": f"first({sw.value}) {sw.sql_over()}"})
+    d = ewm_sums(d, sw, {"_f": ("_x", "_i - 1", fast), "_g": ("_x", "_i - 1", slow)})
+    d = add(d, {"macd": f"{ema_sql('_f', '_i - 1', '_x0', fast)} - {ema_sql('_g', '_i - 1', '_x0', slow)}"})
+    d = ewm_sums(add(d, {"_m": sw.sql_lag(1, "macd")}), sw, {"_s": ("_m", "_i - 2", signal)})
+    d = add(d, {"macd_signal": ema_sql("_s", "_i - 2", "0D", signal)})                # the first macd is exactly 0
+    return add(d, {"macd_histogram": "macd - macd_signal"}).drop("_x", "_x0", "_f", "_g", "_m", "_s")
 
 
 # --- whole pool ----------------------------------------------------------------------------------------
@@ -269,39 +263,33 @@ def macd_features(df: DataFrame, sw: SeriesWindow, fast: int = 10, slow: int = 2
 INTERACTIONS = (("lag_1", "day_of_week"), ("lag_5", "day_of_week"), ("rolling_mean_5", "month"), ("rolling_mean_30", "is_weekend"))
 
 
-def interactions(pairs=INTERACTIONS) -> dict[str, Column]:
-    return {f"{a}_x_{b}": F.col(a) * F.col(b) for a, b in pairs}
+def interactions(pairs=INTERACTIONS) -> dict[str, str]:
+    return {f"{a}_x_{b}": f"{a} * {b}" for a, b in pairs}
 
 
 def cross_lags(df: DataFrame, sw: SeriesWindow, columns: list[str], lags=range(1, 16), mean_window: int = 5) -> DataFrame:
     """Lags and a short mean of other series already joined as columns."""
     cols = {}
     for c in columns:
-        for k in lags:
-            cols[f"ext_{c}_lag_{k}"] = sw.lag(k, F.col(c))
-        f = sw.back(mean_window)
-        cols[f"ext_{c}_rolling_mean_{mean_window}"] = _full(F.avg(c).over(f), F.col(c), f, mean_window)
-    return df.select("*", *[v.alias(n) for n, v in cols.items()])
+        cols.update({f"ext_{c}_lag_{k}": sw.sql_lag(k, c) for k in lags})
+        cols[f"ext_{c}_rolling_mean_{mean_window}"] = sw.sql_full(f"avg({c})", mean_window, c)
+    return add(df, cols)
 
 
-def gated(cols: dict[str, Column], span_of) -> dict[str, Column]:
+def gated(cols: dict[str, str], span_of) -> dict[str, str]:
     """Features kept only for series at least three windows long; needs the series length."""
-    return {n: F.when(F.col("_n") >= 3 * span_of(n), c) for n, c in cols.items()}
-
-
-def _add(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
-    return df.select("*", *[c.alias(n) for n, c in cols.items()])
+    return {n: f"CASE WHEN _n >= {3 * span_of(n)} THEN {e} END" for n, e in cols.items()}
 
 
 def feature_pool(df: DataFrame, sw: SeriesWindow) -> DataFrame:
     """The 116 internal candidates, unfilled."""
-    d = with_changes(with_index(df, sw), sw)
-    d = _add(d, {**cal.calendar_features(F.col(sw.order)), **lag_features(sw), **rolling_features(sw), **change_features(sw), **volatility_features(sw),
-                 **position_features(sw), **asymmetric_features(sw), **change_limit_features(sw), **zscore_features(sw), **jump_features(sw),
-                 **rsi_features(sw), **bollinger_features(sw), **cal.fourier_features(F.col(sw.order)), **cal.period_end_features(F.col(sw.order))})
-    d = _add(d, {**regime_features(sw), "days_since_jump": since_jump(sw)})
-    d = macd_features(ewm_features(d, sw), sw)
-    return _add(d, interactions()).drop("_ch", "_ret", "_i", "_n")
+    day = F.col(sw.order)
+    d = df.select("*", *[c.alias(n) for n, c in {**cal.calendar_features(day), **cal.fourier_features(day), **cal.period_end_features(day)}.items()])
+    d = with_changes(with_index(d, sw), sw)
+    d = add(d, {**lag_features(sw), **rolling_features(sw), **change_features(sw), **volatility_features(sw), **position_features(sw), **asymmetric_features(sw),
+                **change_limit_features(sw), **zscore_features(sw), **jump_features(sw), **rsi_features(sw), **bollinger_features(sw)})
+    d = add(d, {**regime_features(sw), **since_jump(sw), **interactions()})
+    return macd_features(ewm_features(d, sw), sw).drop("_ch", "_ret", "_i", "_n")
 
 
 def feature_names(df: DataFrame, sw: SeriesWindow) -> list[str]:
@@ -309,25 +297,25 @@ def feature_names(df: DataFrame, sw: SeriesWindow) -> list[str]:
 
 
 def fill_features(df: DataFrame, sw: SeriesWindow, columns: list[str]) -> DataFrame:
-    """Infinite values count as missing; then forward fill, backward fill and 0."""
-    up, dn = sw.w.rowsBetween(Window.unboundedPreceding, 0), sw.w.rowsBetween(0, Window.unboundedFollowing)
-    clean = {c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)) for c in columns}
-    d = df.withColumns(clean)
-    return d.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(up), F.first(c, ignorenulls=True).over(dn), F.lit(0.0)) for c in columns})
+    """Infinite values count as missing; then forward fill, backward fill and 0.
+
+    After the forward fill only leading cells are empty, so the backward fill is the first known value."""
+    rest = [c for c in df.columns if c not in columns]
+    up, whole = sw.sql_over("ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"), sw.sql_over("ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING")
+    clean = df.selectExpr(*rest, *[f"CASE WHEN abs({c}) < double('infinity') THEN {c} END AS {c}" for c in columns])
+    return clean.selectExpr(*rest, *[f"coalesce(last({c}) IGNORE NULLS {up}, first({c}) IGNORE NULLS {whole}, 0D) AS {c}" for c in columns])
 
 
 def macro_features(df: DataFrame, sw: SeriesWindow, kind: str = "price") -> DataFrame:
     """Level with zeros removed and carried forward, 1- and 5-day change, 20-day change volatility."""
-    good = F.col(sw.value) > 0 if kind == "price" else F.col(sw.value) != 0
-    up = sw.w.rowsBetween(Window.unboundedPreceding, 0)
-    d = df.withColumn("lvl", F.last(F.when(good, F.col(sw.value)), ignorenulls=True).over(up))
-    d = d.withColumn("_l", F.ln("lvl") if kind == "price" else F.col("lvl"))
-    d = d.withColumn("chg1", (F.col("_l") - F.lag("_l", 1).over(sw.w)) * 100).withColumn("chg5", (F.col("_l") - F.lag("_l", 5).over(sw.w)) * 100)
-    f = sw.to_now(20)
-    return d.withColumn("vol20", F.when(F.count("chg1").over(f) >= 10, F.stddev_samp("chg1").over(f))).drop("_l")
+    v = sw.value
+    good = f"{v} > 0" if kind == "price" else f"{v} <> 0"
+    d = add(df, {"lvl": f"last(CASE WHEN {good} THEN {v} END) IGNORE NULLS {sw.sql_over('ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')}"})
+    d = add(d, {"_l": "ln(lvl)" if kind == "price" else "lvl"})
+    d = add(d, {"chg1": f"(_l - {sw.sql_lag(1, '_l')}) * 100", "chg5": f"(_l - {sw.sql_lag(5, '_l')}) * 100"})
+    return add(d, {"vol20": f"CASE WHEN {sw.sql_now('count(chg1)', 20)} >= 10 THEN {sw.sql_now('stddev_samp(chg1)', 20)} END"}).drop("_l")
 
 
 def rolling_statistics(df: DataFrame, sw: SeriesWindow, window: int = 90) -> DataFrame:
-    f, need = sw.to_now(window), max(2, window // 3)
-    ok = F.count(sw.value).over(f) >= need
-    return df.select("*", F.when(ok, F.avg(sw.value).over(f)).alias("roll_mean"), F.when(ok, F.stddev_samp(sw.value).over(f)).alias("roll_std"))
+    ok = f"{sw.sql_now(f'count({sw.value})', window)} >= {max(2, window // 3)}"
+    return add(df, {f"roll_{n}": f"CASE WHEN {ok} THEN {sw.sql_now(f'{a}({sw.value})', window)} END" for n, a in (("mean", "avg"), ("std", "stddev_samp"))})

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.operators import calendar as cal
-from tidepanel.operators.features import SeriesWindow, ema
+from tidepanel.operators.features import SeriesWindow, add, ema_sql, ewm_sums
 
 ALL = lambda: Window.partitionBy("series")
 ORD = lambda: Window.partitionBy("series").orderBy("ds")
@@ -49,8 +49,8 @@ def croston_levels(df: DataFrame, alpha: float = 0.1) -> DataFrame:
     nz = nz.withColumns({"_k": F.row_number().over(w) - 1, "_gap": (F.col("i") - F.coalesce(F.lag("i", 1).over(w), F.lit(-1))).cast("double")})
     sw, span = SeriesWindow(), 2 / alpha - 1
     nz = nz.withColumns({"_y0": F.first("y").over(w), "_g0": F.first("_gap").over(w)})
-    nz = ema(nz, sw, "y", F.col("_k"), F.col("_y0"), span, "_z")
-    nz = ema(nz, sw, "_gap", F.col("_k"), F.col("_g0"), span, "_p")
+    nz = ewm_sums(nz, sw, {"_sz": ("y", "_k", span), "_sp": ("_gap", "_k", span)})
+    nz = add(nz, {"_z": ema_sql("_sz", "_k", "_y0", span), "_p": ema_sql("_sp", "_k", "_g0", span)})
     lv = nz.select("series", "ds", F.when(F.col("_k") >= 1, F.col("_z") / F.col("_p") * (1 - alpha / 2)).alias("_f"))
     j = d.join(lv, ["series", "ds"], "left")
     up = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -106,8 +106,8 @@ def forecastable(df: DataFrame, min_obs: int = 10) -> DataFrame:
 
 
 def route_models(forecasts: DataFrame, model_map: DataFrame) -> DataFrame:
-    """Each node's forecast by the model its map names (one small row per node)."""
-    return forecasts.join(F.broadcast(model_map.withColumnRenamed("model", "method")), ["series", "method"])
+    """Each node's forecast by the model its map names."""
+    return forecasts.join(model_map.withColumnRenamed("model", "method"), ["series", "method"])
 
 
 def walk_forward_windows(df: DataFrame, horizon: int, n_windows: int, min_train: int = 300) -> DataFrame:
@@ -209,6 +209,6 @@ def combine_halfwidths(sum_h: Column, sum_h2: Column, rho: Column) -> Column:
 def apply_adjustments(leaves: DataFrame, adjustments: DataFrame) -> DataFrame:
     """Leaf values plus the signed sum of all adjustments whose node and date range cover them."""
     sign = F.when(F.col("kind") == "+", F.col("amount")).otherwise(-F.col("amount"))
-    a = F.broadcast(adjustments.select(F.col("node").alias("_n"), "start_date", "end_date", sign.alias("_a")))     # hand-entered table
+    a = adjustments.select(F.col("node").alias("_n"), "start_date", "end_date", sign.alias("_a"))
     hits = leaves.join(a, (F.col("node") == F.col("_n")) & F.col("ds").between(F.col("start_date"), F.col("end_date"))).groupBy("node", "ds").agg(F.sum("_a").alias("adjustment"))
     return leaves.join(hits, ["node", "ds"], "left").withColumn("adjustment", F.coalesce("adjustment", F.lit(0.0))).withColumn("adjusted", F.round(F.col("value") + F.col("adjustment"), 2))

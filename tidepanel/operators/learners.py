@@ -19,8 +19,9 @@ DEPTH = max(*LAGS, *MEANS)
 
 def direct_features(df: DataFrame, sw: ft.SeriesWindow) -> tuple[DataFrame, list[str]]:
     """Model inputs built from actual lags (teacher forcing), complete rows only."""
-    cols = {**ft.lag_features(sw, LAGS), **{f"mean_{n}": ft.rolling_features(sw, (n,))[f"rolling_mean_{n}"] for n in MEANS}, **_day(F.col(sw.order))}
-    return df.select("*", *[c.alias(n) for n, c in cols.items()]).dropna(subset=list(cols)), list(cols)
+    cols = {**ft.lag_features(sw, LAGS), **{f"mean_{n}": ft.rolling_features(sw, (n,))[f"rolling_mean_{n}"] for n in MEANS}}
+    names = [*cols, "day_of_week", "month"]
+    return ft.add(df, cols).withColumns(_day(F.col(sw.order))).dropna(subset=names), names
 
 
 def _day(d):

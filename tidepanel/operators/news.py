@@ -96,7 +96,8 @@ def calendar_aggregate(daily: DataFrame, calendar: DataFrame, max_gap: int = 4)
     averaged, counts are summed, gaps are filled forward at most ``max_gap`` rows and never backward."""
     rolled = roll_to_next_business_day(daily.withColumnRenamed("business_date", "ds"), calendar, "ds")
     g = rolled.groupBy("scorer", "ds").agg(F.avg("polarity").alias("polarity"), F.sum("n_news").alias("n_news"))
-    spine = calendar.select("ds").distinct().join(F.broadcast(daily.select("scorer").distinct()))   # days x scorers
+    days = calendar.agg(F.collect_set("ds").alias("_d"))                      # one row: the calendar
+    spine = daily.select("scorer").distinct().join(F.broadcast(days)).select("scorer", F.explode("_d").alias("ds"))
     full = spine.join(g, ["scorer", "ds"], "left").withColumn("n_news", F.coalesce("n_news", F.lit(0)))
     return full.withColumn("polarity", ffill(F.col("polarity"), ["scorer"], limit=max_gap))
 

@@ -73,14 +73,14 @@ def mrmr_select(ranks: DataFrame, k: int, beta: float = 1.0) -> DataFrame:
     rel = spearman_relevance(ranks)
     if beta == 0:
         return top_k(rel, k).select("series", F.col("rank").alias("step"), "feature", "score")
-    short = top_k(rel, max(3 * k, 40))
-    cut = ranks.join(short, ["series", "feature"]).select("series", "ds", "feature", "rx", "score", "rank")
-    rows = cut.groupBy("series", "ds").agg(F.sort_array(F.collect_list(F.struct("rank", "rx", "score", "feature"))).alias("c"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf["c"].iloc[0]
-        rel_, names = np.array([c["score"] for c in first]), [c["feature"] for c in first]
-        m = np.array([[c["rx"] for c in row] for row in pdf["c"]], dtype=float)
+    short = top_k(rel, max(3 * k, 40)).alias("short")
+    cut = ranks.join(short.select("series", "feature", "rank"), ["series", "feature"])
+    rows = cut.groupBy(F.col("series").alias("owner"), "ds").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "rx"))), lambda x: x["rx"]).alias("r"))
+
+    def greedy(days: pd.DataFrame, feats: pd.DataFrame) -> pd.DataFrame:
+        feats = feats.sort_values("rank")
+        rel_, names = feats["score"].to_numpy(), list(feats["feature"])
+        m = np.stack(days["r"].to_numpy()).astype(float)
         m -= m.mean(axis=0)
         norm = np.sqrt((m * m).sum(axis=0))
         z = np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
@@ -90,9 +90,9 @@ def mrmr_select(ranks: DataFrame, k: int, beta: float = 1.0) -> DataFrame:
             gain = rel_ - beta * red / len(picked)
             gain[picked] = -np.inf
             picked.append(int(np.argmax(gain)))
-        return pd.DataFrame({"series": pdf["series"].iloc[0], "step": range(1, len(picked) + 1), "feature": [names[i] for i in picked], "score": rel_[picked]})
+        return pd.DataFrame({"series": feats["series"].iloc[0], "step": range(1, len(picked) + 1), "feature": [names[i] for i in picked], "score": rel_[picked]})
 
-    return rows.groupBy("series").applyInPandas(greedy, "series string, step int, feature string, score double")
+    return rows.groupBy("owner").cogroup(short.groupBy("series")).applyInPandas(greedy, "series string, step int, feature string, score double")
 
 
 def volatility_quota(scores: DataFrame, is_priority: Column, k: int, quota: int) -> DataFrame:

@@ -53,7 +53,7 @@ def family(name, cols, sql_cols, build, digits=4, sql_from="idx", ctes=""):
 
 
 def _sel(df, cols):
-    return df.select("series", "ds", *[c.alias(n) for n, c in cols.items()])
+    return df.selectExpr("series", "ds", *[f"{e} AS {n}" for n, e in cols.items()])
 
 
 _lags = {f"lag_{k}": _lag(k) for k in ft.LAGS}
@@ -95,7 +95,7 @@ _nz = lambda col, base: F.when(F.col(base) != 0, F.col(col))
 
 
 def _w6(s, d):
-    x = _sel(indexed(s, d).withColumns({f"_b{p}": SW.lag(p + 1) for p in (1, 5, 30)}), {**ft.change_features(SW), **{f"_b{p}": F.col(f"_b{p}") for p in (1, 5, 30)}})
+    x = _sel(indexed(s, d), {**ft.change_features(SW), **{f"_b{p}": SW.sql_lag(p + 1) for p in (1, 5, 30)}})
     return x.withColumns({f"value_pct_change_{p}": _nz(f"value_pct_change_{p}", f"_b{p}") for p in (1, 5, 30)})
 
 
@@ -106,14 +106,14 @@ _VOLCTE = "vol AS (SELECT series, ds, i, " + ", ".join(f"CASE WHEN abs({_back('a
 
 
 def _vol_df(s, d):
-    v = indexed(s, d).select("*", *[c.alias(n) for n, c in ft.volatility_features(SW).items()])
+    v = ft.add(indexed(s, d), ft.volatility_features(SW))
     return v.withColumns({f"volatility_{n}": F.when(F.abs(F.avg("y").over(SW.back(n))) > 0.5, F.col(f"volatility_{n}")) for n in (5, 15, 30)})
 
 
 family("w7_volatility", [*_vol, "volatility_ratio_5_30"], {**{k: k for k in _vol}, "volatility_ratio_5_30": f"volatility_5 / (volatility_30 + {_EPS})"},
-       lambda s, d: _vol_df(s, d).withColumns(ft.regime_features(SW)), 4, "vol", _VOLCTE)
+       lambda s, d: ft.add(_vol_df(s, d), ft.regime_features(SW)), 4, "vol", _VOLCTE)
 family("w8_high_volatility_regime", ["is_high_volatility_regime:0"], {"is_high_volatility_regime": f"CAST(coalesce({_lag(1, 'volatility_15')} > {_back('quantile_cont(volatility_15, 0.5)', 60)}, FALSE) AS INT)"},
-       lambda s, d: _vol_df(s, d).withColumns(ft.regime_features(SW)), 0, "vol", _VOLCTE)
+       lambda s, d: ft.add(_vol_df(s, d), ft.regime_features(SW)), 0, "vol", _VOLCTE)
 
 _pos = {f"price_position_{n}": f"({_lag(1)} - {_back('min(y)', n)}) / ({_back('max(y)', n)} - {_back('min(y)', n)} + {_EPS})" for n in (30, 60)}
 family("w9_price_position", _pos, _pos, lambda s, d: _sel(indexed(s, d), ft.position_features(SW)))
@@ -168,7 +168,7 @@ _JUMP = f"""{_CH}, jmp AS (SELECT *, abs(ch) / ({_now('avg(abs(ch))', 15)} + {_E
 
 
 def _w15(s, d):
-    return changed(s, d).withColumns(ft.jump_features(SW)).withColumn("days_since_jump", ft.since_jump(SW))
+    return ft.add(ft.add(changed(s, d), ft.jump_features(SW)), ft.since_jump(SW))
 
 
 family("w15_jumps", ["jump_size", "is_jump", "days_since_jump"], {"jump_size": "jump_size", "is_jump": "is_jump",
@@ -180,7 +180,7 @@ family("w16_change_limits", _lim, _lim, lambda s, d: _sel(changed(s, d), ft.chan
 _RUN = f"""ze AS (SELECT series, ds, CAST(coalesce({_z['z_score_15']} > 1, FALSE) AS INT) AS f FROM idx), zt AS (SELECT *, coalesce(CAST(f <> lag(f) OVER {_P}) AS INT), 1) AS t FROM ze),
 zg AS (SELECT *, sum(t) OVER {_P}) AS g FROM zt)"""
 family("w17_consecutive_extremes", ["run_length:0"], {"run_length": "sum(f) OVER (PARTITION BY series, g ORDER BY ds)"},
-       lambda s, d: ft.run_lengths(indexed(s, d).withColumn("f", F.coalesce((ft.zscore_features(SW)["z_score_15"] > 1).cast("int"), F.lit(0))), SW, "f", "run_length"), 0, "zg", _RUN)
+       lambda s, d: ft.run_lengths(indexed(s, d).withColumn("f", F.expr(f"CAST(coalesce({ft.zscore_features(SW)['z_score_15']} > 1, false) AS INT)")), SW, "f", "run_length"), 0, "zg", _RUN)
 
 _mom = {f"momentum_{p}": f"{_lag(1)} - {_lag(p + 1)}" for p in (7, 30, 60)}
 _mom.update({f"roc_{p}": f"CASE WHEN {_lag(p + 1)} <> 0 THEN ({_lag(1)} - {_lag(p + 1)}) / {_safe(_lag(p + 1))} END" for p in (7, 14, 30, 60, 90)})
@@ -188,7 +188,7 @@ _mom.update({f"roc_{p}": f"CASE WHEN {_lag(p + 1)} <> 0 THEN ({_lag(1)} - {_lag(
 
 def _w18(s, d):
     m = ft.momentum_features(SW)
-    return _sel(indexed(s, d), {n: (F.when(SW.lag(int(n[4:]) + 1) != 0, c) if n.startswith("roc") else c) for n, c in m.items()})
+    return _sel(indexed(s, d), {n: (f"CASE WHEN {SW.sql_lag(int(n[4:]) + 1)} <> 0 THEN {c} END" if n.startswith("roc") else c) for n, c in m.items()})
 
 
 family("w18_momentum", _mom, _mom, _w18)
@@ -219,7 +219,7 @@ _int = {"lag_1_x_day_of_week": f"{_lag(1)} * (isodow(ds) - 1)", "lag_5_x_day_of_
 
 def _w22(s, d):
     from tidepanel.operators.calendar import calendar_features
-    x = indexed(s, d).withColumns({**calendar_features(F.col("ds")), **ft.lag_features(SW), **ft.rolling_features(SW, (5, 30))})
+    x = ft.add(indexed(s, d).withColumns(calendar_features(F.col("ds"))), {**ft.lag_features(SW), **ft.rolling_features(SW, (5, 30))})
     return _sel(x, ft.interactions())
 
 
@@ -242,7 +242,7 @@ def _(s, d):
 
 
 _fill = {c: f"coalesce(last_value({c} IGNORE NULLS) OVER {_P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER {_P} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)" for c in ("A", "roc")}
-family("w24_fill_features", ["A:2", "roc:4"], _fill, lambda s, d: ft.fill_features(market_joined(s, d).withColumn("roc", SW.lag(1) / F.try_divide(SW.lag(2), SW.lag(2)) ), SW, ["A", "roc"]), 4, "jr",
+family("w24_fill_features", ["A:2", "roc:4"], _fill, lambda s, d: ft.fill_features(market_joined(s, d).withColumn("roc", SW.lag(1) / F.try_divide(SW.lag(2), SW.lag(2))), SW, ["A", "roc"]), 4, "jr",
        b.EXTERNAL + ", " + _MKT + f", jr AS (SELECT *, CASE WHEN {_lag(2)} <> 0 THEN {_lag(1)} END AS roc FROM joined)")
 
 _MF = """, raw AS (SELECT name AS series, ds, CASE WHEN day(ds) = 9 THEN 0 ELSE value END AS y FROM external), lv AS (SELECT series, ds, last_value(CASE WHEN y > 0 THEN y END IGNORE NULLS)
@@ -278,8 +278,7 @@ def _(s, d):
     p = ft.feature_pool(b.series(s, d), SW)
     names = ft.feature_names(p, SW)
     f = ft.fill_features(p, SW, names)
-    empty = sum((F.col(c).isNull().cast("int") for c in names), F.lit(0))
-    return f.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.lit(len(names)).alias("columns"), F.sum(empty).alias("missing"))
+    return f.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.lit(len(names)).alias("columns"), F.expr(f"{len(names)} * count(1) - " + " - ".join(f"count({c})" for c in names)).alias("missing"))
 
 
 # --- scalar transforms ------------------------------------------------------------------------------------

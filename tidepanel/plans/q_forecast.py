@@ -120,7 +120,7 @@ def _(s, d):
 @query("r5_explode_model_map", "model:s nodes:i days:i", f"WITH {_LEAFCTE}, mm(series, model) AS ({values_sql(_MODELS)}) SELECT model, count(DISTINCT series) AS nodes, count(*) AS days FROM leaf JOIN mm USING (series) GROUP BY 1")
 def _(s, d):
     per = leaf_series(s, d).groupBy("series").agg(F.count(F.lit(1)).alias("k"))
-    return per.join(F.broadcast(model_map(s)), "series").groupBy("model").agg(F.count(F.lit(1)).alias("nodes"), F.sum("k").alias("days"))
+    return per.join(model_map(s), "series").groupBy("model").agg(F.count(F.lit(1)).alias("nodes"), F.sum("k").alias("days"))
 
 
 @query("m14_walk_forward_windows", "series:s w:i train_n:i test_n:i train_end:d test_start:d test_end:d enough:i", f"""WITH {b.INDEXED}, w AS (SELECT DISTINCT series, n, w, n - 60 - w * 60 AS ts FROM idx CROSS JOIN (SELECT unnest([0,1,2,3]) AS w))

@@ -85,7 +85,7 @@ rel AS (SELECT series, feature, round(coalesce(abs(corr(rx, ry)), 0), 9) AS scor
 def small_ranks(s, d):
     x = qf.indexed(s, d)
     cols = {**ft.lag_features(qf.SW), **ft.rolling_features(qf.SW), **ft.change_features(qf.SW)}
-    wide = x.select("series", "ds", "y", *[F.round(cols[n], 6).alias(n) for n in _NAMES])
+    wide = x.selectExpr("series", "ds", "y", *[f"round({cols[n]}, 6) AS {n}" for n in _NAMES])
     return sel.feature_ranks(sel.long_features(wide, _NAMES))
 
 
@@ -141,8 +141,7 @@ def _(s, d):
 def _(s, d):
     """Chosen market features per selection size and rule."""
     wide = ft.cross_lags(qf.market_joined(s, d), qf.SW, ["A", "N"], range(1, 6))
-    own = ft.lag_features(qf.SW)
-    wide = wide.select("*", *[c.alias(n) for n, c in own.items()])
+    wide = ft.add(wide, ft.lag_features(qf.SW))
     cols = [c for c in wide.columns if c.startswith(("ext_", "lag_"))]
     ranks = sel.feature_ranks(sel.long_features(wide, cols))
     out = None

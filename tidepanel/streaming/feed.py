@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidepanel.operators.tables import accepted_articles, dedupe
@@ -13,11 +14,14 @@ def read_feed(spark: SparkSession, path: str, schema, files_per_trigger: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def _stored_ids(spark: SparkSession, store: str, schema) -> DataFrame:
+def _stored(spark: SparkSession, store: str) -> DataFrame | None:
+    """The store, or None before the first batch; any other read problem stays an error."""
     try:
-        return spark.read.parquet(store).select("uid")
-    except Exception:  # noqa: BLE001  the store does not exist before the first batch
-        return spark.createDataFrame([], schema).select("uid")
+        return spark.read.parquet(store)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
 
 
 def ingest_feed(stream: DataFrame, store: str, checkpoint: str, order: list[str]) -> None:
@@ -25,20 +29,18 @@ def ingest_feed(stream: DataFrame, store: str, checkpoint: str, order: list[str]
 
     A batch replayed after a failure finds its articles stored and adds nothing, so ingest is exactly-once
     in effect; late articles are stored like any other and keep their own business day.  The store is
-    partitioned by business day and only the days of a batch are read for the comparison."""
+    partitioned by publication day, which is part of the uid, so only a batch's days are compared."""
 
     def upsert(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = dedupe(accepted_articles(batch), ["uid"], order)
-        try:
-            known = spark.read.parquet(store)
-        except Exception:  # noqa: BLE001  first batch
-            known = None
+        fresh = fresh.withColumn("published_day", F.to_date("published_utc"))
+        known = _stored(spark, store)
         if known is not None:
-            days = batch.select("business_date").distinct()
-            seen = known.join(F.broadcast(days), "business_date", "left_semi").select("uid")      # one row per day of the batch
+            days = fresh.select("published_day").distinct()
+            seen = known.join(F.broadcast(days), "published_day", "left_semi").select("uid")      # one row per day of the batch
             fresh = fresh.join(seen, "uid", "left_anti")
-        fresh.write.mode("append").partitionBy("business_date").parquet(store)
+        fresh.write.mode("append").partitionBy("published_day").parquet(store)
 
     q = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
