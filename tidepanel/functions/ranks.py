@@ -17,8 +17,8 @@ def slice_count(df: DataFrame) -> int:
 
 
 def _cuts(df: DataFrame, keys: list[str], value: str, slices: int) -> DataFrame:
-    probs = F.transform(F.sequence(F.lit(1), F.lit(slices - 1)), lambda i: i / slices)
-    return df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, probs, F.lit(max(1000, 20 * slices)))).alias("_cuts"))
+    probs = ", ".join(f"{i / slices!r}D" for i in range(1, slices))
+    return df.groupBy(*keys).agg(F.expr(f"array_distinct(percentile_approx(`{value}`, array({probs}), {max(1000, 20 * slices)}))").alias("_cuts"))
 
 
 def _attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:

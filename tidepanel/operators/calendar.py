@@ -31,10 +31,16 @@ def business_day_spine(df: DataFrame, lo: str, hi: str) -> DataFrame:
 
 
 def busday_index(d: Column) -> Column:
-    """Business days from the epoch Monday up to (excluding) the date; negative before it."""
-    days = F.datediff(d, F.lit(EPOCH).cast("date"))
-    rem = F.pmod(days, F.lit(7))
-    return ((days - rem) / 7 * 5 + F.least(rem, F.lit(5))).cast("double")
+    """Business days from the epoch Monday up to (excluding) the date; before it, minus those after
+    the date up to and including the epoch."""
+    epoch = F.lit(EPOCH).cast("date")
+
+    def count(days):
+        rem = F.pmod(days, F.lit(7))
+        return (days - rem) / 7 * 5 + F.least(rem, F.lit(5))
+
+    days = F.datediff(d, epoch)
+    return F.when(days >= 0, count(days)).otherwise(count(days + 1) - 1).cast("double")
 
 
 def _wave(x: Column, period: float):

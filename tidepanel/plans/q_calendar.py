@@ -68,7 +68,7 @@ def _(s, d):
 @query("c6_fourier_features", "ds:d " + " ".join(f"fourier_{n}_{w}:6" for n in ("weekly", "monthly", "quarterly") for w in ("sin", "cos")), f"""WITH {_DAYS},
 spine AS (SELECT CAST(unnest(generate_series(DATE '1994-12-01', DATE '2002-12-31', INTERVAL 1 DAY)) AS DATE) AS x),
 i AS (SELECT ds, CASE WHEN ds >= DATE '2000-01-03' THEN (SELECT count(*) FROM spine WHERE x >= DATE '2000-01-03' AND x < ds AND isodow(x) < 6)
-  ELSE -(SELECT count(*) FROM spine WHERE x >= ds AND x < DATE '2000-01-03' AND isodow(x) < 6) END AS t FROM days)
+  ELSE -(SELECT count(*) FROM spine WHERE x > ds AND x <= DATE '2000-01-03' AND isodow(x) < 6) END AS t FROM days)
 SELECT ds, {_wave_sql('t', 5, 'fourier_weekly')}, {_wave_sql('t', 20, 'fourier_monthly')}, {_wave_sql('t', 60, 'fourier_quarterly')} FROM i""")
 def _(s, d):
     return _days(s, d).select("ds", *[c.alias(n) for n, c in cal.fourier_features(F.col("ds")).items()])

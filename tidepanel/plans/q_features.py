@@ -272,13 +272,23 @@ _rs = {"roll_mean": f"CASE WHEN {_now('count(y)', 90)} >= 30 THEN {_now('avg(y)'
 family("w27_rolling_statistics", _rs, _rs, lambda s, d: ft.rolling_statistics(b.series(s, d), SW, 90))
 
 
+def _pool_summary(df, keys):
+    p = ft.feature_pool(df, SW)
+    names = ft.feature_names(p, SW)
+    f = ft.fill_features(p, SW, names)
+    return f.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.lit(len(names)).alias("columns"), F.expr(f"{len(names)} * count(1) - " + " - ".join(f"count({c})" for c in names)).alias("missing"))
+
+
 @query("w_feature_pool", "series:s n:i columns:i missing:i")
 def _(s, d):
     """The 116-candidate pool of every series, filled: rows, columns and cells left empty."""
-    p = ft.feature_pool(b.series(s, d), SW)
-    names = ft.feature_names(p, SW)
-    f = ft.fill_features(p, SW, names)
-    return f.groupBy("series").agg(F.count(F.lit(1)).alias("n"), F.lit(len(names)).alias("columns"), F.expr(f"{len(names)} * count(1) - " + " - ".join(f"count({c})" for c in names)).alias("missing"))
+    return _pool_summary(b.series(s, d), ["series"])
+
+
+@query("w_feature_pool_customers", "n:i series_count:i columns:i missing:i")
+def _(s, d):
+    """The same pool over one series per customer: many short series."""
+    return _pool_summary(customer_series(s, d), ["series"]).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("series_count"), F.max("columns").alias("columns"), F.sum("missing").alias("missing"))
 
 
 # --- scalar transforms ------------------------------------------------------------------------------------
