@@ -52,6 +52,12 @@ def ppf(column: str):
     return F.expr(ppf_sql(column))
 
 
+def corr_sql(x: str, y: str) -> str:
+    """The same as text, over two column names."""
+    both = f"FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL)"
+    return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) {both} * stddev_pop({y}) {both})"
+
+
 def safe_corr(x, y):
     """Correlation aggregate that is NULL, not an error, for a constant side."""
     both = F.when(x.isNotNull() & y.isNotNull(), F.lit(1))

@@ -26,10 +26,12 @@ def _attach(df: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(small, keys) if keys else df.join(F.broadcast(small))
 
 
-def sliced_counts(df: DataFrame, keys: list[str], value: str, slices: int | None = None) -> DataFrame:
-    """(keys, value, n, before, total): how often a value occurs and how many rows lie below it."""
+def sliced_counts(df: DataFrame, keys: list[str], value: str, slices: int | None = None, carry: tuple = ()) -> DataFrame:
+    """(keys, value, n, before, total): how often a value occurs and how many rows lie below it.
+
+    ``carry`` are further aggregates to keep per distinct value."""
     slices = slices or slice_count(df)
-    vals = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    vals = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *carry)
     cut = _attach(vals, _cuts(vals, keys, value, slices), keys).withColumn(
         "_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     per = cut.groupBy(*keys, "_slice").agg(F.sum("n").alias("_ns"))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.functions.literals import literal_table
 from tidepanel.operators.nodes import CATEGORIES, ENTITIES, code_groups
 
 
@@ -17,7 +18,7 @@ def extract_code(purpose: Column) -> Column:
 
 
 def code_dimension(spark) -> DataFrame:
-    return spark.createDataFrame(code_groups(), "code int, col int, neg_cat string, pos_cat string")
+    return literal_table(spark, code_groups(), "code int, col int, neg_cat string, pos_cat string")
 
 
 def map_codes(df: DataFrame, dim: DataFrame) -> DataFrame:
@@ -65,10 +66,8 @@ def entity_category_wide(tidy_df: DataFrame) -> DataFrame:
     """One row per day with a column per (entity, category); absent cells are 0.
 
     The 40 conditional sums combine map-side, so a day is shuffled once per input partition."""
-    cells = [F.coalesce(F.sum(F.when((F.col("entity") == e) & (F.col("category") == c), F.col("value"))), F.lit(0.0)).alias(f"{e}|{c}")
-             for e in ENTITIES for c in CATEGORIES]
-    has_corp = F.max((F.col("entity") == "KORPORASI").cast("int")).alias("has_corp")
-    return tidy_df.groupBy("ds").agg(has_corp, *cells)
+    cells = [F.expr(f"coalesce(sum(value) FILTER (WHERE entity = '{e}' AND category = '{c}'), 0D) AS `{e}|{c}`") for e in ENTITIES for c in CATEGORIES]
+    return tidy_df.groupBy("ds").agg(F.expr("max(CAST(entity = 'KORPORASI' AS INT)) AS has_corp"), *cells)
 
 
 def node_panel(tidy_df: DataFrame, tree: dict) -> DataFrame:
@@ -79,11 +78,10 @@ def node_panel(tidy_df: DataFrame, tree: dict) -> DataFrame:
         net: dict[str, int] = {}
         for e, c, s in terms:
             net[f"{e}|{c}"] = net.get(f"{e}|{c}", 0) + s
-        parts = [F.col(f"`{k}`") * F.lit(float(w)) for k, w in net.items() if w]
-        return reduce(lambda a, b: a + b, parts, F.lit(0.0))
+        return " + ".join(["0D"] + [f"{w}D * `{k}`" for k, w in net.items() if w])
 
-    nodes = F.array(*[F.struct(F.lit(n).alias("node"), value(t).alias("value")) for n, t in tree.items()])
-    return wide.select("ds", F.explode(nodes).alias("x")).select("ds", "x.node", "x.value")
+    rows = ", ".join(f"'{n}', {value(t)}" for n, t in tree.items())
+    return wide.selectExpr("ds", f"stack({len(tree)}, {rows}) AS (node, value)")
 
 
 def pivot_codes(df: DataFrame, key: str, codes: list[int], value: str = "volume") -> DataFrame:
@@ -100,9 +98,9 @@ def rollup_tree(leaf_df: DataFrame, bridge: list[tuple[str, str, int]], keys=("d
     ups: dict[str, list[str]] = {}
     for leaf, anc, _ in bridge:
         ups.setdefault(leaf, []).append(anc)
-    m = F.create_map(*[x for leaf, a in ups.items() for x in (F.lit(leaf), F.array(*[F.lit(v) for v in a]))])
+    m = "map(" + ", ".join("'{}', array({})".format(leaf, ", ".join(f"'{v}'" for v in a)) for leaf, a in ups.items()) + ")"
     return (leaf_df.groupBy(*keys, "node").agg(F.sum("value").alias("value"))
-            .select(*keys, F.explode(m[F.col("node")]).alias("node"), "value")
+            .select(*keys, F.expr(f"explode({m}[node])").alias("node"), "value")
             .groupBy(*keys, "node").agg(F.sum("value").alias("value")))
 
 

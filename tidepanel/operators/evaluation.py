@@ -6,25 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepanel.functions.ranks import exact_quantiles
+from tidepanel.operators.features import add
 from tidepanel.operators.forecast import positions
 
 ORD = lambda *k: Window.partitionBy(*k).orderBy("ds")
 
 
-def rolling_results(df: DataFrame, preds: dict[tuple, Column], n_test: int = 250, n_val: int = 60) -> DataFrame:
-    """One-step forecasts of every origin in the validation and test blocks.
+def rolling_results(df: DataFrame, preds: dict[tuple, str], n_test: int = 250, n_val: int = 60) -> DataFrame:
+    """One-step forecasts of every origin in the validation and test blocks; methods are (name, arm, seed) -> SQL.
 
     A forecast made at origin t uses rows before t only, so each method is a window expression and all
     origins of all series come out of one pass; nothing is refitted per origin."""
     d = positions(df).withColumn("_d", F.abs(F.col("y") - F.lag("y", 1).over(ORD("series"))))
-    cols = {f"_p{j}": c for j, c in enumerate(preds.values())}
-    d = d.withColumns(cols)
+    d = add(d, {f"_p{j}": e for j, e in enumerate(preds.values())})
     scale = F.avg(F.when(F.col("i") < F.col("n") - n_test, F.col("_d"))).over(Window.partitionBy("series"))
     d = d.withColumn("scale", scale).filter(F.col("i") >= F.col("n") - n_test - n_val)
-    cells = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(a).alias("arm"), F.lit(s).alias("seed"), F.col(f"_p{j}").cast("double").alias("pred")) for j, (m, a, s) in enumerate(preds)])
-    x = d.select("series", (F.col("i") - (F.col("n") - n_test - n_val)).alias("origin"), "ds", F.when(F.col("i") >= F.col("n") - n_test, "test").otherwise("val").alias("block"),
-                 F.col("y").alias("actual"), "scale", F.explode(cells).alias("c"))
-    x = x.select("series", "origin", "ds", "block", "actual", "scale", "c.*").filter("pred is not null")
+    cells = ", ".join(f"'{m}', '{a}', {s}, CAST(_p{j} AS DOUBLE)" for j, (m, a, s) in enumerate(preds))
+    x = d.selectExpr("series", f"i - (n - {n_test + n_val}) AS origin", "ds", f"CASE WHEN i >= n - {n_test} THEN 'test' ELSE 'val' END AS block", "y AS actual", "scale",
+                     f"stack({len(preds)}, {cells}) AS (method, arm, seed, pred)").filter("pred is not null")
     return x.withColumn("ae", F.abs(F.col("actual") - F.col("pred"))).withColumn("mase", F.try_divide("ae", "scale"))
 
 

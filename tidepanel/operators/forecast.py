@@ -95,6 +95,12 @@ def calibrate_factor(df: DataFrame, window: int = 120, min_history: int = 500) -
     return g.withColumn("factor", f).select("series", "factor", F.coalesce(F.col("factor").between(-2, 2).cast("int"), F.lit(0)).alias("accepted"))
 
 
+def share_forecast(base: DataFrame, factors: DataFrame, default: float = 0.0) -> DataFrame:
+    """Baseline x (1 + factor), with the default factor where none was accepted."""
+    f = factors.filter("accepted = 1").select("series", "factor")
+    return base.join(f, "series", "left").withColumn("pred", F.col("base") * (1 + F.coalesce("factor", F.lit(default)))).drop("factor")
+
+
 def clip_to_polarity(value: Column, polarity: Column) -> Column:
     return F.when(polarity > 0, F.greatest(value, F.lit(0.0))).when(polarity < 0, F.least(value, F.lit(0.0))).otherwise(value)
 

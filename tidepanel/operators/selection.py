@@ -11,20 +11,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.functions.normal import safe_corr
+from tidepanel.functions.normal import corr_sql, safe_corr
 
 
 def targets_wide(panel: DataFrame, targets: list[str], key="series", value="y", on="ds") -> DataFrame:
-    return panel.filter(F.col(key).isin(targets)).groupBy(on).agg(
-        *[F.max(F.when(F.col(key) == t, F.col(value))).alias(f"_t{i}") for i, t in enumerate(targets)])
+    names = ", ".join(f"'{t}'" for t in targets)
+    return panel.filter(f"{key} IN ({names})").groupBy(on).agg(*[F.expr(f"max({value}) FILTER (WHERE {key} = '{t}') AS _t{i}") for i, t in enumerate(targets)])
 
 
 def correlate_to_targets(candidates: DataFrame, target_panel: DataFrame, targets: list[str], key="series", value="y", on="ds") -> DataFrame:
     """(target, candidate, corr) for every listed target and every candidate series."""
     j = candidates.select(F.col(key).alias("candidate"), F.col(value).alias("_v"), on).join(targets_wide(target_panel, targets, key, value, on), on)
-    g = j.groupBy("candidate").agg(*[safe_corr(F.col("_v"), F.col(f"_t{i}")).alias(f"_c{i}") for i in range(len(targets))])
-    cells = F.array(*[F.struct(F.lit(t).alias("target"), F.col(f"_c{i}").alias("corr")) for i, t in enumerate(targets)])
-    return g.select("candidate", F.explode(cells).alias("x")).select("x.target", "candidate", "x.corr")
+    g = j.groupBy("candidate").agg(*[F.expr(f"{corr_sql('_v', f'_t{i}')} AS _c{i}") for i in range(len(targets))])
+    cells = ", ".join(f"'{t}', _c{i}" for i, t in enumerate(targets))
+    return g.selectExpr("candidate", f"stack({len(targets)}, {cells}) AS (target, corr)").select("target", "candidate", "corr")
 
 
 def same_depth_leaves(nodes: DataFrame) -> DataFrame:
@@ -47,13 +47,13 @@ def average_rank(value, keys: list[str]) -> Column:
 
 
 def long_features(df: DataFrame, columns: list[str], keys=("series", "ds"), value: str = "y") -> DataFrame:
-    """One row per series, day and feature; missing feature values count as 0."""
-    return df.select(*keys, value, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]).unpivot([*keys, value], columns, "feature", "x")
+    """One row per series, day and feature with the target's rank; missing feature values count as 0."""
+    wide = df.selectExpr(*keys, value, *[f"coalesce(CAST({c} AS DOUBLE), 0D) AS {c}" for c in columns]).withColumn("ry", average_rank(value, [keys[0]]))
+    return wide.drop(value).unpivot([*keys, "ry"], columns, "feature", "x")
 
 
-def feature_ranks(long_df: DataFrame, target_ranks: bool = True) -> DataFrame:
-    r = long_df.withColumn("rx", average_rank("x", ["series", "feature"]))
-    return r.withColumn("ry", average_rank("y", ["series", "feature"])) if target_ranks else r
+def feature_ranks(long_df: DataFrame) -> DataFrame:
+    return long_df.withColumn("rx", average_rank("x", ["series", "feature"]))
 
 
 def spearman_relevance(ranks: DataFrame) -> DataFrame:

@@ -22,10 +22,11 @@ METHODS = ["Naive", "NaiveDrift", "NaiveMean", "SeasonalNaive"]
 
 
 def _preds():
-    p = {("Naive", "main", 42): SW.lag(1), ("NaiveDrift", "main", 42): SW.lag(1) + (SW.lag(1) - F.first("y").over(SW.w)) / F.nullif(F.col("i") - 1, F.lit(0)), ("SeasonalNaive", "main", 42): SW.lag(5)}
-    p.update({k: F.avg("y").over(SW.back(w)) for k, w in MEANS.items()})
+    lag, mean = SW.sql_lag, lambda w: SW.sql_back("avg(y)", w)
+    p = {("Naive", "main", 42): lag(1), ("NaiveDrift", "main", 42): f"{lag(1)} + ({lag(1)} - first(y) {SW.sql_over()}) / nullif(i - 1, 0)", ("SeasonalNaive", "main", 42): lag(5)}
+    p.update({k: mean(w) for k, w in MEANS.items()})
     # market arms: without, zero-filled and with the data
-    p.update({("Market", "off", 42): F.avg("y").over(SW.back(20)), ("Market", "zero", 42): F.avg("y").over(SW.back(20)) / 2, ("Market", "supplied", 42): F.avg("y").over(SW.back(25))})
+    p.update({("Market", "off", 42): mean(20), ("Market", "zero", 42): f"{mean(20)} / 2", ("Market", "supplied", 42): mean(25)})
     return p
 
 
@@ -215,7 +216,7 @@ SELECT method, avg(abs(actual - pred)) AS mae_bottom_up, avg(abs(y - CASE WHEN m
 def _(s, d):
     bu = main(s, d).filter("method in ('Naive', 'NaiveMean')").groupBy("method", "ds").agg(F.sum("actual").alias("actual"), F.sum("pred").alias("pred"))
     tot = b.series(s, d).groupBy("ds").agg(F.sum("y").alias("y")).withColumn("series", F.lit("total"))
-    td = ev.rolling_results(tot, {("Naive", "main", 42): SW.lag(1), ("NaiveMean", "main", 42): F.avg("y").over(SW.back(90))}).filter("block = 'test'").select("method", "ds", F.col("ae").alias("td"))
+    td = ev.rolling_results(tot, {("Naive", "main", 42): SW.sql_lag(1), ("NaiveMean", "main", 42): SW.sql_back("avg(y)", 90)}).filter("block = 'test'").select("method", "ds", F.col("ae").alias("td"))
     return bu.join(td, ["method", "ds"]).groupBy("method").agg(F.avg(F.abs(F.col("actual") - F.col("pred"))).alias("mae_bottom_up"), F.avg("td").alias("mae_top_down"), F.count(F.lit(1)).alias("n"))
 
 
@@ -249,12 +250,9 @@ def _(s, d):
 
 
 def _tests(s, d):
-    m = main(s, d)
-    out = None
-    for o in ("Naive", "NaiveDrift", "SeasonalNaive"):
-        p = ev.paired(m, "method", "NaiveMean", o, ["series", "origin"]).withColumn("name", F.lit(o))
-        out = p if out is None else out.unionByName(p)
-    return out
+    """(name, series, origin, a, b): the recent mean against every other method, from one pivot."""
+    wide = ev.pivot_methods(main(s, d), METHODS)
+    return wide.selectExpr("series", "origin", "NaiveMean AS a", "stack(3, 'Naive', Naive, 'NaiveDrift', NaiveDrift, 'SeasonalNaive', SeasonalNaive) AS (name, b)").filter("a is not null and b is not null")
 
 
 _WX = f"""{TEST}, tp AS (SELECT a.series, a.origin, b.method AS name, a.mase AS a, b.mase AS b, round(a.mase - b.mase, 12) AS dd FROM main a JOIN main b ON a.series = b.series AND a.origin = b.origin WHERE a.method = 'NaiveMean' AND b.method <> 'NaiveMean'),

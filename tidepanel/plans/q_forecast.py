@@ -12,7 +12,8 @@ from tidepanel.plans import base as b
 from tidepanel.plans import q_etl as qe
 from tidepanel.plans.q_calendar import HOLIDAYS
 from tidepanel.plans.q_selection import leaf_series
-from tidepanel.plans.registry import query, values_sql
+from tidepanel.functions.literals import literal_table, values_sql
+from tidepanel.plans.registry import query
 
 H = 20
 _HOL = "hol AS (SELECT CAST(unnest([" + ",".join(f"'{h}'" for h in HOLIDAYS) + "]) AS DATE) AS h)"
@@ -70,6 +71,16 @@ def _(s, d):
     return fc.calibrate_factor(b.series(s, d))
 
 
+@query("m3_seasonal_share_forecast", "series:s ds:d pred:3", f"""WITH {b.INDEXED}, hist AS (SELECT series, ds, y FROM idx WHERE i <= n - 120), tg0 AS (SELECT series, ds, y FROM idx WHERE i > n - 120 AND n >= 620), {_share_sql('hist', 'tg0', 'c_')},
+f AS (SELECT series, CASE WHEN count(base) >= 20 AND sum(base * base) > 1e-9 THEN sum(base * y) / sum(base * base) - 1 END AS factor FROM c_base JOIN tg0 USING (series, ds) GROUP BY 1),
+{_naive_sql('series')}, tgt AS (SELECT series, ds FROM fh WHERE h <= {H}), {_share_sql('series', 'tgt')}
+SELECT base.series, ds, base * (1 + CASE WHEN factor BETWEEN -2 AND 2 THEN factor ELSE 0.25 END) AS pred FROM base LEFT JOIN f USING (series)""")
+def _(s, d):
+    x = b.series(s, d)
+    t = fc.naive_forecasts(x, H, HOLIDAYS).filter("method = 'Naive'").select("series", "ds")
+    return fc.share_forecast(fc.seasonal_share(x, t), fc.calibrate_factor(x), 0.25)
+
+
 _LEAFCTE = f"{qe.PANEL_SIMPLE}, leaf AS (SELECT node AS series, ds, value AS y FROM panel WHERE node IN ({qe._LEAVES}))"
 _POL = "pol AS (SELECT series, CASE WHEN count(*) FILTER (y <> 0) < 100 THEN 0 WHEN count(*) FILTER (y > 0) / count(*) FILTER (y <> 0) >= 0.995 THEN 1 WHEN count(*) FILTER (y > 0) / count(*) FILTER (y <> 0) <= 1 - 0.995 THEN -1 ELSE 0 END AS polarity FROM leaf GROUP BY 1)"
 
@@ -108,8 +119,7 @@ _MODELS = [(n, ("Naive", "NaiveDrift", "NaiveMean", "SeasonalNaive")[i % 4]) for
 
 def model_map(s):
     """The assignment arrives as one map column and is exploded to (series, model)."""
-    m = F.create_map(*[F.lit(x) for kv in _MODELS for x in kv])
-    return s.range(1).select(F.explode(m).alias("series", "model"))
+    return s.sql("SELECT explode(map(" + ", ".join(f"'{n}', '{m}'" for n, m in _MODELS) + ")) AS (series, model)")
 
 
 @query("m13_route_models", "series:s method:s h:i pred:4", f"WITH {_LEAFCTE}, {_naive_sql('leaf')}, mm(series, method) AS ({values_sql(_MODELS)}) SELECT series, method, h, pred FROM naive JOIN mm USING (series, method)")
@@ -203,7 +213,7 @@ hit AS (SELECT p.node, p.ds, sum(CASE WHEN kind = '+' THEN amount ELSE -amount E
 lf AS (SELECT p.node, p.ds, value, coalesce(a, 0) AS a FROM panel p LEFT JOIN hit USING (node, ds) WHERE p.node IN ({qe._LEAVES}))
 SELECT bridge.node, ds, sum(value + a) AS adjusted, sum(a) AS diff FROM lf JOIN bridge ON lf.node = leaf GROUP BY 1, 2""")
 def _(s, d):
-    a = s.createDataFrame(_ADJ, "node string, kind string, amount double, s string, e string").select("node", "kind", "amount", F.col("s").cast("date").alias("start_date"), F.col("e").cast("date").alias("end_date"))
+    a = literal_table(s, _ADJ, "node string, kind string, amount double, s string, e string").select("node", "kind", "amount", F.col("s").cast("date").alias("start_date"), F.col("e").cast("date").alias("end_date"))
     leaf = fc.apply_adjustments(qe.leaf_panel(s, d), a)
     bridge = nodes.rollup_bridge(qe.TREE_SIMPLE)
     new = etl.rollup_tree(leaf.select("node", "ds", F.col("adjusted").alias("value")), bridge).withColumnRenamed("value", "adjusted")

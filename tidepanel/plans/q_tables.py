@@ -9,7 +9,8 @@ from tidepanel.operators import align, etl, tables
 from tidepanel.operators.nodes import ENTITIES
 from tidepanel.plans import base as b
 from tidepanel.plans import q_etl as qe
-from tidepanel.plans.registry import query, values_sql
+from tidepanel.functions.literals import literal_table, values_sql
+from tidepanel.plans.registry import query
 from tidepanel.session import scratch_path
 from tidepanel.sources import files
 
@@ -22,7 +23,7 @@ _NAMES_SQL = "SELECT unnest(['A','N','R']) AS name"
 
 
 def periods(s):
-    return s.createDataFrame(PERIODS, "id string, period string, s string, e string").select(
+    return literal_table(s, PERIODS, "id string, period string, s string, e string").select(
         "id", "period", F.col("s").cast("date").alias("start_date"), F.col("e").cast("date").alias("end_date"))
 
 

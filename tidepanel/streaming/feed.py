@@ -40,7 +40,8 @@ def ingest_feed(stream: DataFrame, store: str, checkpoint: str, order: list[str]
             days = fresh.select("published_day").distinct()
             seen = known.join(F.broadcast(days), "published_day", "left_semi").select("uid")      # one row per day of the batch
             fresh = fresh.join(seen, "uid", "left_anti")
-        fresh.write.mode("append").partitionBy("published_day").parquet(store)
+        # rebalance splits a hot day over several files and keeps small days in one
+        fresh.hint("rebalance", "published_day").write.mode("append").partitionBy("published_day").parquet(store)
 
     q = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
