@@ -102,12 +102,12 @@ def _w6(s, d):
 family("w6_changes", _chg, _chg, _w6)
 
 _vol = {f"volatility_{n}": f"CASE WHEN {_back('count(y)', n)} = {n} THEN {_back('stddev_samp(y)', n)} / {_safe(_back('avg(y)', n))} END" for n in (5, 15, 30)}
-_VOLCTE = "vol AS (SELECT series, ds, i, " + ", ".join(f"CASE WHEN abs({_back('avg(y)', n)}) > 0.5 THEN {e} END AS volatility_{n}" for n, e in zip((5, 15, 30), _vol.values())) + " FROM idx)"
+_VOLCTE = "vol AS (SELECT series, ds, i, " + ", ".join(f"CASE WHEN abs({_back('avg(y)', n)}) > 0.5 THEN round({e}, 9) END AS volatility_{n}" for n, e in zip((5, 15, 30), _vol.values())) + " FROM idx)"
 
 
 def _vol_df(s, d):
     v = ft.add(indexed(s, d), ft.volatility_features(SW))
-    return v.withColumns({f"volatility_{n}": F.when(F.abs(F.avg("y").over(SW.back(n))) > 0.5, F.col(f"volatility_{n}")) for n in (5, 15, 30)})
+    return v.withColumns({f"volatility_{n}": F.when(F.abs(F.avg("y").over(SW.back(n))) > 0.5, F.round(f"volatility_{n}", 9)) for n in (5, 15, 30)})
 
 
 family("w7_volatility", [*_vol, "volatility_ratio_5_30"], {**{k: k for k in _vol}, "volatility_ratio_5_30": f"volatility_5 / (volatility_30 + {_EPS})"},

@@ -103,10 +103,10 @@ _BRIDGE_SQL = f"bridge(leaf, node, one) AS ({values_sql(nodes.rollup_bridge(qe.T
 
 def _leaf_forecast(s, d, method="NaiveMean"):
     f = fc.naive_forecasts(fc.forecastable(leaf_series(s, d)), H, HOLIDAYS).filter(F.col("method") == method)
-    return f.select(F.col("series").alias("node"), "h", "ds", F.round(F.col("pred"), 4).alias("value"))
+    return f.select(F.col("series").alias("node"), "h", "ds", F.col("pred").alias("value"))
 
 
-_LF = f"{_LEAFCTE}, live AS (SELECT * FROM leaf WHERE series IN (SELECT series FROM leaf GROUP BY 1 HAVING count(*) >= 10 AND count(*) FILTER (y <> 0) > 0)), {_naive_sql('live')}, lfc AS (SELECT series AS node, h, ds, round(pred, 4) AS value FROM naive WHERE method = 'NaiveMean'), {_BRIDGE_SQL}"
+_LF = f"{_LEAFCTE}, live AS (SELECT * FROM leaf WHERE series IN (SELECT series FROM leaf GROUP BY 1 HAVING count(*) >= 10 AND count(*) FILTER (y <> 0) > 0)), {_naive_sql('live')}, lfc AS (SELECT series AS node, h, ds, pred AS value FROM naive WHERE method = 'NaiveMean'), {_BRIDGE_SQL}"
 
 
 @query("m12_hierarchical_forecast", "node:s h:i ds:d value:3", f"WITH {_LF} SELECT bridge.node, h, ds, sum(value) AS value FROM lfc JOIN bridge ON lfc.node = leaf GROUP BY 1, 2, 3")
