@@ -63,8 +63,12 @@ def roll_to_next_business_day(df: DataFrame, calendar: DataFrame, date_col: str)
 
 
 def period_join(df: DataFrame, periods: DataFrame, date_col: str = "ds") -> DataFrame:
-    """Rows with the reporting period that covers their date (a small period table)."""
-    return df.join(F.broadcast(periods), F.col(date_col).between(F.col("start_date"), F.col("end_date")))
+    """Rows with every reporting period that covers their date.
+
+    Periods are spread over their days, so this is an equi join on the date instead of a range join; a date
+    in two overlapping periods belongs to both."""
+    days = periods.withColumn("_d", F.explode(F.sequence("start_date", "end_date")))
+    return df.join(days, F.col(date_col) == F.col("_d")).drop("_d")
 
 
 def merge_override(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:

@@ -32,7 +32,7 @@ def same_depth_leaves(nodes: DataFrame) -> DataFrame:
     parents = nodes.select(F.substring_index("node", ".", -1).alias("_l"), "node").select(F.expr("left(node, length(node) - length(_l) - 1)").alias("node")).filter("node <> ''").distinct()
     leaf = nodes.join(parents, "node", "left_anti").withColumn("depth", F.size(F.split("node", r"\.")))
     by_depth = leaf.groupBy("depth").agg(F.sort_array(F.collect_set("node")).alias("all"))
-    return leaf.join(F.broadcast(by_depth), "depth").select("node", F.array_remove("all", F.col("node")).alias("peers"))
+    return leaf.join(by_depth, "depth").select("node", F.array_remove("all", F.col("node")).alias("peers"))
 
 
 def top_correlated(pairs: DataFrame, k: int = 30) -> DataFrame:

@@ -120,6 +120,15 @@ def _(s, d):
     return dg.pacf(b.series(s, d))
 
 
+@query("d10_pacf_first_three", "series:s k:i pacf:6", f"""WITH {b.SERIES}, e AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY ds) AS i, count(*) {_P} AS n, y - avg(y) {_P} AS e FROM series),
+ac AS (SELECT a.series, a.n, a.i - b.i AS k, sum(a.e * b.e) / (a.n - (a.i - b.i)) AS p FROM e a JOIN e b ON a.series = b.series AND b.i <= a.i AND b.i >= a.i - 3 GROUP BY 1, 2, 3),
+r AS (SELECT series, max(p) FILTER (k = 1) / max(p) FILTER (k = 0) AS r1, max(p) FILTER (k = 2) / max(p) FILTER (k = 0) AS r2, max(p) FILTER (k = 3) / max(p) FILTER (k = 0) AS r3 FROM ac GROUP BY 1)
+SELECT series, 1 AS k, r1 AS pacf FROM r UNION ALL SELECT series, 2, (r2 - r1*r1) / (1 - r1*r1) FROM r
+UNION ALL SELECT series, 3, (r3 - 2*r1*r2 + pow(r1, 3) + r1*r2*r2 - r1*r1*r3) / (1 - 2*r1*r1 - r2*r2 + 2*r1*r1*r2) FROM r""")
+def _(s, d):
+    return dg.pacf(b.series(s, d), 3)
+
+
 @query("d11_distribution_stats", "series:s n:i mean:4 std:4 skewness:6 kurtosis_excess:6 jb:3 jb_p:6 normal:i", f"""WITH {b.SERIES}, m AS (SELECT series, count(*) AS n, avg(y) AS mean, stddev_samp(y) AS std FROM series GROUP BY 1),
 k AS (SELECT series, n, mean, std, avg(pow((y - mean) / std, 3)) AS skewness, avg(pow((y - mean) / std, 4)) - 3 AS kurtosis_excess FROM series JOIN m USING (series) GROUP BY ALL),
 j AS (SELECT *, n / 6.0 * (skewness * skewness + kurtosis_excess * kurtosis_excess / 4) AS jb FROM k) SELECT *, exp(-jb / 2) AS jb_p, CAST(exp(-jb / 2) >= 0.05 AS INT) AS normal FROM j""")

@@ -306,9 +306,25 @@ def _(s, d):
     return inf.diebold_mariano(pairs(s, d), ["series"])
 
 
-@query("m33_model_confidence_set", "method:s p:4 kept:i")
+def _mcs_sql(rounds: int, alpha: float = 0.10) -> str:
+    q = f"""WITH {TEST}, dl AS (SELECT origin, method, avg(mase) AS loss FROM main GROUP BY 1, 2),
+dp AS (SELECT origin, row_number() OVER (ORDER BY origin) - 1 AS t, count(*) OVER () AS tt FROM (SELECT DISTINCT origin FROM dl)),
+blk AS (SELECT draw, k, CAST('0x' || substr(md5('0:' || draw || ':' || k), 1, 8) AS BIGINT) % tt AS st, tt FROM (SELECT unnest(range(2000)) AS draw), (SELECT any_value(tt) AS tt FROM dp), LATERAL (SELECT unnest(range(CAST(ceil(tt / 5) AS BIGINT))) AS k)),
+dr AS (SELECT draw, (st + o) % tt AS t FROM blk, (SELECT unnest(range(5)) AS o) WHERE k * 5 + o < tt),
+cell AS (SELECT draw, method, avg(loss) AS m FROM dr JOIN dp USING (t) JOIN dl USING (origin) GROUP BY 1, 2 UNION ALL SELECT -1, method, avg(loss) FROM dl GROUP BY 2),
+a1 AS (SELECT DISTINCT method FROM cell), p0 AS (SELECT 0.0 AS p, '' AS worst, TRUE AS go)"""
+    for i in range(1, rounds + 1):
+        q += f""", d{i} AS (SELECT draw, method, m - avg(m) OVER (PARTITION BY draw) AS d FROM cell JOIN a{i} USING (method)),
+s{i} AS (SELECT method, max(d) FILTER (draw = -1) AS base, stddev_samp(d) FILTER (draw >= 0) AS sd FROM d{i} GROUP BY 1), t{i} AS (SELECT max(base / sd) AS tmax, arg_max(method, base / sd) AS worst FROM s{i}),
+b{i} AS (SELECT draw, max((d - base) / sd) AS tb FROM d{i} JOIN s{i} USING (method) WHERE draw >= 0 GROUP BY 1),
+p{i} AS (SELECT greatest(avg(CAST(tb >= tmax AS INT)), any_value(o.p)) AS p, any_value(t{i}.worst) AS worst, any_value(o.go) AS run, any_value(o.go) AND greatest(avg(CAST(tb >= tmax AS INT)), any_value(o.p)) < {alpha} AS go FROM b{i}, t{i}, p{i - 1} o),
+a{i + 1} AS (SELECT method FROM a{i} WHERE NOT (method = (SELECT worst FROM p{i}) AND (SELECT go FROM p{i})))"""
+    out = " UNION ALL ".join(f"SELECT worst AS method, p FROM p{i} WHERE run" for i in range(1, rounds + 1))
+    return q + f", gone AS ({out}) SELECT a1.method, coalesce(gone.p, 1.0) AS p, CAST(coalesce(gone.p, 1.0) >= {alpha} AS INT) AS kept FROM a1 LEFT JOIN gone USING (method)"
+
+
+@query("m33_model_confidence_set", "method:s p:4 kept:i", _mcs_sql(len(METHODS) - 1))
 def _(s, d):
-    """Models left after T-max elimination on 2000 block resamples."""
     return inf.model_confidence_set(main(s, d))
 
 

@@ -279,13 +279,13 @@ def _pool_summary(df, keys):
     return f.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.lit(len(names)).alias("columns"), F.expr(f"{len(names)} * count(1) - " + " - ".join(f"count({c})" for c in names)).alias("missing"))
 
 
-@query("w_feature_pool", "series:s n:i columns:i missing:i")
+@query("w_feature_pool", "series:s n:i columns:i missing:i", f"WITH {b.SERIES} SELECT series, count(*) AS n, 116 AS columns, 0 AS missing FROM series GROUP BY 1")
 def _(s, d):
     """The 116-candidate pool of every series, filled: rows, columns and cells left empty."""
     return _pool_summary(b.series(s, d), ["series"])
 
 
-@query("w_feature_pool_customers", "n:i series_count:i columns:i missing:i")
+@query("w_feature_pool_customers", "n:i series_count:i columns:i missing:i", f"{_CUST} SELECT count(*) AS n, count(DISTINCT series) AS series_count, 116 AS columns, 0 AS missing FROM idx")
 def _(s, d):
     """The same pool over one series per customer: many short series."""
     return _pool_summary(customer_series(s, d), ["series"]).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("series_count"), F.max("columns").alias("columns"), F.sum("missing").alias("missing"))

@@ -75,13 +75,19 @@ def _(s, d):
 _SMALL = {**{f"lag_{k}": qf._lags[f"lag_{k}"] for k in range(1, 11)}, **{k: v for k, v in qf._roll.items() if k.rsplit("_", 1)[1] in ("5", "20") and "min" not in k},
           "value_diff_1": qf._chg["value_diff_1"], "value_diff_5": qf._chg["value_diff_5"]}
 _NAMES = list(_SMALL)
-_LONG = f"""{b.INDEXED}, fw AS (SELECT series, ds, y, {', '.join(f'round(coalesce({e}, 0), 6) AS {n}' for n, e in _SMALL.items())} FROM idx),
-fl AS (SELECT series, ds, y, feature, x FROM fw UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(_NAMES)}))),
+
+
+def _long_sql(features: dict, source: str = "idx", ctes: str = "") -> str:
+    return f"""{b.INDEXED}{ctes}, fw AS (SELECT series, ds, y, {', '.join(f'round(coalesce({e}, 0), 6) AS {n}' for n, e in features.items())} FROM {source}),
+fl AS (SELECT series, ds, y, feature, x FROM fw UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(features)}))),
 rk AS (SELECT *, rank() OVER (PARTITION BY series, feature ORDER BY x) + (count(*) OVER (PARTITION BY series, feature, x) - 1) / 2.0 AS rx,
   rank() OVER (PARTITION BY series, feature ORDER BY y) + (count(*) OVER (PARTITION BY series, feature, y) - 1) / 2.0 AS ry FROM fl),
 rel AS (SELECT series, feature, round(coalesce(abs(corr(rx, ry)), 0), 9) AS score FROM rk GROUP BY 1, 2)"""
 
 
+_LONG = _long_sql(_SMALL)
+
+
 def small_ranks(s, d):
     x = qf.indexed(s, d)
     cols = {**ft.lag_features(qf.SW), **ft.rolling_features(qf.SW), **ft.change_features(qf.SW)}
@@ -107,10 +113,10 @@ p1 AS (SELECT series, 1 AS step, feature, score FROM rel QUALIFY row_number() OV
 p{i} AS (SELECT * FROM p{i - 1} UNION ALL (SELECT r.series, {i}, r.feature, r.score FROM rel r JOIN redm m ON m.series = r.series AND m.f = r.feature JOIN p{i - 1} p ON p.series = r.series AND p.feature = m.g
   WHERE (r.series, r.feature) NOT IN (SELECT series, feature FROM p{i - 1}) GROUP BY r.series, r.feature, r.score
   QUALIFY row_number() OVER (PARTITION BY r.series ORDER BY r.score - avg(m.c) DESC, r.feature) = 1))"""
-    return f"WITH {_LONG}, {red} SELECT * FROM p{k}"
+    return f"{red}"
 
 
-@query("f5_mrmr_select", "series:s step:i feature:s score:6", _mrmr_sql(3))
+@query("f5_mrmr_select", "series:s step:i feature:s score:6", f"WITH {_LONG}, {_mrmr_sql(3)} SELECT * FROM p3")
 def _(s, d):
     return sel.mrmr_select(small_ranks(s, d), 3)
 
@@ -137,17 +143,25 @@ def _(s, d):
     return sel.mean_pairwise_corr(leaf_series(s, d), len(LEAVES))
 
 
-@query("f9_market_slots", "rule:s k:i series:s chosen:i market:i")
+_MARKET = {**{f"ext_{c}_lag_{k}": f"CASE WHEN y <> 0 THEN {qf._lag(k, c)} END" for c in ("A", "N") for k in range(1, 4)}, **{f"lag_{k}": qf._lags[f"lag_{k}"] for k in (1, 2, 5, 10)}}
+_SLOT = "SELECT '{r}' AS rule, {k} AS k, series, count(*) AS chosen, count(*) FILTER (feature LIKE 'ext!_%' ESCAPE '!') AS market FROM {t} WHERE step <= {k} GROUP BY series"
+_REL = "(SELECT *, row_number() OVER (PARTITION BY series ORDER BY score DESC, feature) AS step FROM rel)"
+
+
+@query("f9_market_slots", "rule:s k:i series:s chosen:i market:i", f"WITH {_long_sql(_MARKET, 'joined', ', ' + b.EXTERNAL + ', ' + qf._MKT)}, {_mrmr_sql(4)} "
+       + " UNION ALL ".join(_SLOT.format(r=r, k=k, t=t) for r, t in (("mrmr", "p4"), ("relevance", _REL)) for k in (2, 4)))
 def _(s, d):
     """Chosen market features per selection size and rule."""
-    wide = ft.cross_lags(qf.market_joined(s, d), qf.SW, ["A", "N"], range(1, 6))
-    wide = ft.add(wide, ft.lag_features(qf.SW))
-    cols = [c for c in wide.columns if c.startswith(("ext_", "lag_"))]
-    ranks = sel.feature_ranks(sel.long_features(wide, cols))
+    wide = qf.market_joined(s, d)
+    for c in ("A", "N"):
+        wide = ft.add(wide, {f"ext_{c}_lag_{k}": f"CASE WHEN y <> 0 THEN {qf.SW.sql_lag(k, c)} END" for k in range(1, 4)})
+    wide = ft.add(wide, ft.lag_features(qf.SW, (1, 2, 5, 10)))
+    wide = wide.selectExpr("series", "ds", "y", *[f"round({c}, 6) AS {c}" for c in _MARKET])
+    ranks = sel.feature_ranks(sel.long_features(wide, list(_MARKET)))
     out = None
     for rule, beta in (("mrmr", 1.0), ("relevance", 0.0)):
-        chosen = sel.mrmr_select(ranks, 12, beta)
-        for k in (6, 12):
+        chosen = sel.mrmr_select(ranks, 4, beta)
+        for k in (2, 4):
             m = sel.market_slots(chosen.filter(F.col("step") <= k)).withColumns({"rule": F.lit(rule), "k": F.lit(k)})
             out = m if out is None else out.unionByName(m)
     return out
