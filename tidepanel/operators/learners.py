@@ -1,10 +1,14 @@
-"""Pooled learners: one MLlib model over all series, the series itself being a feature."""
+"""Pooled learners: one MLlib model over all series.
+
+A series enters as its training mean and spread, not as a category, so the number of series is not limited
+by tree bins and no list of series passes through the driver.
+"""
 
 from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from tidepanel.operators import features as ft
 from tidepanel.session import cut_lineage
 
 LAGS, MEANS = (1, 2, 3, 4, 5, 10), (5, 20)
+LEVEL = ("series_mean", "series_sd")
 DEPTH = max(*LAGS, *MEANS)
 
 
@@ -29,21 +34,31 @@ def _day(d):
     return {"day_of_week": c["day_of_week"], "month": c["month"]}
 
 
+def series_levels(train: DataFrame) -> DataFrame:
+    """(series, series_mean, series_sd) from the training rows only."""
+    return train.groupBy("series").agg(F.avg("y").alias(LEVEL[0]), F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias(LEVEL[1]))
+
+
+def with_levels(rows: DataFrame, levels: DataFrame) -> DataFrame:
+    """Rows with their series' levels; a series not seen in training gets zeros."""
+    return rows.join(levels, "series", "left").fillna(0.0, subset=list(LEVEL))
+
+
 def _assemble(columns: list[str], onehot: tuple[str, ...] = ()) -> list:
-    index = StringIndexer(inputCol="series", outputCol="series_index", handleInvalid="keep")
-    stages: list = [index]
+    stages: list = []
     if onehot:
         stages.append(OneHotEncoder(inputCols=list(onehot), outputCols=[f"{c}_hot" for c in onehot], handleInvalid="keep"))
     hot = [f"{c}_hot" for c in onehot]
-    return [*stages, VectorAssembler(inputCols=[*[c for c in columns if c not in onehot], *hot, "series_index"], outputCol="features", handleInvalid="skip")]
+    return [*stages, VectorAssembler(inputCols=[*[c for c in columns if c not in onehot], *hot], outputCol="features", handleInvalid="skip")]
 
 
 def fit_trees(train: DataFrame, columns: list[str], kind: str = "forest", **params):
+    """Rows carry their series' levels (``with_levels``)."""
     if kind == "forest":
         learner = RandomForestRegressor(labelCol="y", seed=42, **{"numTrees": 20, "maxDepth": 6, **params})
     else:
         learner = GBTRegressor(labelCol="y", seed=42, **{"maxIter": 10, "maxDepth": 4, "stepSize": 0.1, **params})
-    return Pipeline(stages=[*_assemble(columns), learner]).fit(train)
+    return Pipeline(stages=[*_assemble([*columns, *LEVEL]), learner]).fit(train)
 
 
 def training_range(train: DataFrame, columns: list[str]) -> tuple[list[str], dict[str, tuple[float, float]]]:
@@ -64,7 +79,7 @@ def fit_ridge(train: DataFrame, valid: DataFrame, columns: list[str], variant: s
 
     Variants: ``lags`` (own lags only), ``dummies`` (calendar as indicator columns), ``all``."""
     use = [c for c in columns if c.startswith("lag_")] if variant == "lags" else columns
-    keep, ranges = training_range(train, use)
+    keep, ranges = training_range(train, [*use, *LEVEL])
     onehot = tuple(c for c in ("day_of_week", "month") if c in keep) if variant == "dummies" else ()
     stages = _assemble(keep, onehot)
     best, score = None, None
@@ -80,7 +95,7 @@ def direct_predict(model, rows: DataFrame, ranges: dict | None = None) -> DataFr
     return model.transform(clip_to_range(rows, ranges) if ranges else rows).select("series", "ds", "y", F.col("prediction").alias("pred"))
 
 
-def recursive_predict(model, history: DataFrame, horizon: int, holidays: list[str], cut_every: int = 10) -> DataFrame:
+def recursive_predict(model, levels: DataFrame, history: DataFrame, horizon: int, holidays: list[str], cut_every: int = 10) -> DataFrame:
     """Forecast ``horizon`` business days ahead, each step fed with the earlier predictions.
 
     A series is one row holding its last values, so a step is a projection over all series at once with no
@@ -91,13 +106,13 @@ def recursive_predict(model, history: DataFrame, horizon: int, holidays: list[st
     state = state.filter(F.size("tail") >= DEPTH).withColumn("days", F.array().cast("array<date>"))
     days = cal.future_business_days(state.select("series", "last_ds"), "last_ds", horizon, holidays).groupBy("series").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("h", "ds"))), lambda x: x["ds"]).alias("days"))
-    state = state.drop("days").join(days, "series").withColumn("preds", F.array().cast("array<double>"))
+    state = with_levels(state.drop("days").join(days, "series"), levels).withColumn("preds", F.array().cast("array<double>"))
     for h in range(1, horizon + 1):
         lag = lambda k: F.element_at("tail", -k)
         mean = lambda n: F.aggregate(F.slice("tail", -n, n), F.lit(0.0), lambda a, x: a + x) / n
         cols = {**{f"lag_{k}": lag(k) for k in LAGS}, **{f"mean_{n}": mean(n) for n in MEANS}, **_day(F.element_at("days", h)), "y": F.lit(0.0)}
         step = model.transform(state.withColumns(cols))
-        state = step.select("series", "days", F.concat(F.slice("tail", 2, DEPTH - 1), F.array("prediction")).alias("tail"), F.concat("preds", F.array("prediction")).alias("preds"))
+        state = step.select("series", "days", *LEVEL, F.concat(F.slice("tail", 2, DEPTH - 1), F.array("prediction")).alias("tail"), F.concat("preds", F.array("prediction")).alias("preds"))
         if h % cut_every == 0 and h < horizon:
             state = cut_lineage(state)
     return state.select("series", F.posexplode(F.arrays_zip("days", "preds")).alias("h", "x")).select("series", (F.col("h") + 1).alias("h"), F.col("x.days").alias("ds"), F.col("x.preds").alias("pred"))
@@ -117,4 +132,4 @@ def stack_models(wide: DataFrame, methods: list[str], n_origins: int, folds: int
 
 def feature_importances(model, columns: list[str]) -> list[tuple[str, float]]:
     """Importances of a fitted tree pipeline, by input column."""
-    return list(zip([*columns, "series_index"], [float(v) for v in model.stages[-1].featureImportances.toArray()]))
+    return list(zip([*columns, *LEVEL], [float(v) for v in model.stages[-1].featureImportances.toArray()]))

@@ -25,7 +25,8 @@ SW = SeriesWindow()
 def _parts(s, d, hold: int = 60):
     """Training, validation and test rows with features; computed once and kept for the fits."""
     x, cols = ml.direct_features(b.series(s, d), SW)
-    x = positions(x).withColumn("age", F.col("n") - F.col("i")).cache()
+    x = positions(x).withColumn("age", F.col("n") - F.col("i"))
+    x = ml.with_levels(x, ml.series_levels(x.filter(F.col("age") > 2 * hold))).cache()
     return x.filter(F.col("age") > 2 * hold), x.filter((F.col("age") > hold) & (F.col("age") <= 2 * hold)), x.filter(F.col("age") <= hold), cols
 
 
@@ -63,7 +64,7 @@ def _(s, d):
 def _(s, d):
     """Twenty business days ahead, each fed with the predictions before it."""
     train, _v, _t, cols = _parts(s, d)
-    return ml.recursive_predict(ml.fit_trees(train, cols, numTrees=5, maxDepth=4), b.series(s, d), 20, HOLIDAYS)
+    return ml.recursive_predict(ml.fit_trees(train, cols, numTrees=5, maxDepth=4), ml.series_levels(train), b.series(s, d), 20, HOLIDAYS)
 
 
 @query("m9_stack_models", "series:s origin:i fold:i y:0 pred:2")
