@@ -93,15 +93,16 @@ def melt(df: DataFrame, ids: list[str], columns: list[str], name: str, value: st
     return df.unpivot(ids, columns, name, value)
 
 
-def rollup_tree(leaf_df: DataFrame, bridge: list[tuple[str, str, int]], keys=("ds",)) -> DataFrame:
-    """Bottom-up recalculation: each leaf adds its value to every ancestor of the fixed bridge."""
+def rollup_tree(leaf_df: DataFrame, bridge: list[tuple[str, str, int]], keys=("ds",), values=("value",)) -> DataFrame:
+    """Bottom-up recalculation: each leaf adds its value(s) to every ancestor of the fixed bridge."""
+    sums = [F.sum(v).alias(v) for v in values]
     ups: dict[str, list[str]] = {}
     for leaf, anc, _ in bridge:
         ups.setdefault(leaf, []).append(anc)
     m = "map(" + ", ".join("'{}', array({})".format(leaf, ", ".join(f"'{v}'" for v in a)) for leaf, a in ups.items()) + ")"
-    return (leaf_df.groupBy(*keys, "node").agg(F.sum("value").alias("value"))
-            .select(*keys, F.expr(f"explode({m}[node])").alias("node"), "value")
-            .groupBy(*keys, "node").agg(F.sum("value").alias("value")))
+    return (leaf_df.groupBy(*keys, "node").agg(*sums)
+            .select(*keys, F.expr(f"explode({m}[node])").alias("node"), *values)
+            .groupBy(*keys, "node").agg(*sums))
 
 
 def node_columns(panel: DataFrame, nodes: list[str], keys=("ds",)) -> DataFrame:

@@ -198,8 +198,7 @@ def _(s, d):
     sd = x.groupBy(F.col("series").alias("node")).agg(F.round(1.96 * 0.3 * F.stddev_pop("y"), 6).alias("hw"))
     leaf = _leaf_forecast(s, d).join(sd, "node")
     bridge = nodes.rollup_bridge(qe.TREE_SIMPLE)
-    up = lambda c, n: etl.rollup_tree(leaf.select("node", "h", "ds", c.alias("value")), bridge, ("h", "ds")).withColumnRenamed("value", n)
-    j = up(F.col("value"), "value").join(up(F.col("hw"), "sh"), ["node", "h", "ds"]).join(up(F.col("hw") * F.col("hw"), "sh2"), ["node", "h", "ds"])
+    j = etl.rollup_tree(leaf.selectExpr("node", "h", "ds", "value", "hw AS sh", "hw * hw AS sh2"), bridge, ("h", "ds"), ("value", "sh", "sh2"))
     rho = mean_pairwise_corr(x, len(nodes.leaf_nodes(qe.TREE_SIMPLE))).select(F.round("rho", 9).alias("rho"))
     j = j.join(F.broadcast(rho)).withColumn("g", fc.combine_halfwidths(F.col("sh"), F.col("sh2"), F.col("rho")))
     return j.withColumns({"lower": F.col("value") - F.col("g"), "upper": F.col("value") + F.col("g")})
@@ -216,6 +215,4 @@ def _(s, d):
     a = literal_table(s, _ADJ, "node string, kind string, amount double, s string, e string").select("node", "kind", "amount", F.col("s").cast("date").alias("start_date"), F.col("e").cast("date").alias("end_date"))
     leaf = fc.apply_adjustments(qe.leaf_panel(s, d), a)
     bridge = nodes.rollup_bridge(qe.TREE_SIMPLE)
-    new = etl.rollup_tree(leaf.select("node", "ds", F.col("adjusted").alias("value")), bridge).withColumnRenamed("value", "adjusted")
-    old = etl.rollup_tree(leaf.select("node", "ds", "value"), bridge)
-    return new.join(old, ["node", "ds"]).withColumn("diff", F.col("adjusted") - F.col("value"))
+    return etl.rollup_tree(leaf, bridge, values=("value", "adjusted")).withColumn("diff", F.col("adjusted") - F.col("value"))

@@ -90,10 +90,10 @@ def write_panel_wide(panel: DataFrame, path: str, meta=("node",)) -> None:
     The day columns live in one array cell until the line is written, so the plan does not grow
     with the calendar; the day list (the header) is the only thing read back to the driver."""
     days = [r[0] for r in panel.select(F.date_format("ds", "yyyy-MM-dd").alias("d")).distinct().orderBy("d").toLocalIterator()]
-    cells = F.map_from_entries(F.collect_list(F.struct(F.date_format("ds", "yyyy-MM-dd"), F.col("value").cast("string"))))
-    rows = panel.groupBy(*meta).agg(cells.alias("m")).orderBy(*meta)
-    order = F.split(F.lit(",".join(days)), ",")
-    line = F.concat_ws(",", *meta, F.transform(order, lambda d: F.coalesce(F.try_element_at("m", d), F.lit(""))))
+    grid = panel.select(*meta).distinct().select(*meta, F.explode(F.split(F.lit(",".join(days)), ",")).alias("d"))
+    cell = grid.join(panel.select(*meta, F.date_format("ds", "yyyy-MM-dd").alias("d"), F.col("value").cast("string").alias("v")), [*meta, "d"], "left")
+    rows = cell.groupBy(*meta).agg(F.sort_array(F.collect_list(F.struct("d", F.coalesce("v", F.lit("")).alias("v")))).alias("c")).orderBy(*meta)
+    line = F.concat_ws(",", *meta, F.transform("c", lambda x: x["v"]))
     rows.select(line.alias(",".join([*meta, *days]))).write.csv(path, header=True, sep="\x01", escapeQuotes=False)
 
 
