@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import language, mixing, packing, sharding
+from tidepanel.llm import language, mixing, nearduplicates, packing, sharding, vectors
 from tidepanel.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,22 @@ def register(fn):
     return fn
 
 
+@register
+def op2_setsketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearduplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register
+def op4_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vectors.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return vectors.exact_top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 @register
 def op6_uniform_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
