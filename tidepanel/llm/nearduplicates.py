@@ -166,11 +166,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 else:
                     rows.append((0, 0, 0, None, None))
             out = pd.DataFrame(rows, columns=["n", "f1", "f2", "regs", "bands"])
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy() if b["doc_id"].isna().any() else b["doc_id"].to_numpy())
+            out.insert(0, "doc_id", b["doc_id"])
             yield out
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id bigint, n bigint, f1 bigint, f2 bigint, regs binary, bands array<bigint>")
+    # ids travel as text: pandas would turn a column with nulls into floating point
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+        run, "doc_id string, n bigint, f1 bigint, f2 bigint, regs binary, bands array<bigint>")
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -243,10 +245,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-        real = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(None)).alias("doc_id"), "text")
+        real = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
         wanted = real.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
         nameless = real.where("doc_id is null")
-        return stored(wanted.unionByName(nameless).mapInPandas(_set_rows, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+        return stored(wanted.unionByName(nameless).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_set_rows, "id bigint, set binary").dropDuplicates(["id"]), "sets")
 
     links = stored(verified(stars, sets_of(stars)), "links")
     parts = components(links)
@@ -276,7 +278,7 @@ def _set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, sets = [], []
         for i, s in zip(b["doc_id"], shingle_sets(b["text"])):
             if len(s):
-                ids.append(int(i) if pd.notna(i) else -1 - (int(s.sum(dtype=np.uint64).view(np.int64)) & ((1 << 62) - 1)))
+                ids.append(int(i) if i is not None else -1 - (int(s.sum(dtype=np.uint64).view(np.int64)) & ((1 << 62) - 1)))
                 sets.append(s.tobytes())
         yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "set": pd.Series(sets, dtype=object)})
 

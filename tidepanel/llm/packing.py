@@ -17,7 +17,7 @@ CAPACITY = 2048
 #: Fillings looked at before the search for one bin settles for the best so far.
 SEARCH = 4_000
 
-PIECES = "_row bigint, doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
+PIECES = "_row bigint, doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
 def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0, with_ids: bool = False) -> DataFrame:
@@ -42,10 +42,11 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
                     raw = ids[i:j].tobytes()
                     rows.append((row, doc, k, i, j - i, zlib.crc32(raw), *([raw] if with_ids else [])))
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(run, schema)
+    # ids travel as text: pandas would turn a column with nulls into floating point
+    out = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 class Completion:

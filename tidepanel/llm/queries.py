@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import language, mixing, nearduplicates, packing, sharding, vectors
+from tidepanel.llm import chat, language, mixing, nearduplicates, packing, pages, sharding, vectors
 from tidepanel.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def register(fn):
     return fn
 
 
+@register
+def op1_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract_pages(table(spark, sf_dir, "pages"))
+
+
 @register
 def op2_setsketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearduplicates.near_duplicates(table(spark, sf_dir, "documents"))
@@ -45,6 +50,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+@register
+def op8_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(*chat.prefix_tree(chat.with_probe(table(spark, sf_dir, "conversations"))))
+
+
 @register
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, blocks = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
