@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tidepanel.llm.common import n_words, random_key, spread_rank, stored
 from tidepanel.llm.sharding import multivariate
 
-#: Words in a block; longer documents are several blocks, so that one of them cannot fill a shard.
-BLOCK_WORDS = 4096
+#: Words in a block where documents aren't to be split: more than any document has.
+WHOLE = 1 << 40
 #: A document is taken at most so many times.
 MOST = 3
 
@@ -73,26 +73,27 @@ def source_plan(slim: DataFrame, weights) -> tuple[DataFrame, int]:
     return slim.sparkSession.createDataFrame(plan, schema), sum(r["n"] for r in stats)
 
 
-def mix(docs: DataFrame, shards: int = 32, weights=(1, 2, 3), seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, keep=("doc_id",), shards: int = 32, weights=(1, 2, 3), block_words: int = WHOLE, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(documents, blocks) of the mix.
 
-    documents: the columns of ``docs`` but the text, plus ``_row``, size, source_size and target.  blocks, one row
-    per block and time it is taken: _row, source, copy, start (word), words, shard, slot.  A source whose target
+    documents: the columns ``keep`` plus ``_row``, source, size, source_size and target.  blocks, one row
+    per block and time it is taken: _row, source, copy, start (word), words, shard, slot.  A block is a whole document
+    unless ``block_words`` is less than its size.  A source whose target
     is T and size S gives every block T div S times, and T mod S further words from its blocks in random order, the
     last one cut where the target is met: words taken differ from the target by rounding only.  Null or empty
     texts have size 0, give no block and stay in documents; a null source is a source of its own; repeated rows
     are separate documents.  A source without words has target 0.
     """
     spark = docs.sparkSession
-    slim = stored(docs.withColumn("size", n_words(F.col("text"))).drop("text").withColumn("_row", F.monotonically_increasing_id()), "mix")
+    slim = stored(docs.select(*keep, "source", n_words(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("_row")), "mix")
     plan, total = source_plan(slim, weights)
     plan = stored(plan, "plan")
     known = slim.join(plan, F.col("source").eqNullSafe(F.col("p_source")), "left").drop("p_source")
     pieces = (known.where("size > 0")
                    .select("_row", "source", "size", "full", "more",
-                           F.explode(F.expr(f"sequence(0, cast((size - 1) div {BLOCK_WORDS} as int))")).alias("block"))
-                   .withColumn("start", F.col("block").cast("bigint") * BLOCK_WORDS)
-                   .withColumn("words", F.least(F.col("size") - F.col("start"), F.lit(BLOCK_WORDS)))
+                           F.explode(F.expr(f"sequence(0, cast((size - 1) div {block_words} as int))")).alias("block"))
+                   .withColumn("start", F.col("block").cast("bigint") * block_words)
+                   .withColumn("words", F.least(F.col("size") - F.col("start"), F.lit(block_words)))
                    .withColumn("key", random_key(seed, F.col("_row"), F.col("block"))))
     ties = ["_row", "block"]
     beyond = spread_rank(pieces.where("more > 0"), ["source"], "key", ties, total, weight="words")
@@ -120,3 +121,27 @@ def taken_per_document(documents: DataFrame, blocks: DataFrame) -> DataFrame:
     sums = blocks.groupBy(F.col("_row").alias("_r")).agg(F.sum("words").alias("taken"))
     return (documents.join(sums, F.col("_row") == F.col("_r"), "left")
                      .withColumn("taken", F.coalesce("taken", F.lit(0)).cast("bigint")).drop("_r"))
+
+
+def first_words(text, n):
+    """The text up to and with its n-th word."""
+    rest = F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")
+    return F.rtrim(F.substring(rest, F.lit(1), F.length(rest) - F.length(F.element_at(F.split(rest, r"[\x20\x09-\x0D]+", n + 1), (n + 1).cast("int")))))
+
+
+def mixed_documents(docs: DataFrame, shards: int = 32, weights=(1, 2, 3), seed: int = 11) -> DataFrame:
+    """The mix itself: a row of ``docs`` for every time a document is taken, ordered by shard and slot.
+
+    The one document of a source at which its target is met may be cut after a word. Columns are those of ``docs``
+    plus shard and slot (which replace columns of these names); documents that the mix doesn't take are left out.
+    """
+    key = F.xxhash64("doc_id", "text", "source")
+    documents, blocks = mix(docs.select("source", "text", key.alias("_key")), ["_key"], shards, weights, seed=seed)
+    rows = documents.select(F.col("_row").alias("_r"), "_key", "size")
+    chosen = blocks.join(rows, F.col("_row") == F.col("_r")).select(F.col("_key").alias("_k"), *[F.col(c).alias(f"_mix_{c}") for c in ("size", "words", "shard", "slot")])
+    once = docs.withColumn("_key", key).dropDuplicates(["_key"])         # equal rows are chosen by the same key
+    text = F.when(F.col("_mix_words") < F.col("_mix_size"), first_words(F.col("text"), F.col("_mix_words").cast("int"))).otherwise(F.col("text"))
+    out = once.join(chosen, F.col("_key") == F.col("_k")).withColumn("text", text)
+    own = [c for c in docs.columns if c not in ("shard", "slot")]
+    out = out.select(*own, F.col("_mix_shard").alias("shard"), F.col("_mix_slot").alias("slot"))
+    return out.repartitionByRange(F.col("shard"), F.col("slot")).sortWithinPartitions("shard", "slot")

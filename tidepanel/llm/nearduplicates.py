@@ -155,7 +155,7 @@ def _matrix(values) -> np.ndarray:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), two set fingerprints, registers and band keys; the last two null for empty sets."""
+    """doc_id, text_key (hash of the text), n (set size), two set fingerprints, registers and band keys; the last two null for empty sets."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
@@ -166,12 +166,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                 else:
                     rows.append((0, 0, 0, None, None))
             out = pd.DataFrame(rows, columns=["n", "f1", "f2", "regs", "bands"])
+            out.insert(0, "text_key", b["text_key"])
             out.insert(0, "doc_id", b["doc_id"])
             yield out
 
     # ids travel as text: pandas would turn a column with nulls into floating point
-    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
-        run, "doc_id string, n bigint, f1 bigint, f2 bigint, regs binary, bands array<bigint>")
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.xxhash64("text").alias("text_key")).mapInPandas(
+        run, "doc_id string, text_key bigint, n bigint, f1 bigint, f2 bigint, regs binary, bands array<bigint>")
     return out.withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
@@ -207,7 +208,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept; and text_key, group (its component by class id).
 
     Documents with equal sets are one class, so copies cost one row. Classes that share a band form a bucket:
     every member is compared with the bucket's smallest class (likelihood estimate first, full sets then); only
@@ -270,7 +271,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = rows.join(named, (F.col("n") == F.col("_n")) & (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")), "left")
     component = F.when(F.col("named") >= 0, F.col("named")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+                      F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "text_key", F.col("named").alias("group"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents that stay: of every group of near-duplicates the one with the smallest id, once.
+
+    Documents without words all stay. Of a group without any id one document stays.
+    """
+    found = stored(near_duplicates(docs), "groups")
+    stay = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    out = docs.join(stay, F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null")
+    if nameless.isEmpty():
+        return out
+    unnamed = found.where("doc_id is null and component_id is null")
+    groups = unnamed.where("group is not null").groupBy("group").agg(F.min("text_key").alias("_key")).select("_key")
+    one = nameless.withColumn("_text", F.xxhash64("text")).join(groups, F.col("_text") == F.col("_key")).dropDuplicates(["_text"]).drop("_text", "_key")
+    blank = nameless.where(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", "") == "")
+    return out.unionByName(one).unionByName(blank)
 
 
 def _set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepanel.llm import chat, language, mixing, nearduplicates, packing, pages, sharding, vectors
+import corpus_pipeline
+from tidepanel.llm import chat, language, mixing, nearduplicates, packing, pages, pii, sharding, vectors
 from tidepanel.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +27,14 @@ def op1_wrapper_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op2_setsketch_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearduplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    found = nearduplicates.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.size("entities").alias("n_entities"), F.transform("entities", lambda e: e["type"]).alias("types"))
 
 
 @register
@@ -65,3 +73,12 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@register
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+if corpus_pipeline.ORACLE_SQL:
+    LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
