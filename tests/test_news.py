@@ -90,9 +90,10 @@ def test_days_past_the_calendar_drop(spark):
 
 
 def test_text_and_feed_filter(spark):
-    rows = [("Head", "Body", "Head. Body"), ("Head", "", "Head"), ("", "", None), ("H", "x" * 400, "H. " + "x" * 300), (None, "Only", "Only")]
+    rows = [("Head", "Body", "Head. Body"), ("Head", "", "Head"), ("", "", None), ("H", "x" * 400, "H. " + "x" * 400), (None, "Only", "Only")]
     got = spark.createDataFrame(rows, "t string, d string, want string").select(news.news_text(F.col("t"), F.col("d")).alias("got"), "want").collect()
     assert all(r.got == r.want for r in got), got
+    assert spark.range(1).select(news.news_text(F.lit("H"), F.lit("x" * 400), 300)).first()[0] == "H. " + "x" * 300
     f = spark.createDataFrame([("Indonesia", "2024-01-05"), ("indonesia ", "2024-02-05"), ("Japan", "2024-01-05")], "country string, d string").select("country", F.col("d").cast("date").alias("ds"))
     assert news.feed_filter(f, ["INDONESIA"], "2024-01-01", "2024-01-31").count() == 1
 
@@ -139,3 +140,96 @@ def test_ingest_is_idempotent_and_keeps_late_articles(spark, tmp_path):
     feed.ingest_feed(feed.read_feed(spark, land, chunk(rows).schema), store, str(tmp_path / "ck2"), ["published_utc", "event_id"])
     got = sorted((r.title, str(r.business_date), r.event_id) for r in spark.read.parquet(store).collect())
     assert got == [("a", "2024-01-01", 1), ("b", "2024-01-03", 3), ("late", "2024-01-01", 4)]
+
+
+def test_dates_before_the_calendar_roll_to_its_first_day(spark):
+    from tidepanel.operators import align
+
+    calendar = spark.createDataFrame([(dt.date(2024, 3, d),) for d in (4, 5, 8)], "ds date")
+    rows = [(dt.date(2024, 1, 1), 1), (dt.date(2024, 2, 20), 2), (dt.date(2024, 3, 4), 3), (dt.date(2024, 3, 6), 4), (dt.date(2024, 3, 9), 5), (None, 6)]
+    got = {r.v: str(r.ds) for r in align.roll_to_next_business_day(spark.createDataFrame(rows, "ds date, v int"), calendar, "ds").collect()}
+    assert got == {1: "2024-03-04", 2: "2024-03-04", 3: "2024-03-04", 4: "2024-03-08"}
+
+
+def test_feed_columns_are_checked_over_all_records(spark, tmp_path):
+    a, b = files.FEED_COLUMNS[:2]
+    (tmp_path / "lines.json").write_text(f'{{"{a}": "2024-01-02"}}\n{{"{a}": "2024-01-03", "{b}": "05 x"}}\n')
+    with pytest.raises(ValueError, match=files.FEED_COLUMNS[2]):
+        files.read_flows_json(spark, str(tmp_path / "lines.json"))
+    (tmp_path / "rows.xml").write_text(f"<result><rows><row><{a}>2024-01-02</{a}><{b}>05 x</{b}></row></rows></result>")
+    with pytest.raises(ValueError, match=files.FEED_COLUMNS[2]):
+        files.read_flows_xml(spark, str(tmp_path / "rows.xml"))
+    many = tmp_path / "many"
+    many.mkdir()
+    for i in range(20):                                     # the amount is there in one file of twenty
+        amount = f', "{files.FEED_COLUMNS[2]}": "7"' if i == 13 else ""
+        (many / f"{i}.json").write_text(f'[{{"{a}": "2024-01-02", "{b}": "05 x"{amount}}}]')
+    rows = files.read_flows_json(spark, str(many), multi_line=True).collect()
+    assert len(rows) == 20 and [r.volume for r in rows if r.volume is not None] == [7.0]
+
+
+def test_first_numeric_column_is_the_value(spark, tmp_path):
+    (tmp_path / "p.csv").write_text('date,name,close,open\n2024-01-02,x,"1,200.5",9\n2024-01-03,y,3,9\n2024-01-02,z,4,9\n')
+    assert {(str(r.ds), r.value) for r in files.read_two_column_series(spark, str(tmp_path / "p.csv")).collect()} == {("2024-01-02", 4.0), ("2024-01-03", 3.0)}
+    (tmp_path / "q.csv").write_text("date,name\n2024-01-02,x\n")
+    with pytest.raises(ValueError, match="numbers"):
+        files.read_two_column_series(spark, str(tmp_path / "q.csv"))
+
+
+ARTICLE = "uid string, event_id int, published_utc timestamp, title string, polarity double, scorer string"
+
+
+def _land(spark, path, rows):
+    spark.createDataFrame([(u, i, dt.datetime.fromisoformat(t), "t", p, "s") for u, i, t, p in rows], ARTICLE).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_late_rows_are_kept_and_repeats_are_not(spark, tmp_path):
+    landing, store, table = (str(tmp_path / x) for x in ("landing", "store", "table"))
+    order = ["published_utc", "event_id"]
+    for rows in ([("a", 1, "2024-03-05T01:00:00", 0.5)], [("b", 2, "2024-03-25T01:00:00", 0.1)], [("a", 3, "2024-03-05T01:00:00", 0.9), ("c", 4, "2024-03-05T02:00:00", 0.7), ("d", 5, "2024-02-01T10:00:00", 0.2)]):
+        _land(spark, landing, rows)
+        feed.stream_dedup(feed.read_feed(spark, landing, ARTICLE), store, str(tmp_path / "ck"), order)
+        feed.tumbling_from_store(feed.read_feed(spark, landing, ARTICLE), str(tmp_path / "store2"), table, str(tmp_path / "ck2"), order)
+    assert sorted(r.uid for r in spark.read.parquet(store).collect()) == ["a", "b", "c", "d"]
+    got = {(str(r.business_date), r.n_news, round(r.polarity, 6)) for r in feed.latest_revision(spark, table, ["business_date", "scorer"]).collect()}
+    assert got == {("2024-03-05", 2, 0.6), ("2024-03-25", 1, 0.1), ("2024-02-02", 1, 0.2)}
+
+
+def test_ingest_reads_only_the_days_of_a_batch(spark, tmp_path, monkeypatch):
+    landing, store = str(tmp_path / "landing"), str(tmp_path / "store")
+    _land(spark, landing, [(f"u{d}", d, f"2024-03-{d:02d}T01:00:00", 0.5) for d in range(1, 20)])
+    feed.ingest_feed(feed.read_feed(spark, landing, ARTICLE), store, str(tmp_path / "ck"), ["event_id"])
+    seen = []
+    real = feed._stored
+
+    def watched(s, path):
+        df = real(s, path)
+        if df is not None:
+            original = df.filter
+            monkeypatch.setattr(df, "filter", lambda c: seen.append(original(c)) or seen[-1], raising=False)
+        return df
+
+    monkeypatch.setattr(feed, "_stored", watched)
+    _land(spark, landing, [("u5", 99, "2024-03-05T01:00:00", 0.5), ("new", 100, "2024-03-06T01:00:00", 0.5)])
+    feed.ingest_feed(feed.read_feed(spark, landing, ARTICLE), store, str(tmp_path / "ck"), ["event_id"])
+    text = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [published_day" in text and spark.read.parquet(store).count() == 20
+    assert len(seen[0].inputFiles()) >= 2 and seen[0].select("published_day").distinct().count() == 2
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from tidepanel import session
+
+    class Context:
+        master = "local-cluster[2,1,1024]"
+
+        @staticmethod
+        def getConf():
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())

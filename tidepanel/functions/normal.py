@@ -44,6 +44,24 @@ def two_sided_sql(z: str) -> str:
     return f"(2 * (1 - {cdf_sql(f'abs({z})')}))"
 
 
+#: Degrees of freedom from which Student's t is taken from the normal distribution (its argument corrected; error < 1e-7).
+T_AS_NORMAL = 4000
+
+
+def t_two_sided_sql(t: str, nu: str) -> str:
+    """Two-sided p of Student's t with whole degrees of freedom: 1 minus a finite series in cos^2 of atan(t / sqrt(nu))."""
+    c2 = f"({nu} / ({nu} + {t} * {t}))"
+    count = f"CAST({nu} div 2 AS INT)"
+    sign = f"(CASE WHEN {nu} % 2 = 0 THEN -1 ELSE 0 END)"            # ratio of terms k, k - 1: (2k-1)/2k or 2k/(2k+1)
+    terms = (f"CASE WHEN {count} > 1 THEN aggregate(sequence(1, {count} - 1), named_struct('term', 1D, 'sum', 1D), (s, k) -> named_struct("
+             f"'term', s.term * {c2} * (2 * k + {sign}) / (2 * k + {sign} + 1), 'sum', s.sum + s.term * {c2} * (2 * k + {sign}) / (2 * k + {sign} + 1)), s -> s.sum) "
+             f"ELSE CASE WHEN {count} = 1 THEN 1D ELSE 0D END END")
+    sine = f"(abs({t}) / sqrt({nu} + {t} * {t}))"
+    inside = f"CASE WHEN {nu} % 2 = 0 THEN {sine} * ({terms}) ELSE 2 / pi() * (atan(abs({t}) / sqrt({nu})) + {sine} * sqrt{c2} * ({terms})) END"
+    z = f"(abs({t}) * (1 - 1 / (4 * CAST({nu} AS DOUBLE))) / sqrt(1 + {t} * {t} / (2 * CAST({nu} AS DOUBLE))))"
+    return f"(CASE WHEN {nu} >= {T_AS_NORMAL} THEN {two_sided_sql(z)} WHEN {nu} >= 1 THEN greatest(0D, 1 - ({inside})) END)"
+
+
 def cdf(column: str):
     return F.expr(cdf_sql(column))
 

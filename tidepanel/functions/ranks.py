@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 def slice_count(df: DataFrame) -> int:
-    """As many slices per group as the session has shuffle partitions, within reason."""
-    return max(16, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many slices per group as the session has shuffle partitions, 16 at least."""
+    return max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _cuts(df: DataFrame, keys: list[str], value: str, slices: int) -> DataFrame:

@@ -49,17 +49,21 @@ def align_asof(external: DataFrame, dates: DataFrame, names: list[str]) -> DataF
 
 
 def roll_map(calendar: DataFrame) -> DataFrame:
-    """(day, ds): first calendar day at or after each day.  One row per day of the calendar span."""
-    days = calendar.agg(F.sort_array(F.collect_set("ds")).alias("c"))
-    steps = days.select(F.posexplode("c").alias("i", "ds"), "c").select(
-        "ds", F.when(F.col("i") > 0, F.date_add(F.try_element_at("c", F.col("i")), 1)).otherwise(F.date_sub("ds", 6)).alias("lo"))
+    """(day, ds): first calendar day at or after each day from the calendar's first day on; one row per day."""
+    before = F.lag("ds", 1).over(Window.partitionBy(F.lit(1)).orderBy("ds"))          # one row per calendar day
+    steps = calendar.select("ds").distinct().withColumn("lo", F.coalesce(F.date_add(before, 1), F.col("ds")))
     return steps.select(F.explode(F.sequence("lo", "ds")).alias("day"), "ds")
 
 
 def roll_to_next_business_day(df: DataFrame, calendar: DataFrame, date_col: str) -> DataFrame:
-    """Replace the date by the next calendar day; days past the end of the calendar drop out."""
-    m = roll_map(calendar).withColumnRenamed("ds", "_to")
-    return (df.join(F.broadcast(m), F.col(date_col) == F.col("day")).drop("day", date_col).withColumnRenamed("_to", date_col))
+    """Replace the date by the next calendar day, which for any date before the calendar is its first day.
+
+    Days past the end of the calendar drop out, as no later day is known for them."""
+    m = roll_map(calendar).withColumnRenamed("ds", "_to")                       # one row per day of the calendar's span
+    first = calendar.agg(F.min("ds").alias("_first"))
+    at = F.when(F.col(date_col).isNotNull(), F.greatest(date_col, "_first"))
+    rolled = df.join(F.broadcast(first)).withColumn("_at", at).join(F.broadcast(m), F.col("_at") == F.col("day"))
+    return rolled.drop("day", "_at", "_first", date_col).withColumnRenamed("_to", date_col)
 
 
 def period_join(df: DataFrame, periods: DataFrame, date_col: str = "ds") -> DataFrame:

@@ -79,11 +79,13 @@ def kpss(df: DataFrame, critical: float = 0.463, max_cov: int = 21) -> DataFrame
     """Level-stationarity statistic with the data-driven Bartlett bandwidth.
 
     The long-run variance comes from moving sums of length L+1 (prefix sum minus the prefix sum L+1 rows
-    back), so the bandwidth may differ per series and needs no bound."""
+    back), so the bandwidth may differ per series and needs no bound.  The bandwidth itself needs n^(2/9)
+    autocovariances; a series so long that ``max_cov`` does not cover them is an error (n over 890,000 by default)."""
     d = df.withColumns({"_i": F.row_number().over(ORD()), "n": F.count(F.lit(1)).over(ALL()), "_e": F.col("y") - F.avg("y").over(ALL())})
     d = d.withColumn("_c", F.sum("_e").over(ORD()))
     lags = d.select("*", *[(F.col("_e") * F.lag("_e", k).over(ORD())).alias(f"_g{k}") for k in range(1, max_cov + 1)])
     cov_lags = F.floor(F.pow(F.col("n"), F.lit(2.0 / 9)))
+    cov_lags = F.when(cov_lags <= max_cov, cov_lags).otherwise(F.raise_error(F.lit(f"kpss: a series needs more than max_cov = {max_cov} autocovariances")).cast("bigint"))
     prods = F.array(*[F.coalesce(F.sum(f"_g{k}"), F.lit(0.0)) for k in range(1, max_cov + 1)])
     s = lags.groupBy("series", "n").agg(F.sum(F.col("_e") * F.col("_e")).alias("_g0"), F.sum(F.col("_c") * F.col("_c")).alias("_eta"), prods.alias("_pr"))
     s = s.withColumn("_k", F.slice("_pr", F.lit(1), cov_lags.cast("int")))

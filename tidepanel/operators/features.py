@@ -216,15 +216,17 @@ def ewm_sums(df: DataFrame, sw: SeriesWindow, specs: dict[str, tuple[str, str, f
     """name -> S_t = sum of w^(t-k) x_k with w = 1 - 2/(span+1), for (x, j, span) where j counts the
     non-null x from 0.
 
-    Weights are rebased every 20 spans, so the powers stay finite; what lies more than a block back
-    weighs less than 1e-17 of the sum.  Two running sums replace a per-row fold over the history."""
+    Weights are rebased every 20 spans, so the powers stay finite.  A block starts from the sums at the ends of all
+    blocks before it, chained by Horner's rule, so nothing is left out however old; a row folds over one value per
+    block, not over its history."""
     pos, cur, fin = {}, {}, {}
     for n, (x, j, span) in specs.items():
         w, size = 1 - 2.0 / (span + 1), int(20 * span)
         pos[f"_b_{n}"], pos[f"_r_{n}"] = f"floor(({j}) / {size})", f"({j}) - floor(({j}) / {size}) * {size}"
         cur[f"_c_{n}"] = f"power({w!r}D, _r_{n}) * sum({x} * power({w!r}D, -_r_{n})) {sw.sql_over('ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW', f', _b_{n}')}"
-        carry = f"last(CASE WHEN _r_{n} = {size - 1} THEN _c_{n} END) IGNORE NULLS {sw.sql_over('ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING')}"
-        fin[n] = f"CASE WHEN ({j}) >= 0 THEN _c_{n} + power({w!r}D, _r_{n} + 1) * coalesce({carry}, 0D) END"
+        ends = f"collect_list(CASE WHEN _r_{n} = {size - 1} THEN _c_{n} END) {sw.sql_over('ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING')}"
+        carry = f"aggregate({ends}, 0D, (s, c) -> s * power({w!r}D, {size}) + c)"
+        fin[n] = f"CASE WHEN ({j}) >= 0 THEN _c_{n} + power({w!r}D, _r_{n} + 1) * {carry} END"
     d = add(add(add(df, pos), cur), fin)
     return d.drop(*pos, *cur)
 

@@ -23,10 +23,10 @@ DEPTH = max(*LAGS, *MEANS)
 
 
 def direct_features(df: DataFrame, sw: ft.SeriesWindow) -> tuple[DataFrame, list[str]]:
-    """Model inputs built from actual lags (teacher forcing), complete rows only."""
+    """Model inputs built from actual lags (teacher forcing); NULL where the history is too short."""
     cols = {**ft.lag_features(sw, LAGS), **{f"mean_{n}": ft.rolling_features(sw, (n,))[f"rolling_mean_{n}"] for n in MEANS}}
     names = [*cols, "day_of_week", "month"]
-    return ft.add(df, cols).withColumns(_day(F.col(sw.order))).dropna(subset=names), names
+    return ft.add(df, cols).withColumns(_day(F.col(sw.order))), names
 
 
 def _day(d):
@@ -49,11 +49,12 @@ def _assemble(columns: list[str], onehot: tuple[str, ...] = ()) -> list:
     if onehot:
         stages.append(OneHotEncoder(inputCols=list(onehot), outputCols=[f"{c}_hot" for c in onehot], handleInvalid="keep"))
     hot = [f"{c}_hot" for c in onehot]
-    return [*stages, VectorAssembler(inputCols=[*[c for c in columns if c not in onehot], *hot], outputCol="features", handleInvalid="skip")]
+    return [*stages, VectorAssembler(inputCols=[*[c for c in columns if c not in onehot], *hot], outputCol="features", handleInvalid="keep")]
 
 
 def fit_trees(train: DataFrame, columns: list[str], kind: str = "forest", **params):
-    """Rows carry their series' levels (``with_levels``)."""
+    """Rows carry their series' levels (``with_levels``); the fit takes those with all inputs."""
+    train = train.dropna(subset=["y", *columns])
     if kind == "forest":
         learner = RandomForestRegressor(labelCol="y", seed=42, **{"numTrees": 20, "maxDepth": 6, **params})
     else:
@@ -77,7 +78,8 @@ def clip_to_range(df: DataFrame, ranges: dict[str, tuple[float, float]]) -> Data
 def fit_ridge(train: DataFrame, valid: DataFrame, columns: list[str], variant: str = "all", alphas=(0.001, 0.1, 10.0)):
     """Ridge regression with guards; the penalty is the one with the least error on the validation rows.
 
-    Variants: ``lags`` (own lags only), ``dummies`` (calendar as indicator columns), ``all``."""
+    The fit takes rows with all inputs.  Variants: ``lags`` (own lags only), ``dummies`` (calendar as indicator columns), ``all``."""
+    train, valid = train.dropna(subset=["y", *columns]), valid.dropna(subset=["y", *columns])
     use = [c for c in columns if c.startswith("lag_")] if variant == "lags" else columns
     keep, ranges = training_range(train, [*use, *LEVEL])
     onehot = tuple(c for c in ("day_of_week", "month") if c in keep) if variant == "dummies" else ()
@@ -92,21 +94,29 @@ def fit_ridge(train: DataFrame, valid: DataFrame, columns: list[str], variant: s
 
 
 def direct_predict(model, rows: DataFrame, ranges: dict | None = None) -> DataFrame:
-    return model.transform(clip_to_range(rows, ranges) if ranges else rows).select("series", "ds", "y", F.col("prediction").alias("pred"))
+    """(series, ds, y, pred, status) of every row: ``ok``, or ``no_input`` with a NULL pred where an input is missing."""
+    inputs = [c.removesuffix("_hot") for t in model.stages if isinstance(t, VectorAssembler) for c in t.getInputCols()]
+    known = ~F.array_contains(F.array(*[F.col(c).isNull() for c in inputs]), True)
+    safe = rows.withColumn("_known", known).fillna(0, subset=[c for c in inputs if c in rows.columns])
+    out = model.transform(clip_to_range(safe, ranges) if ranges else safe)
+    return out.select("series", "ds", "y", F.when(F.col("_known"), F.col("prediction")).alias("pred"), F.when(F.col("_known"), "ok").otherwise("no_input").alias("status"))
 
 
 def recursive_predict(model, levels: DataFrame, history: DataFrame, horizon: int, holidays: list[str], cut_every: int = 10) -> DataFrame:
     """Forecast ``horizon`` business days ahead, each step fed with the earlier predictions.
 
     A series is one row holding its last values, so a step is a projection over all series at once with no
-    shuffle; the result is checkpointed to the shared folder every few steps to keep the plan short."""
+    shuffle; the result is checkpointed to the shared folder every few steps to keep the plan short.  A series with a
+    shorter history than the inputs need repeats its last value (status ``naive``, else ``ok``)."""
     age = F.row_number().over(ft.Window.partitionBy("series").orderBy(F.desc("ds")))
     last = history.withColumn("_a", age).filter(F.col("_a") <= DEPTH)
     state = last.groupBy("series").agg(F.transform(F.sort_array(F.collect_list(F.struct("ds", "y"))), lambda x: x["y"]).alias("tail"), F.max("ds").alias("last_ds"))
-    state = state.filter(F.size("tail") >= DEPTH).withColumn("days", F.array().cast("array<date>"))
     days = cal.future_business_days(state.select("series", "last_ds"), "last_ds", horizon, holidays).groupBy("series").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("h", "ds"))), lambda x: x["ds"]).alias("days"))
-    state = with_levels(state.drop("days").join(days, "series"), levels).withColumn("preds", F.array().cast("array<double>"))
+    state = with_levels(state.join(days, "series"), levels).withColumn("preds", F.array().cast("array<double>"))
+    short = state.filter(F.size("tail") < DEPTH).select("series", F.posexplode("days").alias("h", "ds"), F.element_at("tail", -1).alias("pred"))
+    short = short.select("series", (F.col("h") + 1).alias("h"), "ds", "pred", F.lit("naive").alias("status"))
+    state = state.filter(F.size("tail") >= DEPTH)
     for h in range(1, horizon + 1):
         lag = lambda k: F.element_at("tail", -k)
         mean = lambda n: F.aggregate(F.slice("tail", -n, n), F.lit(0.0), lambda a, x: a + x) / n
@@ -115,18 +125,25 @@ def recursive_predict(model, levels: DataFrame, history: DataFrame, horizon: int
         state = step.select("series", "days", *LEVEL, F.concat(F.slice("tail", 2, DEPTH - 1), F.array("prediction")).alias("tail"), F.concat("preds", F.array("prediction")).alias("preds"))
         if h % cut_every == 0 and h < horizon:
             state = cut_lineage(state)
-    return state.select("series", F.posexplode(F.arrays_zip("days", "preds")).alias("h", "x")).select("series", (F.col("h") + 1).alias("h"), F.col("x.days").alias("ds"), F.col("x.preds").alias("pred"))
+    full = state.select("series", F.posexplode(F.arrays_zip("days", "preds")).alias("h", "x"))
+    return full.select("series", (F.col("h") + 1).alias("h"), F.col("x.days").alias("ds"), F.col("x.preds").alias("pred"), F.lit("ok").alias("status")).unionByName(short)
 
 
 def stack_models(wide: DataFrame, methods: list[str], n_origins: int, folds: int = 5) -> DataFrame:
-    """Meta forecasts over base predictions: each fold of origins is predicted by a model fitted on earlier folds."""
-    d = wide.dropna(subset=[*methods, "y"]).withColumn("fold", F.floor(F.col("origin") * folds / n_origins)).cache()
+    """Meta forecasts over base predictions: each fold of origins is predicted by a model fitted on earlier folds.
+
+    The first fold has no earlier one and gets the mean of the base predictions (status ``mean``); a row without all
+    base predictions gets the mean of those it has (``incomplete``)."""
+    mean = F.aggregate(F.filter(F.array(*methods), lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(F.filter(F.array(*methods), lambda x: x.isNotNull())), F.lit(0))
+    every = cut_lineage(wide.withColumn("fold", F.floor(F.col("origin") * folds / n_origins)).withColumn("_mean", mean))
+    d = every.dropna(subset=[*methods, "y"])
+    plain = every.withColumn("status", F.when(F.array_contains(F.array(*[F.col(m).isNull() for m in methods]), True), "incomplete").when((F.col("fold") < 1) | F.col("y").isNull(), "mean"))
     prep = VectorAssembler(inputCols=methods, outputCol="features")
-    out = None
+    out = plain.filter("status is not null").select("series", "origin", "fold", "y", F.col("_mean").alias("pred"), "status")
     for k in range(1, folds):
         m = Pipeline(stages=[prep, GBTRegressor(labelCol="y", maxIter=5, maxDepth=3, seed=42)]).fit(d.filter(F.col("fold") < k))
-        p = m.transform(d.filter(F.col("fold") == k)).select("series", "origin", "fold", "y", F.col("prediction").alias("pred"))
-        out = p if out is None else out.unionByName(p)
+        p = m.transform(d.filter(F.col("fold") == k)).select("series", "origin", "fold", "y", F.col("prediction").alias("pred"), F.lit("ok").alias("status"))
+        out = out.unionByName(p)
     return out
 
 

@@ -34,10 +34,10 @@ def to_utc(text: Column, assume: str = LOCAL_ZONE) -> Column:
     return F.when(zoned, F.try_to_timestamp(t)).otherwise(F.to_utc_timestamp(plain, assume))
 
 
-def news_text(title: Column, description: Column) -> Column:
-    """``title. description`` with the description cut to its opening 300 characters; NULL when empty."""
+def news_text(title: Column, description: Column, opening: int | None = None) -> Column:
+    """``title. description``; NULL when empty.  The whole description counts unless ``opening`` limits its characters."""
     t, d = F.trim(F.coalesce(title, F.lit(""))), F.trim(F.coalesce(description, F.lit("")))
-    joined = F.when(d != "", F.trim(F.concat(t, F.lit(". "), F.substring(d, 1, 300)), F.lit(" ."))).otherwise(t)
+    joined = F.when(d != "", F.trim(F.concat(t, F.lit(". "), d if opening is None else F.substring(d, 1, opening)), F.lit(" ."))).otherwise(t)
     return F.nullif(joined, F.lit(""))
 
 

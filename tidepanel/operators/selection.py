@@ -65,15 +65,17 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def mrmr_select(ranks: DataFrame, k: int, beta: float = 1.0) -> DataFrame:
+def mrmr_select(ranks: DataFrame, k: int, beta: float = 1.0, shortlist: int | None = None) -> DataFrame:
     """Greedy selection by relevance minus mean redundancy with what is already chosen.
 
-    Spark ranks the features and cuts each series to its shortlist; a task then sees one series' matrix
-    of days x shortlist, which daily grain and the shortlist keep small however many series there are."""
+    All candidates compete unless ``shortlist`` names how many of the most relevant do.  Spark ranks the features; a
+    task then sees one series' matrix of days x candidates, which daily grain and the fixed pool of features keep
+    small however many series there are."""
     rel = spearman_relevance(ranks)
     if beta == 0:
         return top_k(rel, k).select("series", F.col("rank").alias("step"), "feature", "score")
-    short = top_k(rel, max(3 * k, 40)).alias("short")
+    w = Window.partitionBy("series").orderBy(F.desc("score"), "feature")
+    short = (top_k(rel, shortlist) if shortlist else rel.withColumn("rank", F.row_number().over(w))).alias("short")
     cut = ranks.join(short.select("series", "feature", "rank"), ["series", "feature"])
     rows = cut.groupBy(F.col("series").alias("owner"), "ds").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "rx"))), lambda x: x["rx"]).alias("r"))
 

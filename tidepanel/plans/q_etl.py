@@ -243,8 +243,11 @@ _CORP = {t[0][1]: n for n, t in TREE_FULL.items() if n.startswith("A.0.") and le
 _DIFF = {n: (_CORP[t[0][1]], _SUB[t[0][1]]) for n, t in TREE_FULL.items() if n.startswith("A.2.") and len(t) == 2}
 
 
-@query("a5_difference_nodes", "ds:d node:s value:0", f"""WITH {PANEL_FULL}, pairs(node, a, b) AS ({values_sql([(n, a, c) for n, (a, c) in _DIFF.items()])})
-SELECT p.ds, pairs.node, p.value - q.value AS value FROM pairs JOIN panel p ON p.node = a JOIN panel q ON q.node = b AND q.ds = p.ds""")
+_WANT = values_sql([(n, x, sign) for n, pair in _DIFF.items() for x, sign in zip(pair, (1, -1))])
+
+
+@query("a5_difference_nodes", "ds:d node:s value:0", f"""WITH {PANEL_FULL}, want(diff, leaf, sign) AS MATERIALIZED ({_WANT})
+SELECT ds, diff AS node, sum(sign * value) AS value FROM panel JOIN want ON node = leaf GROUP BY ds, diff HAVING count(DISTINCT leaf) = 2""")
 def _(s, d):
     return etl.difference_nodes(panel_full(s, d), _DIFF)
 

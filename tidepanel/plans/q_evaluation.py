@@ -301,7 +301,10 @@ def _(s, d):
     return inf.hodges_lehmann(pairs(s, d), ["series"])
 
 
-@query("m32_diebold_mariano", "series:s n:i statistic:5 p:6", f"""WITH {TEST}, {_PAIR}, g AS (SELECT series, count(*) AS n, avg(b - a) / sqrt(var_pop(b - a) / count(*)) * sqrt((count(*) - 1.0) / count(*)) AS statistic FROM pair GROUP BY 1) SELECT *, {two_sided_sql('statistic')} AS p FROM g""")
+@query("m32_diebold_mariano", "series:s n:i statistic:5 p:6", f"""WITH {TEST}, {_PAIR}, g AS (SELECT series, count(*) AS n, avg(b - a) / sqrt(var_pop(b - a) / count(*)) * sqrt((count(*) - 1.0) / count(*)) AS statistic FROM pair GROUP BY 1),
+c AS (SELECT *, n - 1 AS nu, (n - 1) / (n - 1 + statistic * statistic) AS c2 FROM g),
+w AS (SELECT *, list_sum([pow(c2, k) * CASE WHEN nu % 2 = 0 THEN exp(lgamma(k + 0.5) - lgamma(k + 1) - lgamma(0.5)) ELSE exp(lgamma(k + 1) + lgamma(1.5) - lgamma(k + 1.5)) END for k in range(0, nu // 2)]) AS sm FROM c)
+SELECT series, n, statistic, 1 - CASE WHEN nu % 2 = 0 THEN sqrt(1 - c2) * sm ELSE 2 / pi() * (acos(sqrt(c2)) + sqrt((1 - c2) * c2) * coalesce(sm, 0)) END AS p FROM w""")
 def _(s, d):
     return inf.diebold_mariano(pairs(s, d), ["series"])
 

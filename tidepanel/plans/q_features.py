@@ -77,7 +77,7 @@ def _ew_cte(name, span, src="idx", x="y", shift=1):
     w = 1 - 2.0 / (span + 1)
     p = f"pow({w!r}, a.i - {shift} - b.i)"
     return f"""{name} AS (SELECT a.series, a.ds, sum({p} * b.{x}) AS s1, sum({p} * b.{x} * b.{x}) AS s2, sum({p}) AS s0, sum({p} * {p}) AS w2, count(*) AS k
-  FROM {src} a JOIN {src} b ON a.series = b.series AND b.i <= a.i - {shift} AND b.i > a.i - {shift} - {20 * span} GROUP BY 1, 2)"""
+  FROM {src} a JOIN {src} b ON a.series = b.series AND b.i <= a.i - {shift} GROUP BY 1, 2)"""
 
 
 _ewm = {}
@@ -90,27 +90,18 @@ family("w5_ewm", _ewm, _ewm, lambda s, d: ft.ewm_features(indexed(s, d), SW), 4,
 _chg = {}
 for _p in (1, 5, 30):
     _chg[f"value_diff_{_p}"] = f"{_lag(1)} - {_lag(_p + 1)}"
-    _chg[f"value_pct_change_{_p}"] = f"CASE WHEN {_lag(_p + 1)} <> 0 THEN ({_lag(1)} - {_lag(_p + 1)}) / {_safe(_lag(_p + 1))} END"
-_nz = lambda col, base: F.when(F.col(base) != 0, F.col(col))
-
-
-def _w6(s, d):
-    x = _sel(indexed(s, d), {**ft.change_features(SW), **{f"_b{p}": SW.sql_lag(p + 1) for p in (1, 5, 30)}})
-    return x.withColumns({f"value_pct_change_{p}": _nz(f"value_pct_change_{p}", f"_b{p}") for p in (1, 5, 30)})
-
-
-family("w6_changes", _chg, _chg, _w6)
+    _chg[f"value_pct_change_{_p}"] = f"({_lag(1)} - {_lag(_p + 1)}) / {_safe(_lag(_p + 1))}"
+family("w6_changes", [c if "diff" in c else f"{c}:L6" for c in _chg], _chg, lambda s, d: _sel(indexed(s, d), ft.change_features(SW)))
 
 _vol = {f"volatility_{n}": f"CASE WHEN {_back('count(y)', n)} = {n} THEN {_back('stddev_samp(y)', n)} / {_safe(_back('avg(y)', n))} END" for n in (5, 15, 30)}
-_VOLCTE = "vol AS (SELECT series, ds, i, " + ", ".join(f"CASE WHEN abs({_back('avg(y)', n)}) > 0.5 THEN round({e}, 9) END AS volatility_{n}" for n, e in zip((5, 15, 30), _vol.values())) + " FROM idx)"
+_VOLCTE = "vol AS (SELECT series, ds, i, " + ", ".join(f"{e} AS volatility_{n}" for n, e in zip((5, 15, 30), _vol.values())) + " FROM idx)"
 
 
 def _vol_df(s, d):
-    v = ft.add(indexed(s, d), ft.volatility_features(SW))
-    return v.withColumns({f"volatility_{n}": F.when(F.abs(F.avg("y").over(SW.back(n))) > 0.5, F.round(f"volatility_{n}", 9)) for n in (5, 15, 30)})
+    return ft.add(indexed(s, d), ft.volatility_features(SW))
 
 
-family("w7_volatility", [*_vol, "volatility_ratio_5_30"], {**{k: k for k in _vol}, "volatility_ratio_5_30": f"volatility_5 / (volatility_30 + {_EPS})"},
+family("w7_volatility", [f"{c}:L6" for c in (*_vol, "volatility_ratio_5_30")], {**{k: k for k in _vol}, "volatility_ratio_5_30": f"volatility_5 / (volatility_30 + {_EPS})"},
        lambda s, d: ft.add(_vol_df(s, d), ft.regime_features(SW)), 4, "vol", _VOLCTE)
 family("w8_high_volatility_regime", ["is_high_volatility_regime:0"], {"is_high_volatility_regime": f"CAST(coalesce({_lag(1, 'volatility_15')} > {_back('quantile_cont(volatility_15, 0.5)', 60)}, FALSE) AS INT)"},
        lambda s, d: ft.add(_vol_df(s, d), ft.regime_features(SW)), 0, "vol", _VOLCTE)
@@ -118,22 +109,15 @@ family("w8_high_volatility_regime", ["is_high_volatility_regime:0"], {"is_high_v
 _pos = {f"price_position_{n}": f"({_lag(1)} - {_back('min(y)', n)}) / ({_back('max(y)', n)} - {_back('min(y)', n)} + {_EPS})" for n in (30, 60)}
 family("w9_price_position", _pos, _pos, lambda s, d: _sel(indexed(s, d), ft.position_features(SW)))
 
-_CH = f"ch0 AS (SELECT *, {_lag(1)} - {_lag(2)} AS ch, {_lag(2)} AS l2, {_lag(1)} AS l1 FROM idx), ch AS (SELECT *, CASE WHEN abs(l2) > 0 THEN ch / {_safe('l2')} WHEN l2 = 0 AND ch = 0 THEN 0 END AS ret FROM ch0)"
+_CH = f"ch0 AS (SELECT *, {_lag(1)} - {_lag(2)} AS ch, {_lag(2)} AS l2, {_lag(1)} AS l1 FROM idx), ch AS (SELECT *, ch / {_safe('l2')} AS ret FROM ch0)"
 _asym = {}
 for _n in (15, 30):
     _dn, _up = _now("stddev_samp(CASE WHEN ret > 0 THEN 0 ELSE ret END)", _n), _now("stddev_samp(CASE WHEN ret < 0 THEN 0 ELSE ret END)", _n)
     _asym[f"downside_volatility_{_n}"], _asym[f"upside_volatility_{_n}"] = _dn, _up
-    _asym[f"volatility_skew_{_n}"] = f"CASE WHEN {_up} > 0.01 THEN {_dn} / ({_up} + {_EPS}) END"
-
+    _asym[f"volatility_skew_{_n}"] = f"{_dn} / ({_up} + {_EPS})"
 
-def _w10(s, d):
-    # moves off a zero level divide by 1e-8; they are left out here so that rounding stays comparable
-    c = changed(s, d).withColumn("_ret", F.when((SW.lag(2) != 0) | (F.col("_ch") == 0), F.col("_ret")))
-    x = _sel(c, ft.asymmetric_features(SW))
-    return x.withColumns({f"volatility_skew_{n}": F.when(F.col(f"upside_volatility_{n}") > 0.01, F.col(f"volatility_skew_{n}")) for n in (15, 30)})
 
-
-family("w10_asymmetric_volatility", _asym, _asym, _w10, 4, "ch", _CH)
+family("w10_asymmetric_volatility", [f"{c}:L6" for c in _asym], _asym, lambda s, d: _sel(changed(s, d), ft.asymmetric_features(SW)), 4, "ch", _CH)
 
 _rsi = {"rsi_15": f"100 - 100 / (1 + {_now('avg(CASE WHEN ch IS NOT NULL THEN greatest(ch, 0) END)', 15)} / ({_now('avg(CASE WHEN ch IS NOT NULL THEN greatest(-ch, 0) END)', 15)} + {_EPS}))"}
 family("w11_rsi", _rsi, _rsi, lambda s, d: _sel(changed(s, d), ft.rsi_features(SW)), 4, "ch", _CH)
@@ -142,20 +126,20 @@ family("w11_rsi", _rsi, _rsi, lambda s, d: _sel(changed(s, d), ft.rsi_features(S
 def _ema_cte(name, span, src, x, shift, first):
     a = 2.0 / (span + 1)
     return f"""{name} AS (SELECT a.series, a.ds, a.i, {a!r} * sum(pow({1 - a!r}, a.i - {shift} - b.i) * b.{x}) + {1 - a!r} * pow({1 - a!r}, a.i - {shift} - 1 - {shift - 1}) * {first} AS e
-  FROM {src} a JOIN {src} b ON a.series = b.series AND b.i <= a.i - {shift} AND b.i > a.i - {shift} - {20 * span} GROUP BY a.series, a.ds, a.i)"""
+  FROM {src} a JOIN {src} b ON a.series = b.series AND b.i <= a.i - {shift} GROUP BY a.series, a.ds, a.i)"""
 
 
 _X0 = "x0 AS (SELECT *, first(y) OVER (PARTITION BY series ORDER BY ds) AS y0 FROM idx)"
 _MACD = f"""{_X0}, {_ema_cte('f', 10, 'x0', 'y', 1, 'any_value(a.y0)')}, {_ema_cte('g', 25, 'x0', 'y', 1, 'any_value(a.y0)')},
 m AS (SELECT idx.series, idx.ds, idx.i, f.e - g.e AS macd FROM idx LEFT JOIN f USING (series, ds) LEFT JOIN g USING (series, ds)),
 mm AS (SELECT * FROM m WHERE macd IS NOT NULL), sig AS (SELECT a.series, a.ds, {2 / 11!r} * sum(pow({1 - 2 / 11!r}, a.i - 1 - b.i) * b.macd) AS e
-  FROM mm a JOIN mm b ON a.series = b.series AND b.i < a.i AND b.i >= a.i - 200 GROUP BY 1, 2)"""
+  FROM mm a JOIN mm b ON a.series = b.series AND b.i < a.i GROUP BY 1, 2)"""
 family("w12_macd", ["macd", "macd_signal", "macd_histogram"], {"macd": "macd", "macd_signal": "sig.e", "macd_histogram": "macd - sig.e"},
        lambda s, d: ft.macd_features(indexed(s, d), SW), 4, "m LEFT JOIN sig USING (series, ds)", _MACD)
 
 _BB = f"bb AS (SELECT series, ds, {_lag(1)} AS l1, {_full('avg(y)', 20)} AS m, {_full('stddev_samp(y)', 20)} AS s FROM idx)"
-_bb = {"bb_upper_20": "m + 2*s", "bb_lower_20": "m - 2*s", "bb_middle_20": "m", "bb_width_20": f"CASE WHEN abs(m) > 0.04 THEN 4*s/(m + {_EPS}) END", "bb_percent_20": f"(l1 - (m - 2*s)) / (4*s + {_EPS})"}
-family("w13_bollinger", _bb, _bb, lambda s, d: _sel(indexed(s, d), ft.bollinger_features(SW)).withColumn("bb_width_20", F.when(F.abs("bb_middle_20") > 0.04, F.col("bb_width_20"))), 4, "bb", _BB)
+_bb = {"bb_upper_20": "m + 2*s", "bb_lower_20": "m - 2*s", "bb_middle_20": "m", "bb_width_20": f"4*s/(m + {_EPS})", "bb_percent_20": f"(l1 - (m - 2*s)) / (4*s + {_EPS})"}
+family("w13_bollinger", [f"{c}:L6" if "width" in c else c for c in _bb], _bb, lambda s, d: _sel(indexed(s, d), ft.bollinger_features(SW)), 4, "bb", _BB)
 
 _z = {}
 for _n in (15, 30):
@@ -183,15 +167,8 @@ family("w17_consecutive_extremes", ["run_length:0"], {"run_length": "sum(f) OVER
        lambda s, d: ft.run_lengths(indexed(s, d).withColumn("f", F.expr(f"CAST(coalesce({ft.zscore_features(SW)['z_score_15']} > 1, false) AS INT)")), SW, "f", "run_length"), 0, "zg", _RUN)
 
 _mom = {f"momentum_{p}": f"{_lag(1)} - {_lag(p + 1)}" for p in (7, 30, 60)}
-_mom.update({f"roc_{p}": f"CASE WHEN {_lag(p + 1)} <> 0 THEN ({_lag(1)} - {_lag(p + 1)}) / {_safe(_lag(p + 1))} END" for p in (7, 14, 30, 60, 90)})
-
-
-def _w18(s, d):
-    m = ft.momentum_features(SW)
-    return _sel(indexed(s, d), {n: (f"CASE WHEN {SW.sql_lag(int(n[4:]) + 1)} <> 0 THEN {c} END" if n.startswith("roc") else c) for n, c in m.items()})
-
-
-family("w18_momentum", _mom, _mom, _w18)
+_mom.update({f"roc_{p}": f"({_lag(1)} - {_lag(p + 1)}) / {_safe(_lag(p + 1))}" for p in (7, 14, 30, 60, 90)})
+family("w18_momentum", [c if "momentum" in c else f"{c}:L6" for c in _mom], _mom, lambda s, d: _sel(indexed(s, d), ft.momentum_features(SW)))
 
 _ac = {f"autocorr_{k}": f"""CASE WHEN {_back('count(y)', 60)} > {k} THEN CASE WHEN {_back('stddev_samp(y)', 60)} > 0 THEN
   CASE WHEN isfinite({f'corr(y, p{k}) OVER {_fr(60 - k)}'}) THEN {f'corr(y, p{k}) OVER {_fr(60 - k)}'} END ELSE 0 END END""" for k in (7, 14, 30)}
@@ -242,8 +219,8 @@ def _(s, d):
 
 
 _fill = {c: f"coalesce(last_value({c} IGNORE NULLS) OVER {_P} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value({c} IGNORE NULLS) OVER {_P} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)" for c in ("A", "roc")}
-family("w24_fill_features", ["A:2", "roc:4"], _fill, lambda s, d: ft.fill_features(market_joined(s, d).withColumn("roc", SW.lag(1) / F.try_divide(SW.lag(2), SW.lag(2))), SW, ["A", "roc"]), 4, "jr",
-       b.EXTERNAL + ", " + _MKT + f", jr AS (SELECT *, CASE WHEN {_lag(2)} <> 0 THEN {_lag(1)} END AS roc FROM joined)")
+family("w24_fill_features", ["A:2", "roc:4"], _fill, lambda s, d: ft.fill_features(market_joined(s, d).withColumn("roc", F.when(SW.lag(2) == 0, F.signum(SW.lag(1)) * float("inf")).otherwise(SW.lag(1) / F.nullif(SW.lag(2), F.lit(0.0)))), SW, ["A", "roc"]), 4, "jr",
+       b.EXTERNAL + ", " + _MKT + f", jr AS (SELECT *, CASE WHEN {_lag(2)} <> 0 THEN {_lag(1)} / {_lag(2)} END AS roc FROM joined)")
 
 _MF = """, raw AS (SELECT name AS series, ds, CASE WHEN day(ds) = 9 THEN 0 ELSE value END AS y FROM external), lv AS (SELECT series, ds, last_value(CASE WHEN y > 0 THEN y END IGNORE NULLS)
   OVER (PARTITION BY series ORDER BY ds) AS lvl FROM raw), c1 AS (SELECT *, (ln(lvl) - lag(ln(lvl)) OVER (PARTITION BY series ORDER BY ds)) * 100 AS chg1, (ln(lvl) - lag(ln(lvl), 5) OVER (PARTITION BY series ORDER BY ds)) * 100 AS chg5 FROM lv)"""

@@ -30,7 +30,19 @@ def _parts(s, d, hold: int = 60):
     return x.filter(F.col("age") > 2 * hold), x.filter((F.col("age") > hold) & (F.col("age") <= 2 * hold)), x.filter(F.col("age") <= hold), cols
 
 
-@query("m5_panel_trees", "kind:s series:s n:i finite:i mae:2")
+def _tests_sql(label: str, values: tuple[str, ...]) -> str:
+    """The last 60 days of every series, all predicted, with an error no more than twice that of the day before."""
+    return f"""WITH {b.SERIES} SELECT v AS {label}, series, least(count(*), 60) AS n, least(count(*), 60) AS finite, 1 AS close
+FROM series CROSS JOIN (SELECT unnest({list(values)}) AS v) GROUP BY 1, 2"""
+
+
+def _judged(out, label: str):
+    naive = F.avg(F.abs(F.col("y") - F.col("lag_1")))
+    return out.groupBy(label, "series").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("pred") < float("inf")).alias("finite"),
+                                            (F.avg(F.abs(F.col("y") - F.col("pred"))) <= 2 * naive).cast("int").alias("close"))
+
+
+@query("m5_panel_trees", "kind:s series:s n:i finite:i close:i", _tests_sql("kind", ("forest", "boosted")))
 def _(s, d):
     """Pooled forest and boosted trees: one-step test errors per series."""
     train, _v, test, cols = _parts(s, d)
@@ -38,10 +50,10 @@ def _(s, d):
     for kind in ("forest", "boosted"):
         p = ml.direct_predict(ml.fit_trees(train, cols, kind), test).withColumn("kind", F.lit(kind))
         out = p if out is None else out.unionByName(p)
-    return out.groupBy("kind", "series").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs("pred") < float("inf")).alias("finite"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"))
+    return _judged(out.join(test.select("series", "ds", "lag_1"), ["series", "ds"]), "kind")
 
 
-@query("m6_panel_ridge", "variant:s series:s n:i mae:2")
+@query("m6_panel_ridge", "variant:s series:s n:i finite:i close:i", _tests_sql("variant", ("lags", "dummies", "all")))
 def _(s, d):
     """Guarded ridge in its three variants: one-step test errors per series."""
     train, valid, test, cols = _parts(s, d)
@@ -50,29 +62,30 @@ def _(s, d):
         m, r = ml.fit_ridge(train, valid, cols, v)
         p = ml.direct_predict(m, test, r).withColumn("variant", F.lit(v))
         out = p if out is None else out.unionByName(p)
-    return out.groupBy("variant", "series").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col("y") - F.col("pred"))).alias("mae"))
+    return _judged(out.join(test.select("series", "ds", "lag_1"), ["series", "ds"]), "variant")
 
 
-@query("m7_direct_predict", "series:s ds:d y:0 pred:2")
+@query("m7_direct_predict", "series:s ds:d y:0 known:i status:s", f"""WITH {b.SERIES} SELECT series, ds, y, 1 AS known, 'ok' AS status FROM series QUALIFY row_number() OVER (PARTITION BY series ORDER BY ds DESC) <= 60""")
 def _(s, d):
     """Teacher-forced forest predictions of the last 60 days."""
     train, _v, test, cols = _parts(s, d)
-    return ml.direct_predict(ml.fit_trees(train, cols, numTrees=10), test)
+    return ml.direct_predict(ml.fit_trees(train, cols, numTrees=10), test).withColumn("known", (F.abs("pred") < float("inf")).cast("int"))
 
 
-@query("m8_recursive_predict", "series:s h:i ds:d pred:2")
+@query("m8_recursive_predict", "series:s h:i known:i status:s", f"""WITH {b.SERIES} SELECT DISTINCT series, h, 1 AS known, 'ok' AS status FROM series CROSS JOIN (SELECT unnest(range(1, 21)) AS h)""")
 def _(s, d):
     """Twenty business days ahead, each fed with the predictions before it."""
     train, _v, _t, cols = _parts(s, d)
-    return ml.recursive_predict(ml.fit_trees(train, cols, numTrees=5, maxDepth=4), ml.series_levels(train), b.series(s, d), 20, HOLIDAYS)
+    return ml.recursive_predict(ml.fit_trees(train, cols, numTrees=5, maxDepth=4), ml.series_levels(train), b.series(s, d), 20, HOLIDAYS).withColumn("known", (F.abs("pred") < float("inf")).cast("int"))
 
 
-@query("m9_stack_models", "series:s origin:i fold:i y:0 pred:2")
+@query("m9_stack_models", "series:s origin:i fold:i y:0 known:i status:s", f"""WITH {qv.RUNS}, w AS (SELECT series, origin, max(actual) AS y FROM runs WHERE arm = 'main' GROUP BY 1, 2)
+SELECT series, origin, floor(origin * 5 / 310) AS fold, y, 1 AS known, CASE WHEN floor(origin * 5 / 310) < 1 THEN 'mean' ELSE 'ok' END AS status FROM w""")
 def _(s, d):
     """Boosted meta model over four base methods, fitted on earlier folds only."""
     r = qv.runs(s, d).filter(F.col("arm") == "main").filter(F.col("method").isin(qv.METHODS))
     w = r.groupBy("series", "origin").agg(F.max("actual").alias("y"), *[F.max(F.when(F.col("method") == m, F.col("pred"))).alias(m) for m in qv.METHODS])
-    return ml.stack_models(w, qv.METHODS, 310)
+    return ml.stack_models(w, qv.METHODS, 310).withColumn("known", (F.abs("pred") < float("inf")).cast("int"))
 
 
 @query("f10_importance_by_family", "family:s features:i share:4")
@@ -142,17 +155,17 @@ def _(s, d):
 
 @query("t2_stream_dedup", "uid:s", f"WITH {qn.ART} SELECT DISTINCT uid FROM art")
 def _(s, d):
-    path, schema = _landing(s, d)
-    out, ck = scratch_path(s, "dedup"), scratch_path(s, "ck")
-    feed.run_to_table(feed.stream_dedup(feed.read_feed(s, path, schema), delay="2 days"), out, ck)
-    return s.read.parquet(out)
+    path, schema = _landing(s, d, late=True)
+    store, ck = scratch_path(s, "dedup"), scratch_path(s, "ck")
+    feed.stream_dedup(feed.read_feed(s, path, schema), store, ck, ["published_utc", "event_id"])
+    return s.read.parquet(store)
 
 
 @query("t3_business_day_tumbling", "business_date:d scorer:s n_news:i polarity:6", f"WITH {qn._DAILY} SELECT * FROM daily")
 def _(s, d):
-    path, schema = _landing(s, d)
-    out, ck = scratch_path(s, "tumbling"), scratch_path(s, "ck")
-    feed.run_to_table(feed.business_day_tumbling(feed.read_feed(s, path, schema)), out, ck, "update")
+    path, schema = _landing(s, d, late=True)
+    store, out, ck = scratch_path(s, "store"), scratch_path(s, "tumbling"), scratch_path(s, "ck")
+    feed.tumbling_from_store(feed.read_feed(s, path, schema, 2), store, out, ck, ["published_utc"], "event_id")
     return feed.latest_revision(s, out, ["business_date", "scorer"])
 
 

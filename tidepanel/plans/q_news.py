@@ -110,7 +110,7 @@ def _(s, d):
 
 
 @query("p11_news_text", "doc_id:i n_chars:i digest:s", r"""WITH t AS (SELECT doc_id, trim(coalesce(source, ''), ' ') AS a, trim(coalesce(CASE WHEN doc_id % 7 <> 0 THEN text END, ''), ' ') AS x FROM documents),
-u AS (SELECT doc_id, CASE WHEN x <> '' THEN trim(a || '. ' || substring(x, 1, 300), ' .') ELSE a END AS body FROM t)
+u AS (SELECT doc_id, CASE WHEN x <> '' THEN trim(a || '. ' || x, ' .') ELSE a END AS body FROM t)
 SELECT doc_id, length(body) AS n_chars, md5(body) AS digest FROM u WHERE body <> ''""")
 def _(s, d):
     t = b.table(s, d, "documents").select("doc_id", news.news_text(F.col("source"), F.when(F.col("doc_id") % 7 != 0, F.col("text"))).alias("body"))

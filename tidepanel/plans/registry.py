@@ -1,7 +1,8 @@
 """Registry of runnable queries and of the SQL each one is checked against.
 
 A query names its output with a column spec: ``ds:d node:s n:i value:4`` means a date (shown as
-text), a string, a 64-bit integer and a double rounded to four digits.  The same projection is put
+text), a string, a 64-bit integer and a double rounded to four digits; ``value:L6`` shows the logarithm of one plus
+the value's size, with its sign, to six digits: a relative comparison for values of any size.  The same projection is put
 around the Spark result and around the SQL so both sides have one schema.
 """
 
@@ -28,6 +29,9 @@ def _spark_col(name: str, kind: str):
         return c.cast("string").alias(name)
     if kind == "i":
         return c.cast("bigint").alias(name)
+    if kind[0] == "L":
+        x = c.cast("double")
+        return (F.round(F.signum(x) * F.ln(1 + F.abs(x)), int(kind[1:])) + F.lit(0.0)).alias(name)
     return (F.round(c.cast("double"), int(kind)) + F.lit(0.0)).alias(name)
 
 
@@ -38,7 +42,8 @@ def _sql_col(name: str, kind: str) -> str:
         "t": f"strftime(CAST({c} AS TIMESTAMP), '%Y-%m-%d %H:%M:%S')",
         "s": f"CAST({c} AS VARCHAR)",
         "i": f"CAST({c} AS BIGINT)",
-    }.get(kind) or f"round(CAST({c} AS DOUBLE), {kind}) + 0.0"
+        "L": f"round(sign(CAST({c} AS DOUBLE)) * ln(1 + abs(CAST({c} AS DOUBLE))), {kind[1:]}) + 0.0",
+    }.get("L" if kind[0] == "L" else kind) or f"round(CAST({c} AS DOUBLE), {kind}) + 0.0"
     return f"{body} AS {c}"
 
 

@@ -26,14 +26,15 @@ def _typed_feed(df: DataFrame) -> DataFrame:
 def read_flows_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Coded feed as JSON records; amounts that do not parse become NULL.
 
-    JSON lines split across tasks; ``multi_line`` reads one array per file."""
-    names = spark.read.json(path, multiLine=multi_line, samplingRatio=0.1).columns if multi_line else FEED_COLUMNS
-    require_columns(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names)), FEED_COLUMNS)
+    JSON lines split across tasks; ``multi_line`` reads one array per file.  The names are those of all records, so a
+    column that only some files have counts as present and one that none has is an error."""
+    require_columns(spark.read.json(path, multiLine=multi_line, primitivesAsString=True), FEED_COLUMNS)
     return _typed_feed(spark.read.schema(_FEED_SCHEMA).json(path, multiLine=multi_line))
 
 
 def read_flows_xml(spark: SparkSession, path: str) -> DataFrame:
-    """``<result><rows><row>`` feed, one record per ``row`` element."""
+    """``<result><rows><row>`` feed, one record per ``row`` element; a column that no record has is an error."""
+    require_columns(spark.read.format("xml").option("rowTag", "row").option("inferSchema", False).load(path), FEED_COLUMNS)
     return _typed_feed(spark.read.format("xml").option("rowTag", "row").schema(_FEED_SCHEMA).load(path))
 
 
@@ -130,11 +131,21 @@ def validate_archive_schema(raw: DataFrame, max_bad_share: float = 0.5, bound: f
 
 
 def read_two_column_series(spark: SparkSession, path: str) -> DataFrame:
-    """First column a date, second a number with thousands commas; the last duplicate of a day wins."""
+    """First column a date, the first column after it that holds numbers (thousands commas allowed) the value.
+
+    The last duplicate of a day wins: by file, split of the file and place in the split (a split is read in order by
+    one task, so ids grow within it)."""
     raw = spark.read.csv(path, header=True)
-    d, v = raw.columns[0], raw.columns[1]
-    pos = F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("r"))
-    typed = raw.select(F.col(d).try_cast("date").alias("ds"), F.regexp_replace(v, ",", "").try_cast("double").alias("value"), pos.alias("pos"))
+    d, rest = raw.columns[0], raw.columns[1:]
+    if not rest:
+        raise ValueError("at least two columns are needed: a date and a number")
+    number = lambda c: F.regexp_replace(F.col(f"`{c}`"), ",", "").try_cast("double")
+    found = raw.agg(*[F.count(number(c)).alias(f"_{i}") for i, c in enumerate(rest)]).first()
+    v = next((c for i, c in enumerate(rest) if found[f"_{i}"]), None)
+    if v is None:
+        raise ValueError("no column but the first holds numbers")
+    pos = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("r"))
+    typed = raw.select(F.col(f"`{d}`").try_cast("date").alias("ds"), number(v).alias("value"), pos.alias("pos"))
     return (typed.filter("ds is not null and value is not null")
                  .groupBy("ds").agg(F.max_by("value", "pos").alias("value")))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -24,54 +26,75 @@ def _stored(spark: SparkSession, store: str) -> DataFrame | None:
         return None
 
 
-def ingest_feed(stream: DataFrame, store: str, checkpoint: str, order: list[str]) -> None:
-    """Drain the feed into the store, insert-or-ignore by uid.
-
-    A batch replayed after a failure finds its articles stored and adds nothing, so ingest is exactly-once
-    in effect; late articles are stored like any other and keep their own business day.  The store is
-    partitioned by publication day, which is part of the uid, so only a batch's days are compared."""
+def insert_new(batch: DataFrame, store: str, order: list[str], key: str = "uid") -> list:
+    """Append the batch's rows whose key the store doesn't hold, the first of each key in the batch; the days it touched.
 
-    def upsert(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = dedupe(accepted_articles(batch), ["uid"], order)
-        fresh = fresh.withColumn("published_day", F.to_date("published_utc"))
+    The store is partitioned by publication day, and equal keys have equal days, so only the partitions of the batch's
+    days are read: their list, a few dates, is the partition filter.  A batch replayed after a failure finds its rows
+    stored and adds nothing."""
+    spark = batch.sparkSession
+    fresh = dedupe(batch, [key], order).withColumn("published_day", F.to_date("published_utc")).persist()
+    try:
+        days = [r[0] for r in fresh.select("published_day").distinct().collect()]
+        if not days:
+            return days
         known = _stored(spark, store)
+        new = fresh
         if known is not None:
-            days = fresh.select("published_day").distinct()
-            seen = known.join(F.broadcast(days), "published_day", "left_semi").select("uid")      # one row per day of the batch
-            fresh = fresh.join(seen, "uid", "left_anti")
+            held = F.col("published_day").isin([d for d in days if d is not None])
+            held = held | F.col("published_day").isNull() if None in days else held
+            new = fresh.join(known.filter(held).select(key), key, "left_anti")
         # rebalance splits a hot day over several files and keeps small days in one
-        fresh.hint("rebalance", "published_day").write.mode("append").partitionBy("published_day").parquet(store)
+        new.hint("rebalance", "published_day").write.mode("append").partitionBy("published_day").parquet(store)
+        return days
+    finally:
+        fresh.unpersist()
 
-    q = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def _drain(stream: DataFrame, checkpoint: str, put) -> None:
+    q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
-def stream_dedup(stream: DataFrame, time: str = "published_utc", delay: str = "2 days") -> DataFrame:
-    """First copy of each uid; state is kept only as long as the watermark allows repeats."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["uid"])
+def ingest_feed(stream: DataFrame, store: str, checkpoint: str, order: list[str]) -> None:
+    """Drain the feed into the store, insert-or-ignore by uid, articles that cannot be scored left out.
 
+    Exactly-once in effect; late articles, however late, are stored like any other and keep their own business day."""
+    _drain(stream, checkpoint, lambda batch, _id: insert_new(accepted_articles(batch), store, order))
 
-def business_day_tumbling(df: DataFrame, delay: str = "7 days", time: str = "published_utc") -> DataFrame:
-    """Counts and mean polarity per business day: a day runs from 09:00 UTC (16:00 at the desk) to 09:00."""
-    d = df.withWatermark(time, delay) if df.isStreaming else df
-    w = F.window(time, "1 day", "1 day", "9 hours")
-    g = d.filter("polarity is not null").groupBy(w.alias("w"), "scorer").agg(F.count(F.lit(1)).alias("n_news"), F.sum("polarity").alias("s"))
-    return g.select(F.to_date(F.col("w.end")).alias("business_date"), "scorer", "n_news", (F.col("s") / F.col("n_news")).alias("polarity"))
+
+def stream_dedup(stream: DataFrame, store: str, checkpoint: str, order: list[str], key: str = "uid") -> None:
+    """First copy of each key into the store.  What was seen is the store itself, so a repeat is known at any age and
+    a late first copy is kept."""
+    _drain(stream, checkpoint, lambda batch, _id: insert_new(batch, store, order, key))
 
 
-def run_to_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
-    """Write what a stream emits; update mode keeps every revision with its batch number."""
+def tumbling_from_store(stream: DataFrame, store: str, table: str, checkpoint: str, order: list[str], key: str = "uid") -> None:
+    """Counts and mean polarity per business day, revised whenever a batch touches the day, at any lateness.
 
+    A batch is stored, then the business days its publication days belong to are computed again from the store's
+    partitions around them; ``latest_revision`` reads the result."""
     def put(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("rows_of", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        days = [d for d in insert_new(batch, store, order, key) if d is not None]
+        if days:
+            spark = batch.sparkSession
+            touched = {d + dt.timedelta(k) for d in days for k in (0, 1)}            # a day's news count for it or the next
+            around = {d + dt.timedelta(k) for d in touched for k in (-1, 0)}
+            again = business_day_tumbling(spark.read.parquet(store).filter(F.col("published_day").isin(list(around))))
+            again.filter(F.col("business_date").isin(list(touched))).write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    q = df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
+    _drain(stream, checkpoint, put)
+
+
+def business_day_tumbling(df: DataFrame, time: str = "published_utc") -> DataFrame:
+    """Counts and mean polarity per business day: a day runs from 09:00 UTC (16:00 at the desk) to 09:00."""
+    w = F.window(time, "1 day", "1 day", "9 hours")
+    g = df.filter("polarity is not null").groupBy(w.alias("w"), "scorer").agg(F.count(F.lit(1)).alias("n_news"), F.sum("polarity").alias("s"))
+    return g.select(F.to_date(F.col("w.end")).alias("business_date"), "scorer", "n_news", (F.col("s") / F.col("n_news")).alias("polarity"))
 
 
 def latest_revision(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Newest revision of each key written by an update-mode stream."""
+    """Newest revision of each key, by batch."""
     t = spark.read.parquet(path)
     row = F.struct(*[c for c in t.columns if c not in keys])
     return t.groupBy(*keys).agg(F.max_by(row, "batch").alias("r")).select(*keys, "r.*")
