@@ -8,6 +8,8 @@ quantiles are exact however rough the cuts are.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,8 +54,22 @@ def average_ranks(df: DataFrame, keys: list[str], value: str, slices: int | None
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float], slices: int | None = None) -> DataFrame:
-    """Linear-interpolation quantiles per key, one column per named probability."""
-    c = sliced_counts(df, keys, value, slices)
+    """Linear-interpolation quantiles per key, one column per named probability.
+
+    Rows are only counted per slice; the slices that hold a wanted position, one or two per probability and key, are
+    the only rows shuffled and ordered."""
+    slices = slices or slice_count(df)
+    known = df.select(*keys, value).filter(F.col(value).isNotNull())
+    cut = _attach(known, _cuts(known, keys, value, slices), keys).withColumn("_slice", F.size(F.filter("_cuts", lambda x: x < F.col(value)))).drop("_cuts")
+    per = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_ns"))
+    over = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))            # at most `slices` rows per key
+    per = per.withColumn("_off", F.sum("_ns").over(over.orderBy("_slice")) - F.col("_ns")).withColumn("total", F.sum("_ns").over(over))
+    inside = lambda k: (F.col("_off") <= k) & (k < F.col("_off") + F.col("_ns"))
+    wanted = [inside(f(F.lit(p) * (F.col("total") - 1))) for p in probs.values() for f in (F.floor, F.ceil)]
+    held = per.filter(reduce(lambda a, b: a | b, wanted)).drop("_ns")
+    w = Window.partitionBy(*keys, "_slice").orderBy(value)
+    c = (cut.join(held, [*keys, "_slice"]).groupBy(*keys, "_slice", "_off", "total", value).agg(F.count(F.lit(1)).alias("n"))
+            .withColumn("before", F.col("_off") + F.sum("n").over(w) - F.col("n")))
 
     def at(k):
         return F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value)))

@@ -27,12 +27,24 @@ def correlate_to_targets(candidates: DataFrame, target_panel: DataFrame, targets
     return g.selectExpr("candidate", f"stack({len(targets)}, {cells}) AS (target, corr)").select("target", "candidate", "corr")
 
 
+def correlate_pairs(panel: DataFrame, pairs: list[tuple[str, str]], key="series", value="y", on="ds") -> DataFrame:
+    """(target, candidate, corr) in both directions for the wanted pairs of listed series.
+
+    One row per day holds all listed series, and one aggregate over the days gives every pair's correlation: nothing
+    is joined and no rows are paired.  The aggregate grows with the list of pairs, so this is for short lists."""
+    names = list(dict.fromkeys(n for p in pairs for n in p))
+    at = {n: f"_t{i}" for i, n in enumerate(names)}
+    g = targets_wide(panel, names, key, value, on).agg(*[F.expr(f"{corr_sql(at[a], at[b])} AS _c{i}") for i, (a, b) in enumerate(pairs)])
+    cells = ", ".join(f"'{a}', '{b}', _c{i}, '{b}', '{a}', _c{i}" for i, (a, b) in enumerate(pairs))
+    return g.selectExpr(f"stack({2 * len(pairs)}, {cells}) AS (target, candidate, corr)")
+
+
 def same_depth_leaves(nodes: DataFrame) -> DataFrame:
-    """(node, peers): other leaves of equal depth; ``nodes`` has one row per node."""
+    """(node, depth, peers): leaves with the number of other leaves of their depth; ``nodes`` has one row per node."""
     parents = nodes.select(F.substring_index("node", ".", -1).alias("_l"), "node").select(F.expr("left(node, length(node) - length(_l) - 1)").alias("node")).filter("node <> ''").distinct()
     leaf = nodes.join(parents, "node", "left_anti").withColumn("depth", F.size(F.split("node", r"\.")))
-    by_depth = leaf.groupBy("depth").agg(F.sort_array(F.collect_set("node")).alias("all"))
-    return leaf.join(by_depth, "depth").select("node", F.array_remove("all", F.col("node")).alias("peers"))
+    by_depth = leaf.groupBy("depth").agg((F.count(F.lit(1)) - 1).alias("peers"))
+    return leaf.join(by_depth, "depth").select("node", "depth", "peers")
 
 
 def top_correlated(pairs: DataFrame, k: int = 30) -> DataFrame:

@@ -200,9 +200,9 @@ def _(s, d):
     return aligned(s, d)
 
 
-@query("w26_ffill_with_limit", "scorer:s ds:d polarity:6", f"WITH {_ALIGN} SELECT scorer, ds, polarity FROM aligned WHERE scorer = 'error'")
+@query("w26_ffill_with_limit", "scorer:s ds:d polarity:6", f"WITH {_ALIGN} SELECT scorer, ds, polarity FROM aligned")
 def _(s, d):
-    return aligned(s, d).filter("scorer = 'error'")
+    return aligned(s, d)
 
 
 @query("a12_corpus_coverage", "year:i source:s articles:i days:i scored:i", f"WITH {ART} SELECT year(business_date) AS year, source, count(*) AS articles, count(DISTINCT business_date) AS days, count(polarity) AS scored FROM art GROUP BY 1, 2")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tidepanel.operators import features as ft
@@ -22,21 +24,33 @@ def leaf_series(s, d):
     return qe.leaf_panel(s, d).select(F.col("node").alias("series"), "ds", F.col("value").alias("y"))
 
 
+def _every_two(names) -> list[tuple[str, str]]:
+    return list(combinations(sorted(names), 2))
+
+
 def _pairs(s, d):
-    p = leaf_series(s, d)
-    x = sel.correlate_to_targets(p, p, LEAVES)
-    return x.filter((F.col("target") != F.col("candidate")) & (F.length("target") == F.length("candidate"))).withColumn("corr", F.abs("corr"))
+    wanted = [(x, y) for x, y in _every_two(LEAVES) if len(x) == len(y)]
+    return sel.correlate_pairs(leaf_series(s, d), wanted).withColumn("corr", F.abs("corr"))
+
+
+def _top_sql(source: str, k: int) -> str:
+    by = "PARTITION BY target ORDER BY round(abs(corr), 9) DESC, candidate"
+    return f"SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER ({by}) AS r FROM {source} WHERE corr IS NOT NULL AND target <> candidate) WHERE r <= {k}"
+
+
+def _top(pairs, k: int):
+    return sel.top_correlated(pairs.withColumn("corr", F.round("corr", 9)), k)
 
 
-@query("f1_pearson_to_target", "target:s candidate:s corr:6", f"WITH {_PAIRS} SELECT * FROM prs")
+@query("f1_pearson_to_target", "target:s candidate:s corr:6", f"WITH {_PAIRS} {_top_sql('prs', 30)}")
 def _(s, d):
-    return _pairs(s, d)
+    return _top(_pairs(s, d), 30)
 
 
-@query("j12_all_pairs_series", "target:s candidate:s corr:6", f"""WITH {b.SERIES} SELECT a.series AS target, b.series AS candidate, corr(a.y, b.y) AS corr FROM series a JOIN series b USING (ds) WHERE a.series <> b.series GROUP BY 1, 2""")
+@query("j12_all_pairs_series", "target:s candidate:s corr:6", f"""WITH {b.SERIES}, prs AS (SELECT a.series AS target, b.series AS candidate, corr(a.y, b.y) AS corr FROM series a JOIN series b USING (ds) GROUP BY 1, 2) {_top_sql('prs', 2)}""")
 def _(s, d):
-    x = b.series(s, d)
-    return sel.correlate_to_targets(x, x, list(b.PRIORITIES)).filter("target <> candidate")
+    """The two series closest to each series."""
+    return _top(sel.correlate_pairs(b.series(s, d), _every_two(b.PRIORITIES)), 2)
 
 
 @query("k1_top_correlated", "target:s candidate:s corr:6 rank:i", f"""WITH {_PAIRS} SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(corr, 9) DESC, candidate) AS rank FROM prs WHERE corr IS NOT NULL
@@ -45,11 +59,11 @@ def _(s, d):
     return sel.top_correlated(_pairs(s, d).withColumn("corr", F.round("corr", 9)), 5)
 
 
-@query("f2_same_depth_series", "node:s peers:s", f"""WITH {qe.PANEL_FULL}, n AS (SELECT DISTINCT node FROM panel), lf AS (SELECT node, length(node) - length(replace(node, '.', '')) AS dp FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE starts_with(m.node, n.node || '.'))),
-g AS (SELECT a.node, string_agg(b.node, ',' ORDER BY b.node) AS peers FROM lf a JOIN lf b ON a.dp = b.dp AND a.node <> b.node GROUP BY 1)
-SELECT lf.node, coalesce(peers, '') AS peers FROM lf LEFT JOIN g USING (node)""")
+@query("f2_same_depth_series", "node:s depth:i peers:i", f"""WITH {qe.PANEL_FULL}, n AS (SELECT DISTINCT node FROM panel), lf AS (SELECT node, length(node) - length(replace(node, '.', '')) AS dp FROM n WHERE NOT EXISTS (SELECT 1 FROM n m WHERE starts_with(m.node, n.node || '.'))),
+g AS (SELECT dp, count(*) - 1 AS peers FROM lf GROUP BY 1)
+SELECT node, dp + 1 AS depth, peers FROM lf JOIN g USING (dp)""")
 def _(s, d):
-    return sel.same_depth_leaves(qe.panel_full(s, d).select("node").distinct()).withColumn("peers", F.concat_ws(",", "peers"))
+    return sel.same_depth_leaves(qe.panel_full(s, d).select("node").distinct())
 
 
 _CATDAY = f"{b.TIDY}, cat AS (SELECT category AS series, ds, sum(value) AS y FROM tidy GROUP BY 1, 2)"
@@ -59,10 +73,10 @@ def _cat_day(s, d):
     return qe.tidy(s, d).groupBy(F.col("category").alias("series"), "ds").agg(F.sum("value").alias("y"))
 
 
-@query("f3_correlation_matrix", "target:s candidate:s corr:6", f"WITH {_CATDAY} SELECT a.series AS target, b.series AS candidate, covar_pop(a.y, b.y) / (stddev_pop(a.y) * stddev_pop(b.y)) AS corr FROM cat a JOIN cat b USING (ds) GROUP BY 1, 2")
+@query("f3_correlation_matrix", "target:s candidate:s corr:6", f"WITH {_CATDAY}, prs AS (SELECT a.series AS target, b.series AS candidate, covar_pop(a.y, b.y) / (stddev_pop(a.y) * stddev_pop(b.y)) AS corr FROM cat a JOIN cat b USING (ds) GROUP BY 1, 2) {_top_sql('prs', 5)}")
 def _(s, d):
-    x = _cat_day(s, d)
-    return sel.correlate_to_targets(x, x, list(nodes.CATEGORIES))
+    """The five categories closest to each category."""
+    return _top(sel.correlate_pairs(_cat_day(s, d), _every_two(nodes.CATEGORIES)), 5)
 
 
 @query("f3_external_correlation", "target:s candidate:s corr:6", f"WITH {_CATDAY}, {b.EXTERNAL} SELECT a.series AS target, e.name AS candidate, corr(a.y, e.value) AS corr FROM cat a JOIN external e USING (ds) GROUP BY 1, 2")

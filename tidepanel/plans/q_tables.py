@@ -262,10 +262,9 @@ def _(s, d):
 
 
 @query("j8_inner_join_external_panel", "ds:d node:s name:s value:0 ext:3", f"""WITH {qe.PANEL_SIMPLE}, {b.EXTERNAL}
-SELECT p.ds, node, name, p.value, e.value AS ext FROM panel p JOIN external e ON p.ds = e.ds WHERE node IN ('A','B','C','D')""")
+SELECT p.ds, node, name, p.value, e.value AS ext FROM panel p JOIN external e ON p.ds = e.ds""")
 def _(s, d):
-    p = qe.panel_simple(s, d).filter(F.col("node").isin("A", "B", "C", "D"))
-    return p.join(b.external(s, d).withColumnRenamed("value", "ext"), "ds")
+    return qe.panel_simple(s, d).join(b.external(s, d).withColumnRenamed("value", "ext"), "ds")
 
 
 @query("j9_merge_sources_override", "ds:d A:3 N:3 total:0", f"""WITH {_TOTAL}, {b.EXTERNAL}, w AS (SELECT ds, max(value) FILTER (name='A') AS A, max(value) FILTER (name='N') AS N FROM external GROUP BY 1)
@@ -343,8 +342,11 @@ _PROF = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 @query("a18_column_profile", "column:s n:i mean:4 median:4 std:4 min:4 max:4 range:4", "\nUNION ALL ".join(
     f"""SELECT '{c}' AS "column", count({c}) AS n, avg({c}) AS mean, quantile_cont({c}, 0.5) AS median, stddev_samp({c}) AS std, min({c}) AS min, max({c}) AS max, max({c}) - min({c}) AS range FROM lineitem""" for c in _PROF))
 def _(s, d):
-    long = etl.melt(b.table(s, d, "lineitem").select(*_PROF), [], _PROF, "column", "v")
-    g = long.groupBy("column").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    wide = b.table(s, d, "lineitem").select(*_PROF)
+    moments = {"n": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = wide.agg(*[F.struct(*[f(c).cast("double").alias(n) for n, f in moments.items()]).alias(c) for c in _PROF])
+    g = row.selectExpr(f"stack({len(_PROF)}, " + ", ".join(f"'{c}', `{c}`" for c in _PROF) + ") AS (column, x)").select("column", "x.*")
+    long = etl.melt(wide, [], _PROF, "column", "v")
     return g.join(exact_quantiles(long, ["column"], "v", {"median": 0.5}), "column").withColumn("range", F.col("max") - F.col("min"))
 
 
