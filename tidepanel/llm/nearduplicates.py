@@ -19,8 +19,8 @@ BANDS, ROWS = 26, 5
 REGISTERS = BANDS * ROWS
 #: Register values are 1 - log_B of an exponential minimum of rate A per element, rounded down and held in 16 bits.
 B, A, TOP = 1.001, 20.0, 65_535
-#: An estimate so many standard deviations under the threshold rules a pair out.
-DEVIATIONS = 6.0
+#: An estimate so many standard deviations under the threshold rules a pair out: one in 300,000 at the threshold.
+DEVIATIONS = 4.5
 #: Rows of a bucket that are compared as one block; larger buckets are worked through in pairs of blocks.
 BLOCK = 256
 _CHUNK = 2_000_000
@@ -140,14 +140,21 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, steps
     return j, np.sqrt(np.maximum(PERCENT / 100 * (1 - PERCENT / 100), j * (1 - j)) / x.shape[1])
 
 
-def _possible(x, y, nx, ny) -> np.ndarray:
-    """Pairs that size and estimate leave possible."""
-    ok = 100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny)
-    at = np.flatnonzero(ok)
-    if len(at):
-        j, dev = estimate(x[at], y[at], nx[at].astype(float), ny[at].astype(float))
-        ok[at] = j + DEVIATIONS * dev >= PERCENT / 100
-    return ok
+def _likely(x, y, nx, ny) -> np.ndarray:
+    """Estimated similarity of pairs that size and estimate leave possible, -1 for the others."""
+    out = np.full(len(nx), -1.0)
+    at = np.flatnonzero(100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny))
+    for k in range(0, len(at), 8192):
+        i = at[k:k + 8192]
+        j, dev = estimate(x[i], y[i], nx[i].astype(float), ny[i].astype(float))
+        out[i] = np.where(j + DEVIATIONS * dev >= PERCENT / 100, j, -1.0)
+    return out
+
+
+def _linked(p: bytes, q: bytes) -> bool:
+    p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= PERCENT * (len(p) + len(q) - both)
 
 
 def _matrix(values) -> np.ndarray:
@@ -191,17 +198,12 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets (id, n, set) meet the threshold."""
+    """Those of the pairs (a, b) whose full sets (id, set) meet the threshold."""
     one, two = (sets.select(F.col("id").alias(f"_{c}"), F.col("set").alias(f"set_{c}")) for c in "ab")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= PERCENT * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
+        return pd.Series([_linked(p, q) for p, q in zip(x, y)], dtype=bool)
 
     return (pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
                  .where(linked("set_a", "set_b")).select("a", "b"))
@@ -210,11 +212,13 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; and text_key, group (its component by class id).
 
-    Documents with equal sets are one class, so copies cost one row. Classes that share a band form a bucket:
-    every member is compared with the bucket's smallest class (likelihood estimate first, full sets then); only
-    where a bucket then still holds several components are its other pairs across components looked at, in blocks
-    of BLOCK rows, of which none but pairs with a sufficient estimate are returned and verified. No bucket is cut
-    off, and pairs within a component are not needed.
+    Documents with equal sets are one class, so copies cost one row. Classes that share a band form a bucket.
+    1. Every member of a bucket is compared with the bucket's smallest class: by likelihood estimate, then full sets.
+    2. Buckets that still hold several components are worked through in blocks of BLOCK rows: each block returns the
+       forest of its likeliest pairs across components, at most one per row, and these are verified.
+    3. In buckets that then still hold several components, blocks return the rows that have a possible partner in
+       another component; these rows meet again with their full sets, and all their possible pairs are verified.
+    No bucket is cut off, pairs within a component are not needed, and no step returns more than a few rows per row.
 
     Shingles are 64-bit hashes. Null, empty and blank texts have an empty set and link with nothing. Rows that share
     a doc_id are one document of the graph. A null doc_id links like any other, names no component and is
@@ -225,10 +229,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = stored(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("least"), F.min(F.struct("regs", "bands")).alias("s"))
                          .select("n", "f1", "f2", F.coalesce("least", -1 - F.col("f1").bitwiseAND((1 << 62) - 1)).alias("id"), "s.regs", "s.bands"), "classes")
     sketch = classes.select("id", "n", "regs").dropDuplicates(["id"])
-    spread = stored(classes.select("id", "n", F.explode("bands").alias("key")), "bands")
+    spread = stored(classes.select("id", "n", F.posexplode("bands").alias("band", "key")), "bands")
     heads = (spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
                    .select(F.col("key").alias("_key"), F.col("head.id").alias("head"), F.col("head.n").alias("head_n"), "members"))
-    buckets = stored(spread.join(heads, F.col("key") == F.col("_key")).select("key", "id", "n", "head", "head_n", "members"), "buckets")
+    buckets = stored(spread.join(heads, F.col("key") == F.col("_key")).select("key", "band", "id", "n", "head", "head_n", "members"), "buckets")
 
     def filtered(pairs: DataFrame) -> DataFrame:
         """(a, b) pairs that the estimate leaves possible."""
@@ -236,34 +240,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
         @F.pandas_udf("boolean")
         def possible(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
-            return pd.Series(_possible(_matrix(x), _matrix(y), nx.to_numpy(), ny.to_numpy()) if len(x) else np.zeros(0, bool))
+            return pd.Series(_likely(_matrix(x), _matrix(y), nx.to_numpy(), ny.to_numpy()) >= 0 if len(x) else np.zeros(0, bool))
 
         return (pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
                      .where(possible("regs_a", "regs_b", "n_a", "n_b")).select("a", "b"))
 
     near = f"100 * least(n, head_n) >= {PERCENT} * greatest(n, head_n)"
     stars = stored(filtered(buckets.where("id <> head").where(near).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), "stars")
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
-        real = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-        wanted = real.where("doc_id is not null").join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-        nameless = real.where("doc_id is null")
-        return stored(wanted.unionByName(nameless).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(_set_rows, "id bigint, set binary").dropDuplicates(["id"]), "sets")
-
-    links = stored(verified(stars, sets_of(stars)), "links")
+    wanted = stars.select(F.col("a").alias("_id")).union(stars.select("b")).union(buckets.where("members > 2").select("id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    named = texts.where("doc_id is not null").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi")
+    sets = stored(named.unionByName(texts.where("doc_id is null")).withColumn("doc_id", F.col("doc_id").cast("string"))
+                       .mapInPandas(_set_rows, "id bigint, set binary").dropDuplicates(["id"]), "sets")
+    links = stored(verified(stars, sets), "links")
     parts = components(links)
 
-    # buckets in which several components are left, apart from pairs with the head, which are settled
-    c = parts.select(F.col("id").alias("_p"), "component")
-    placed = buckets.where("members > 2").join(c, F.col("id") == F.col("_p"), "left").withColumn("part", F.coalesce("component", "id"))
-    open_keys = placed.groupBy(F.col("key").alias("_k")).agg(F.min("part").alias("_x"), F.max("part").alias("_y")).where("_x <> _y")
-    left = stored(placed.join(open_keys, F.col("key") == F.col("_k")).where("id <> head").select("key", "id", "n", "part", "members"), "open")
-    more = filtered_blocks(left, sketch)
-    more = stored(more.distinct(), "more")
-    if not more.isEmpty():
-        links = links.union(stored(verified(more, sets_of(more)), "links"))
+    def still_open() -> DataFrame:
+        """Members of buckets with several components, with their component, sketch and block."""
+        c = parts.select(F.col("id").alias("_p"), "component")
+        placed = buckets.where("members > 2").join(c, F.col("id") == F.col("_p"), "left").withColumn("part", F.coalesce("component", "id"))
+        keys = placed.groupBy(F.col("key").alias("_k")).agg(F.min("part").alias("_x"), F.max("part").alias("_y")).where("_x <> _y").select("_k")
+        left = placed.join(keys, F.col("key") == F.col("_k")).join(sketch.select(F.col("id").alias("_s"), "regs"), F.col("id") == F.col("_s"))
+        return left.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    forest = stored(in_blocks(still_open(), _forest, "a bigint, b bigint").distinct(), "forest")
+    if not forest.isEmpty():
+        links = stored(links.union(verified(forest, sets)), "links")
         parts = components(links)
+        flagged = stored(in_blocks(still_open(), _flagged, FLAGGED), "flagged")
+        if not flagged.isEmpty():
+            own = sets.select(F.col("id").alias("_id"), "set")
+            with_sets = flagged.join(own, F.col("id") == F.col("_id")).drop("_id")
+            rest = with_sets.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_verified_blocks, "a bigint, b bigint")
+            parts = components(links.union(stored(rest.distinct(), "links")))
 
     c = parts.select(F.col("id").alias("_p"), "component")
     named = (classes.join(c, F.col("id") == F.col("_p"), "left")
@@ -302,32 +311,84 @@ def _set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "set": pd.Series(sets, dtype=object)})
 
 
-def filtered_blocks(left: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Possible pairs (a, b) of different parts within each bucket, compared block by block."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = (left.join(sketch.select(F.col("id").alias("_s"), "regs"), F.col("id") == F.col("_s"))
-               .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
-    # block i meets every block j >= i: a row goes to the meetings of its block
-    met = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    met = met.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "part", "regs")
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["key", "i", "j"]):
+# --- blocks of a bucket ----------------------------------------------------------------------------
+
+FLAGGED = "key bigint, band int, i int, j int, block int, id bigint, n bigint, part bigint, regs binary"
+
+
+def in_blocks(left: DataFrame, work, schema: str) -> DataFrame:
+    """Run ``work`` on every two blocks of every bucket: block i meets every block j >= i, and itself."""
+    met = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    met = met.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "part", "regs")
+    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(work, schema)
+
+
+def _meeting(g: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of i, rows of j, x, y, similarity): possible pairs of different parts in two blocks, each pair once."""
+    same = g["i"].iloc[0] == g["j"].iloc[0]
+    p = g if same else g[g["block"] == g["i"]]
+    q = g if same else g[g["block"] == g["j"]]
+    nx, ny = p["n"].to_numpy(), q["n"].to_numpy()
+    ok = p["part"].to_numpy()[:, None] != q["part"].to_numpy()[None, :]
+    ok &= 100 * np.minimum.outer(nx, ny) >= PERCENT * np.maximum.outer(nx, ny)
+    if same:
+        ok &= p["id"].to_numpy()[:, None] < q["id"].to_numpy()[None, :]
+    x, y = np.nonzero(ok)
+    if not len(x):
+        return p, q, x, y, np.zeros(0)
+    mx, my = _matrix(p["regs"]), _matrix(q["regs"])
+    j = np.concatenate([_likely(mx[x[k:k + 8192]], my[y[k:k + 8192]], nx[x[k:k + 8192]], ny[y[k:k + 8192]]) for k in range(0, len(x), 8192)])
+    keep = np.flatnonzero(j >= 0)
+    x, y, j = x[keep], y[keep], j[keep]
+    # a pair that shares several bands is looked at in the first of them only
+    shared = np.concatenate([(mx[x[k:k + 8192]] == my[y[k:k + 8192]]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) for k in range(0, max(1, len(x)), 8192)])
+    first = shared == g["band"].iloc[0]
+    return p, q, x[first], y[first], j[first]
+
+
+def _spanning(pairs, linked=lambda *_: True) -> Iterator[tuple[int, int]]:
+    """Those of the pairs ((part, part), rows, ids) that are linked and join parts not joined by earlier ones: their ids."""
+    up: dict = {}
+
+    def find(v):
+        while up.setdefault(v, v) != v:
+            up[v] = up[up[v]]
+            v = up[v]
+        return v
+
+    for (u, v), (a, b), ids in pairs:
+        u, v = find(u), find(v)
+        if u != v and linked(a, b):
+            up[u] = v
+            yield ids
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for g in _groups(batches, ["key", "i", "j"]):
+        p, q, x, y, j = _meeting(g)
+        if len(x):
+            order = np.argsort(-j, kind="stable")
+            ids, parts = (p["id"].to_numpy(), q["id"].to_numpy()), (p["part"].to_numpy(), q["part"].to_numpy())
+            pairs = (((parts[0][a], parts[1][b]), (a, b), (ids[0][a], ids[1][b])) for a, b in zip(x[order], y[order]))
+            out = np.array(list(_spanning(pairs)))
+            yield pd.DataFrame({"a": out.min(axis=1), "b": out.max(axis=1)})
+
+
+def _flagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for g in _groups(batches, ["key", "i", "j"]):
+        p, q, x, y, _ = _meeting(g)
+        if len(x):
             same = g["i"].iloc[0] == g["j"].iloc[0]
-            p = g if same else g[g["block"] == g["i"]]
-            q = g if same else g[g["block"] == g["j"]]
-            if not len(p) or not len(q) or len(g) < 2:
-                continue
-            nx, ny = p["n"].to_numpy(), q["n"].to_numpy()
-            ok = p["part"].to_numpy()[:, None] != q["part"].to_numpy()[None, :]
-            ok &= 100 * np.minimum.outer(nx, ny) >= PERCENT * np.maximum.outer(nx, ny)
-            if same:
-                ok &= p["id"].to_numpy()[:, None] < q["id"].to_numpy()[None, :]
-            x, y = np.nonzero(ok)
-            if len(x):
-                mx, my = _matrix(p["regs"]), _matrix(q["regs"])
-                keep = np.concatenate([_possible(mx[x[k:k + 8192]], my[y[k:k + 8192]], nx[x[k:k + 8192]], ny[y[k:k + 8192]]) for k in range(0, len(x), 8192)])
-                a, b = p["id"].to_numpy()[x[keep]], q["id"].to_numpy()[y[keep]]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return (met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(compare, "a bigint, b bigint"))
+            at = p.iloc[np.union1d(x, y)] if same else pd.concat([p.iloc[np.unique(x)], q.iloc[np.unique(y)]])
+            yield at[[c.split()[0] for c in FLAGGED.split(", ")]]
+
+
+def _verified_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for g in _groups(batches, ["key", "i", "j"]):
+        p, q, x, y, j = _meeting(g)
+        sets, ids, parts = (list(p["set"]), list(q["set"])), (p["id"].to_numpy(), q["id"].to_numpy()), (p["part"].to_numpy(), q["part"].to_numpy())
+        order = np.argsort(-j, kind="stable")
+        pairs = (((parts[0][a], parts[1][b]), (a, b), (ids[0][a], ids[1][b])) for a, b in zip(x[order], y[order]))
+        out = np.array(list(_spanning(pairs, lambda a, b: _linked(sets[0][a], sets[1][b]))))
+        if len(out):
+            yield pd.DataFrame({"a": out.min(axis=1), "b": out.max(axis=1)})
