@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidepanel.llm import chat, language, mixing, nearduplicates, packing, pages, pii, sharding, vectors
+from tidepanel.llm import chat, language, mixing, nearduplicates, oracles, packing, pages, pii, sharding, vectors
 from tidepanel.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,5 +80,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+LLM_ORACLES |= {
+    "op2_setsketch_duplicates": oracles.OP2,
+    "op4_embedding_duplicates": oracles.OP4,
+    "op5_exact_top_k": oracles.OP5,
+    "op8_prefix_tree_chat": oracles.OP8,
+}
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
