@@ -8,6 +8,12 @@ import string
 _REACH = """, reach(id, other) AS (SELECT a, b FROM edges UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.other = e.a),
 named AS (SELECT id, least(id, min(other)) AS component FROM reach GROUP BY id)"""
 
+#: For pages built like those of the given tables: one article of headings and paragraphs, few character references.
+OP1 = r"""WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '</?(?:p|h1)>') AS parts FROM pages),
+b AS (SELECT page_id, url, [trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)),
+  '&amp;?', '&', 'g'), '\s+', ' ', 'g')) FOR x IN parts] AS parts FROM a)
+SELECT page_id, url, array_to_string([x FOR x IN parts IF x <> ''], chr(10)) AS text, CAST(length(array_to_string([x FOR x IN parts IF x <> ''], chr(10))) AS BIGINT) AS n_chars FROM b"""
+
 OP2 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sh AS (SELECT doc_id, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
 st AS (SELECT doc_id, list_sort(list_distinct(list(s))) AS st FROM sh GROUP BY 1),

@@ -81,6 +81,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_ORACLES |= {
+    "op1_wrapper_text": oracles.OP1,
     "op2_setsketch_duplicates": oracles.OP2,
     "op4_embedding_duplicates": oracles.OP4,
     "op5_exact_top_k": oracles.OP5,
