@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tidepanel.operators import calendar as cal
 from tidepanel.operators import features as ft
+from tidepanel.operators import selection as sel
 from tidepanel.session import cut_lineage
 
 LAGS, MEANS = (1, 2, 3, 4, 5, 10), (5, 20)
@@ -34,6 +35,21 @@ def _day(d):
     return {"day_of_week": c["day_of_week"], "month": c["month"]}
 
 
+def pool_features(df: DataFrame, sw: ft.SeriesWindow) -> tuple[DataFrame, list[str]]:
+    """The whole candidate pool, filled, and its names."""
+    pool = ft.feature_pool(df, sw)
+    names = ft.feature_names(pool, sw)
+    return ft.fill_features(pool, sw, names), names
+
+
+def choose_inputs(train: DataFrame, names: list[str], k: int) -> list[str]:
+    """Inputs of a pooled model: mRMR picks ``k`` features per series on the training rows, and the ``k`` picked for
+    most series, earliest first, are taken.  Only these names reach the driver."""
+    picked = sel.mrmr_select(sel.feature_ranks(sel.long_features(train, names)), k)
+    votes = picked.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.avg("step").alias("step"))
+    return [r.feature for r in votes.orderBy(F.desc("n"), "step", "feature").limit(k).collect()]
+
+
 def series_levels(train: DataFrame) -> DataFrame:
     """(series, series_mean, series_sd) from the training rows only."""
     return train.groupBy("series").agg(F.avg("y").alias(LEVEL[0]), F.coalesce(F.stddev_samp("y"), F.lit(0.0)).alias(LEVEL[1]))

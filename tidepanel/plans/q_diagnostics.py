@@ -68,7 +68,19 @@ def _shifted(s, d):
     return b.series(s, d).withColumn("y", F.col("y") + bump)
 
 
-@query("d5_structural_breaks", "series:s start_idx:i end_idx:i start_ds:d n:i mean:4 std:4")
+def _breaks_sql(rounds: int) -> str:
+    """Binary segmentation written out round by round."""
+    seg = "PARTITION BY series, seg ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING"
+    q = f"""WITH {_SHIFT}, x0 AS MATERIALIZED (SELECT series, ds, y, row_number() OVER (PARTITION BY series ORDER BY ds) - 1 AS i, sum(y*y) {_P} - sum(y) {_P} * sum(y) {_P} / count(*) {_P} AS tot, 1 AS seg, TRUE AS go FROM sh)"""
+    for k in range(1, rounds + 1):
+        q += f""", s{k} AS (SELECT series, seg, i, sum(y) OVER ({seg} AND 1 PRECEDING) AS l, count(*) OVER ({seg} AND CURRENT ROW) - 1 AS p, count(*) OVER (PARTITION BY series, seg) AS m, sum(y) OVER (PARTITION BY series, seg) AS t FROM x{k - 1}),
+b{k} AS (SELECT series, seg AS bseg, i AS bi, l*l/p + (t-l)*(t-l)/(m-p) - t*t/m AS gain FROM s{k} WHERE p >= 60 AND m - p >= 60 AND l*l/p + (t-l)*(t-l)/(m-p) - t*t/m > 0 QUALIFY row_number() OVER (PARTITION BY series ORDER BY gain DESC, i) = 1),
+x{k} AS MATERIALIZED (SELECT series, ds, y, i, tot, CASE WHEN take AND seg = bseg AND i >= bi THEN seg * 2 + 1 WHEN take AND seg = bseg THEN seg * 2 ELSE seg END AS seg, take AS go
+  FROM (SELECT x{k - 1}.*, bseg, bi, coalesce(go AND tot > 0 AND gain >= 0.01 * tot, FALSE) AS take FROM x{k - 1} LEFT JOIN b{k} USING (series)))"""
+    return q + f" SELECT series, min(i) AS start_idx, max(i) AS end_idx, min(ds) AS start_ds, count(*) AS n, avg(y) AS mean, stddev_pop(y) AS std FROM x{rounds} GROUP BY series, seg"
+
+
+@query("d5_structural_breaks", "series:s start_idx:i end_idx:i start_ds:d n:i mean:4 std:4", _breaks_sql(5))
 def _(s, d):
     """Segments of every series after at most five accepted splits."""
     return dg.segment_stats(dg.structural_breaks(_shifted(s, d)))
@@ -114,7 +126,12 @@ def _(s, d):
     return dg.acf(b.series(s, d))
 
 
-@query("d10_pacf", "series:s k:i pacf:6")
+@query("d10_pacf", "series:s k:i pacf:6", f"""WITH RECURSIVE {b.SERIES}, e AS (SELECT series, row_number() OVER (PARTITION BY series ORDER BY ds) AS i, count(*) {_P} AS n, y - avg(y) {_P} AS e FROM series),
+ac AS (SELECT a.series, a.n, a.i - b.i AS k, sum(a.e * b.e) AS c FROM e a JOIN e b ON a.series = b.series AND b.i <= a.i AND b.i >= a.i - 40 GROUP BY 1, 2, 3),
+v AS (SELECT series, list(c / c0 * n / (n - k) ORDER BY k) FILTER (k > 0) AS r FROM (SELECT *, max(c) FILTER (k = 0) OVER (PARTITION BY series) AS c0 FROM ac) WHERE k <= least(40, greatest(1, n // 2 - 1)) GROUP BY 1),
+rec AS (SELECT series, 1 AS k, r, [r[1]] AS phi, r[1] AS p FROM v UNION ALL SELECT series, k + 1, r, list_append([phi[j] - last * phi[k + 1 - j] FOR j IN range(1, k + 1)], last), last
+  FROM (SELECT *, (r[k + 1] - list_sum([phi[j] * r[k + 1 - j] FOR j IN range(1, k + 1)])) / (1 - list_sum([phi[j] * r[j] FOR j IN range(1, k + 1)])) AS last FROM rec WHERE k < len(r)))
+SELECT series, k, p AS pacf FROM rec""")
 def _(s, d):
     """Partial autocorrelations, 40 lags."""
     return dg.pacf(b.series(s, d))

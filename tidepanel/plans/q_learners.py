@@ -15,7 +15,7 @@ from tidepanel.plans import q_news as qn
 from tidepanel.plans.q_calendar import HOLIDAYS
 from tidepanel.plans.q_selection import leaf_series
 from tidepanel.plans.registry import query
-from tidepanel.session import scratch_path
+from tidepanel.session import cut_lineage, scratch_path
 from tidepanel.sources import versions
 from tidepanel.streaming import feed
 
@@ -53,6 +53,21 @@ def _(s, d):
     return _judged(out.join(test.select("series", "ds", "lag_1"), ["series", "ds"]), "kind")
 
 
+@query("m26_k_ablation_pool", "k:s series:s n:i finite:i close:i", _tests_sql("k", ("12", "25")))
+def _(s, d):
+    """Forests on 12 and on 25 of the 116 candidates, chosen by mRMR on training rows: one-step test errors."""
+    x, names = ml.pool_features(b.series(s, d), SW)
+    x = cut_lineage(positions(x).withColumn("age", F.col("n") - F.col("i")))
+    train, test, out = x.filter("age > 60"), x.filter("age <= 60"), None
+    levels = ml.series_levels(train)
+    for k in (12, 25):
+        cols = ml.choose_inputs(train, names, k)
+        model = ml.fit_trees(ml.with_levels(train, levels), cols, numTrees=10)
+        p = ml.direct_predict(model, ml.with_levels(test, levels)).withColumn("k", F.lit(str(k)))
+        out = p if out is None else out.unionByName(p)
+    return _judged(out.join(test.select("series", "ds", "lag_1"), ["series", "ds"]), "k")
+
+
 @query("m6_panel_ridge", "variant:s series:s n:i finite:i close:i", _tests_sql("variant", ("lags", "dummies", "all")))
 def _(s, d):
     """Guarded ridge in its three variants: one-step test errors per series."""
