@@ -113,9 +113,9 @@ def missing_per_entity(df: DataFrame, entities: list[str]) -> DataFrame:
 
 def date_set_comparison(df: DataFrame, entities: list[str], samples: int = 5) -> DataFrame:
     """Per entity: number of missing days and the first few of them (grain: one row per day)."""
-    return missing_per_entity(df, entities).groupBy("entity").agg(
-        F.count(F.lit(1)).alias("n_missing"),
-        F.concat_ws(", ", F.transform(F.slice(F.sort_array(F.collect_list("ds")), 1, samples), lambda d: F.date_format(d, "yyyy-MM-dd"))).alias("examples"))
+    missing = missing_per_entity(df, entities).withColumn("_i", F.row_number().over(Window.partitionBy("entity").orderBy("ds")))
+    first = F.sort_array(F.collect_list(F.when(F.col("_i") <= samples, F.date_format("ds", "yyyy-MM-dd"))))
+    return missing.groupBy("entity").agg(F.count(F.lit(1)).alias("n_missing"), F.concat_ws(", ", first).alias("examples"))
 
 
 def missing_calendar_days(df: DataFrame, keys: list[str]) -> DataFrame:

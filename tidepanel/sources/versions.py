@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepanel.session import drop_scratch
+
 _META = "version_id string, created string, model_config map<string,string>, info map<string,string>"
 
 
@@ -21,6 +23,12 @@ def delete_version(spark: SparkSession, root: str, version_id: str) -> None:
     spark.createDataFrame([(version_id, True)], "version_id string, deleted boolean").withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{root}/status")
 
 
+def purge_version(spark: SparkSession, root: str, version_id: str) -> None:
+    """Delete a version and its stored values."""
+    delete_version(spark, root, version_id)
+    drop_scratch(spark, f"{root}/values/version_id={version_id}")
+
+
 def list_versions(spark: SparkSession, root: str) -> DataFrame:
     live = spark.read.parquet(f"{root}/status").groupBy("version_id").agg(F.max_by("deleted", F.struct("at", "deleted")).alias("d")).filter("not d").select("version_id")
     meta = spark.read.parquet(f"{root}/metadata").groupBy("version_id").agg(F.max_by(F.struct("created", "model_config", "info"), "created").alias("m"))
