@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return nearduplicates.one_of_each(docs.select(*COLUMNS))
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    return nearduplicates.one_of_each(docs.select(*COLUMNS), nearduplicates.AT_80)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

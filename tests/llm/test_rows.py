@@ -55,13 +55,13 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute_classes(rows):
+def brute_classes(rows, percent=85):
     c, sets = Classes(), [(i, shingles(t)) for i, t in rows]
     for k, (i, a) in enumerate(sets):
         c.find(i)
         for j, b in sets[:k]:
             both = len(a & b)
-            if a and b and 100 * both >= 85 * (len(a) + len(b) - both):
+            if a and b and 100 * both >= percent * (len(a) + len(b) - both):
                 c.join(i, j)
     return {i: (c.find(i), len(s)) for i, s in sets}
 
@@ -92,6 +92,12 @@ def test_near_duplicates_against_all_pairs(spark):
     assert got == brute_classes(rows)
 
 
+def test_near_duplicates_at_another_threshold(spark):
+    rows = near_rows()
+    got = {r["doc_id"]: (r["component_id"], r["n_shingles"]) for r in nearduplicates.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), nearduplicates.AT_80).collect()}
+    assert got == brute_classes(rows, 80) != brute_classes(rows)
+
+
 def test_blocks_of_a_bucket_find_the_same(spark, monkeypatch):
     monkeypatch.setattr(nearduplicates, "BLOCK", 8)
     rows = near_rows()

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import stored
+from tidepanel.llm.common import small_batches, stored
 from tidepanel.llm.tokens import encoder
 
 #: The template: a turn is OPEN, the role, MID, the text, CLOSE.
@@ -117,6 +117,7 @@ def prefix_tree(turns: DataFrame, tokenizer: str | None = None) -> tuple[DataFra
     ordered by the hashes along their path, which is a depth-first order; sorting, lengths before a node and its
     history are computed by range, never in one task. A tree that many conversations share is rows like any others.
     """
+    small_batches(turns.sparkSession)
     # a conversation is read turn by turn in one task, streaming; its copies share only hashes
     rows = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("_key"), "turn",
                         F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Rows that a Python worker gets at once, unless the session says otherwise: texts are long, and a worker holds a
+    batch several times over (Arrow, pandas, results)."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: later passes see the same rows even if executors are lost."""
     path = scratch_path(df.sparkSession, name)

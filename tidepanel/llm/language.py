@@ -12,13 +12,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidepanel.llm.common import small_batches
+
 #: Hash buckets of the n-grams, and their lengths.
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: The log-probability matrix is broadcast; more languages than this make it too large and are refused.
-MOST_LANGUAGES = 1_000
+MOST_LANGUAGES = 500
 UNKNOWN = "und"
-_CHUNK = 1_000_000
+#: Characters worked on at once: arrays of this length stay in the cache.
+_CHUNK = 250_000
 
 
 @functools.cache
@@ -105,9 +108,10 @@ class Model:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets: int = BUCKETS, orders=ORDERS, smoothing: float = 0.5) -> Model:
     """Count n-grams of all labelled rows; rows with a null text or language teach nothing.
 
-    Every task adds its rows up to one count per language and bucket before the shuffle; the driver gets one row
-    per language and bucket that occurs, at most MOST_LANGUAGES x ``buckets``.
+    Every task adds its rows up to one count per language and bucket before the shuffle; the driver gets one array
+    of ``buckets`` counts per language, for MOST_LANGUAGES languages at most.
     """
+    small_batches(labelled.sparkSession)
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
@@ -124,19 +128,19 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets:
 
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
     partial = rows.mapInPandas(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    packed = (partial.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("counts"))
-                     .orderBy("lang").limit(MOST_LANGUAGES + 1).collect())
+
+    def dense(key, part: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(buckets + 1, np.int64)           # the last place, bucket -1, holds the documents
+        out[part["bucket"].to_numpy()] = part["n"].to_numpy()
+        return pd.DataFrame({"lang": [key[0]], "counts": [out.tobytes()]})
+
+    packed = partial.groupBy("lang").applyInPandas(dense, "lang string, counts binary").limit(MOST_LANGUAGES + 1).collect()
+    packed.sort(key=lambda r: r["lang"])
     if len(packed) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages: the model would be too large to broadcast")
     languages = [r["lang"] for r in packed]
-    counts = np.zeros((buckets, len(languages)))
-    docs = np.zeros(len(languages))
-    for j, r in enumerate(packed):
-        for c in r["counts"]:
-            if c["bucket"] < 0:
-                docs[j] = c["n"]
-            else:
-                counts[c["bucket"], j] = c["n"]
+    every = np.array([np.frombuffer(r["counts"], np.int64) for r in packed], dtype=np.float64).reshape(len(packed), buckets + 1).T
+    counts, docs = every[:-1], every[-1]
     weights = np.log((counts + smoothing) / (counts.sum(axis=0) + smoothing * buckets)) if languages else counts
     return Model(languages, weights, np.log(docs / docs.sum()) if languages else docs, tuple(orders))
 
@@ -146,6 +150,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     All other columns pass through unchanged (columns named lang_pred or score are replaced).
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)     # MOST_LANGUAGES x buckets numbers at most
 
     @F.pandas_udf("lang_pred string, score double")
@@ -153,7 +158,8 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         best, score = shared.value.score(list(texts))
         return pd.DataFrame({"lang_pred": best, "score": score})
 
-    out = df.withColumn("_lid", run(F.col(text)))
+    # a filter on the result would otherwise be moved before it, with a second evaluation
+    out = df.withColumn("_lid", run.asNondeterministic()(F.col(text)))
     return out.withColumns({"lang_pred": F.col("_lid.lang_pred"), "score": F.col("_lid.score")}).drop("_lid")
 
 

@@ -130,7 +130,7 @@ def first_words(text, n):
 
 
 def mixed_documents(docs: DataFrame, shards: int = 32, weights=(1, 2, 3), seed: int = 11) -> DataFrame:
-    """The mix itself: a row of ``docs`` for every time a document is taken, ordered by shard and slot.
+    """The mix itself: a row of ``docs`` for every time a document is taken, with its shard and slot.
 
     The one document of a source at which its target is met may be cut after a word. Columns are those of ``docs``
     plus shard and slot (which replace columns of these names); documents that the mix doesn't take are left out.
@@ -143,5 +143,4 @@ def mixed_documents(docs: DataFrame, shards: int = 32, weights=(1, 2, 3), seed:
     text = F.when(F.col("_mix_words") < F.col("_mix_size"), first_words(F.col("text"), F.col("_mix_words").cast("int"))).otherwise(F.col("text"))
     out = once.join(chosen, F.col("_key") == F.col("_k")).withColumn("text", text)
     own = [c for c in docs.columns if c not in ("shard", "slot")]
-    out = out.select(*own, F.col("_mix_shard").alias("shard"), F.col("_mix_slot").alias("slot"))
-    return out.repartitionByRange(F.col("shard"), F.col("slot")).sortWithinPartitions("shard", "slot")
+    return out.select(*own, F.col("_mix_shard").alias("shard"), F.col("_mix_slot").alias("slot"))

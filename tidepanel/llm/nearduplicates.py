@@ -3,27 +3,46 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import components, stored
+from tidepanel.llm.common import components, small_batches, stored
 
 WORDS = 5
-#: Links need 100 * intersection >= PERCENT * union.
-PERCENT = 85
-#: Registers are BANDS bands of ROWS. A pair at the threshold shares no band with probability (1 - .85**5)**26 < 3e-7.
-BANDS, ROWS = 26, 5
-REGISTERS = BANDS * ROWS
+
+
+@dataclass(frozen=True)
+class Cut:
+    """Links need 100 * intersection >= percent * union; registers are ``bands`` bands of ``rows``.
+
+    A pair at the threshold t shares no band with probability (1 - t^rows)^bands: under 3e-7 for 85 percent and 26
+    bands of 5, under 7e-7 for 80 percent and 36 bands of 5.
+    """
+
+    percent: int = 85
+    bands: int = 26
+    rows: int = 5
+
+    @property
+    def registers(self) -> int:
+        return self.bands * self.rows
+
+
+AT_85, AT_80 = Cut(), Cut(80, 36)
+#: Most registers of any cut.
+REGISTERS = 256
 #: Register values are 1 - log_B of an exponential minimum of rate A per element, rounded down and held in 16 bits.
 B, A, TOP = 1.001, 20.0, 65_535
 #: An estimate so many standard deviations under the threshold rules a pair out: one in 300,000 at the threshold.
 DEVIATIONS = 4.5
 #: Rows of a bucket that are compared as one block; larger buckets are worked through in pairs of blocks.
 BLOCK = 256
-_CHUNK = 2_000_000
+_CHUNK = 500_000
 
 _rng = np.random.default_rng(977)
 _ODD = _rng.integers(0, 1 << 63, size=16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,21 +113,22 @@ def shingle_sets(texts) -> Iterator[np.ndarray]:
         yield from flush()
 
 
-def registers(s: np.ndarray) -> np.ndarray:
+def registers(s: np.ndarray, cut: Cut = AT_85) -> np.ndarray:
     """SetSketch registers of a non-empty set; those of a union are the larger of the two, register by register."""
-    low = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
+    factors = _FACTORS[:cut.registers]
+    low = np.full(cut.registers, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 1024):
-        np.minimum(low, (s[i:i + 1024, None] * _FACTORS).min(axis=0), out=low)
+        np.minimum(low, (s[i:i + 1024, None] * factors).min(axis=0), out=low)
     u = (low.astype(np.float64) + 0.5) / 2.0**64
     return np.clip(np.floor(1 - np.log(-np.log1p(-u) / A) / np.log(B)), 0, TOP).astype(np.uint16)
 
 
-def band_keys(r: np.ndarray) -> np.ndarray:
-    rows = r.reshape(BANDS, ROWS).astype(np.uint64)
-    return _mixed((rows * _ODD[9:9 + ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[14]).view(np.int64)
+def band_keys(r: np.ndarray, cut: Cut = AT_85) -> np.ndarray:
+    rows = r.reshape(cut.bands, cut.rows).astype(np.uint64)
+    return _mixed((rows * _ODD[9:9 + cut.rows]).sum(axis=1, dtype=np.uint64) + np.arange(1, cut.bands + 1, dtype=np.uint64) * _ODD[14]).view(np.int64)
 
 
-def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
+def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, cut: Cut = AT_85, steps: int = 40) -> tuple[np.ndarray, np.ndarray]:
     """Maximum-likelihood Jaccard similarity of pairs of sketches with known set sizes, and its standard deviation.
 
     With u and v the shares of the two sizes in their sum, a register of the first is larger with probability
@@ -137,39 +157,40 @@ def estimate(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, steps
         up = slope(mid) > 0
         low, high = np.where(up, mid, low), np.where(up, high, mid)
     j = (low + high) / 2
-    return j, np.sqrt(np.maximum(PERCENT / 100 * (1 - PERCENT / 100), j * (1 - j)) / x.shape[1])
+    return j, np.sqrt(np.maximum(cut.percent / 100 * (1 - cut.percent / 100), j * (1 - j)) / x.shape[1])
 
 
-def _likely(x, y, nx, ny) -> np.ndarray:
+def _likely(x, y, nx, ny, cut: Cut) -> np.ndarray:
     """Estimated similarity of pairs that size and estimate leave possible, -1 for the others."""
     out = np.full(len(nx), -1.0)
-    at = np.flatnonzero(100 * np.minimum(nx, ny) >= PERCENT * np.maximum(nx, ny))
+    at = np.flatnonzero(100 * np.minimum(nx, ny) >= cut.percent * np.maximum(nx, ny))
     for k in range(0, len(at), 8192):
         i = at[k:k + 8192]
-        j, dev = estimate(x[i], y[i], nx[i].astype(float), ny[i].astype(float))
-        out[i] = np.where(j + DEVIATIONS * dev >= PERCENT / 100, j, -1.0)
+        j, dev = estimate(x[i], y[i], nx[i].astype(float), ny[i].astype(float), cut)
+        out[i] = np.where(j + DEVIATIONS * dev >= cut.percent / 100, j, -1.0)
     return out
 
 
-def _linked(p: bytes, q: bytes) -> bool:
+def _linked(p: bytes, q: bytes, cut: Cut) -> bool:
     p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
     both = len(np.intersect1d(p, q, assume_unique=True))
-    return 100 * both >= PERCENT * (len(p) + len(q) - both)
+    return 100 * both >= cut.percent * (len(p) + len(q) - both)
 
 
-def _matrix(values) -> np.ndarray:
-    return np.frombuffer(b"".join(values), np.uint16).reshape(-1, REGISTERS)
+def _matrix(values, cut: Cut) -> np.ndarray:
+    return np.frombuffer(b"".join(values), np.uint16).reshape(-1, cut.registers)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, cut: Cut = AT_85) -> DataFrame:
     """doc_id, text_key (hash of the text), n (set size), two set fingerprints, registers and band keys; the last two null for empty sets."""
+    small_batches(docs.sparkSession)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for s in shingle_sets(b["text"]):
                 if len(s):
-                    r = registers(s)
-                    rows.append((len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(_mixed(s * _ODD[15]).sum(dtype=np.uint64).view(np.int64)), r.tobytes(), band_keys(r)))
+                    r = registers(s, cut)
+                    rows.append((len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(_mixed(s * _ODD[15]).sum(dtype=np.uint64).view(np.int64)), r.tobytes(), band_keys(r, cut)))
                 else:
                     rows.append((0, 0, 0, None, None))
             out = pd.DataFrame(rows, columns=["n", "f1", "f2", "regs", "bands"])
@@ -197,19 +218,19 @@ def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Dat
         yield rest
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, cut: Cut) -> DataFrame:
     """Those of the pairs (a, b) whose full sets (id, set) meet the threshold."""
     one, two = (sets.select(F.col("id").alias(f"_{c}"), F.col("set").alias(f"set_{c}")) for c in "ab")
 
     @F.pandas_udf("boolean")
     def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_linked(p, q) for p, q in zip(x, y)], dtype=bool)
+        return pd.Series([_linked(p, q, cut) for p, q in zip(x, y)], dtype=bool)
 
     return (pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
                  .where(linked("set_a", "set_b")).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, cut: Cut = AT_85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; and text_key, group (its component by class id).
 
     Documents with equal sets are one class, so copies cost one row. Classes that share a band form a bucket.
@@ -224,7 +245,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     a doc_id are one document of the graph. A null doc_id links like any other, names no component and is
     not kept; its component is the smallest id linked with it, or null.
     """
-    rows = stored(sketches(docs), "sketches")
+    rows = stored(sketches(docs, cut), "sketches")
     full = rows.where("n > 0")
     classes = stored(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("least"), F.min(F.struct("regs", "bands")).alias("s"))
                          .select("n", "f1", "f2", F.coalesce("least", -1 - F.col("f1").bitwiseAND((1 << 62) - 1)).alias("id"), "s.regs", "s.bands"), "classes")
@@ -240,19 +261,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
         @F.pandas_udf("boolean")
         def possible(x: pd.Series, y: pd.Series, nx: pd.Series, ny: pd.Series) -> pd.Series:
-            return pd.Series(_likely(_matrix(x), _matrix(y), nx.to_numpy(), ny.to_numpy()) >= 0 if len(x) else np.zeros(0, bool))
+            return pd.Series(_likely(_matrix(x, cut), _matrix(y, cut), nx.to_numpy(), ny.to_numpy(), cut) >= 0 if len(x) else np.zeros(0, bool))
 
         return (pairs.join(one, F.col("a") == F.col("_a")).join(two, F.col("b") == F.col("_b"))
                      .where(possible("regs_a", "regs_b", "n_a", "n_b")).select("a", "b"))
 
-    near = f"100 * least(n, head_n) >= {PERCENT} * greatest(n, head_n)"
+    near = f"100 * least(n, head_n) >= {cut.percent} * greatest(n, head_n)"
     stars = stored(filtered(buckets.where("id <> head").where(near).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), "stars")
     wanted = stars.select(F.col("a").alias("_id")).union(stars.select("b")).union(buckets.where("members > 2").select("id")).distinct()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     named = texts.where("doc_id is not null").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi")
     sets = stored(named.unionByName(texts.where("doc_id is null")).withColumn("doc_id", F.col("doc_id").cast("string"))
                        .mapInPandas(_set_rows, "id bigint, set binary").dropDuplicates(["id"]), "sets")
-    links = stored(verified(stars, sets), "links")
+    links = stored(verified(stars, sets, cut), "links")
     parts = components(links)
 
     def still_open() -> DataFrame:
@@ -263,15 +284,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         left = placed.join(keys, F.col("key") == F.col("_k")).join(sketch.select(F.col("id").alias("_s"), "regs"), F.col("id") == F.col("_s"))
         return left.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
-    forest = stored(in_blocks(still_open(), _forest, "a bigint, b bigint").distinct(), "forest")
+    forest = stored(in_blocks(still_open(), partial(_forest, cut=cut), "a bigint, b bigint").distinct(), "forest")
     if not forest.isEmpty():
-        links = stored(links.union(verified(forest, sets)), "links")
+        links = stored(links.union(verified(forest, sets, cut)), "links")
         parts = components(links)
-        flagged = stored(in_blocks(still_open(), _flagged, FLAGGED), "flagged")
+        flagged = stored(in_blocks(still_open(), partial(_flagged, cut=cut), FLAGGED), "flagged")
         if not flagged.isEmpty():
             own = sets.select(F.col("id").alias("_id"), "set")
             with_sets = flagged.join(own, F.col("id") == F.col("_id")).drop("_id")
-            rest = with_sets.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(_verified_blocks, "a bigint, b bigint")
+            rest = together(with_sets).mapInPandas(partial(_verified_blocks, cut=cut), "a bigint, b bigint")
             parts = components(links.union(stored(rest.distinct(), "links")))
 
     c = parts.select(F.col("id").alias("_p"), "component")
@@ -283,12 +304,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
                       F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "text_key", F.col("named").alias("group"))
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, cut: Cut = AT_80) -> DataFrame:
     """The documents that stay: of every group of near-duplicates the one with the smallest id, once.
 
     Documents without words all stay. Of a group without any id one document stays.
     """
-    found = stored(near_duplicates(docs), "groups")
+    found = stored(near_duplicates(docs, cut), "groups")
     stay = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
     out = docs.join(stay, F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null")
@@ -316,32 +337,39 @@ def _set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 FLAGGED = "key bigint, band int, i int, j int, block int, id bigint, n bigint, part bigint, regs binary"
 
 
+def together(df: DataFrame) -> DataFrame:
+    """Rows of a meeting in one partition, in order. The number is given, as small rows mean long work here: left to
+    itself Spark would join many meetings into few tasks by their bytes."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
 def in_blocks(left: DataFrame, work, schema: str) -> DataFrame:
     """Run ``work`` on every two blocks of every bucket: block i meets every block j >= i, and itself."""
     met = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     met = met.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "part", "regs")
-    return met.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(work, schema)
+    return together(met).mapInPandas(work, schema)
 
 
-def _meeting(g: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+def _meeting(g: pd.DataFrame, cut: Cut) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
     """(rows of i, rows of j, x, y, similarity): possible pairs of different parts in two blocks, each pair once."""
     same = g["i"].iloc[0] == g["j"].iloc[0]
     p = g if same else g[g["block"] == g["i"]]
     q = g if same else g[g["block"] == g["j"]]
     nx, ny = p["n"].to_numpy(), q["n"].to_numpy()
     ok = p["part"].to_numpy()[:, None] != q["part"].to_numpy()[None, :]
-    ok &= 100 * np.minimum.outer(nx, ny) >= PERCENT * np.maximum.outer(nx, ny)
+    ok &= 100 * np.minimum.outer(nx, ny) >= cut.percent * np.maximum.outer(nx, ny)
     if same:
         ok &= p["id"].to_numpy()[:, None] < q["id"].to_numpy()[None, :]
     x, y = np.nonzero(ok)
     if not len(x):
         return p, q, x, y, np.zeros(0)
-    mx, my = _matrix(p["regs"]), _matrix(q["regs"])
-    j = np.concatenate([_likely(mx[x[k:k + 8192]], my[y[k:k + 8192]], nx[x[k:k + 8192]], ny[y[k:k + 8192]]) for k in range(0, len(x), 8192)])
+    mx, my = _matrix(p["regs"], cut), _matrix(q["regs"], cut)
+    j = np.concatenate([_likely(mx[x[k:k + 8192]], my[y[k:k + 8192]], nx[x[k:k + 8192]], ny[y[k:k + 8192]], cut) for k in range(0, len(x), 8192)])
     keep = np.flatnonzero(j >= 0)
     x, y, j = x[keep], y[keep], j[keep]
     # a pair that shares several bands is looked at in the first of them only
-    shared = np.concatenate([(mx[x[k:k + 8192]] == my[y[k:k + 8192]]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) for k in range(0, max(1, len(x)), 8192)])
+    shared = np.concatenate([(mx[x[k:k + 8192]] == my[y[k:k + 8192]]).reshape(-1, cut.bands, cut.rows).all(axis=2).argmax(axis=1) for k in range(0, max(1, len(x)), 8192)])
     first = shared == g["band"].iloc[0]
     return p, q, x[first], y[first], j[first]
 
@@ -363,9 +391,9 @@ def _spanning(pairs, linked=lambda *_: True) -> Iterator[tuple[int, int]]:
             yield ids
 
 
-def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _forest(batches: Iterator[pd.DataFrame], cut: Cut) -> Iterator[pd.DataFrame]:
     for g in _groups(batches, ["key", "i", "j"]):
-        p, q, x, y, j = _meeting(g)
+        p, q, x, y, j = _meeting(g, cut)
         if len(x):
             order = np.argsort(-j, kind="stable")
             ids, parts = (p["id"].to_numpy(), q["id"].to_numpy()), (p["part"].to_numpy(), q["part"].to_numpy())
@@ -374,21 +402,21 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": out.min(axis=1), "b": out.max(axis=1)})
 
 
-def _flagged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _flagged(batches: Iterator[pd.DataFrame], cut: Cut) -> Iterator[pd.DataFrame]:
     for g in _groups(batches, ["key", "i", "j"]):
-        p, q, x, y, _ = _meeting(g)
+        p, q, x, y, _ = _meeting(g, cut)
         if len(x):
             same = g["i"].iloc[0] == g["j"].iloc[0]
             at = p.iloc[np.union1d(x, y)] if same else pd.concat([p.iloc[np.unique(x)], q.iloc[np.unique(y)]])
             yield at[[c.split()[0] for c in FLAGGED.split(", ")]]
 
 
-def _verified_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _verified_blocks(batches: Iterator[pd.DataFrame], cut: Cut) -> Iterator[pd.DataFrame]:
     for g in _groups(batches, ["key", "i", "j"]):
-        p, q, x, y, j = _meeting(g)
+        p, q, x, y, j = _meeting(g, cut)
         sets, ids, parts = (list(p["set"]), list(q["set"])), (p["id"].to_numpy(), q["id"].to_numpy()), (p["part"].to_numpy(), q["part"].to_numpy())
         order = np.argsort(-j, kind="stable")
         pairs = (((parts[0][a], parts[1][b]), (a, b), (ids[0][a], ids[1][b])) for a, b in zip(x[order], y[order]))
-        out = np.array(list(_spanning(pairs, lambda a, b: _linked(sets[0][a], sets[1][b]))))
+        out = np.array(list(_spanning(pairs, lambda a, b: _linked(sets[0][a], sets[1][b], cut))))
         if len(out):
             yield pd.DataFrame({"a": out.min(axis=1), "b": out.max(axis=1)})

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import random_key, spread_rank, stored
+from tidepanel.llm.common import random_key, small_batches, spread_rank, stored
 from tidepanel.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -27,6 +27,7 @@ def tokenise(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None =
     or empty text is the end id alone; repeated rows are documents of their own (``_row`` tells them apart).  With
     ``with_ids`` the ids come along as little-endian 32-bit integers.
     """
+    small_batches(docs.sparkSession)
     schema = PIECES + (", ids binary" if with_ids else "")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import stored
+from tidepanel.llm.common import small_batches, stored
 
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -27,9 +27,10 @@ LIMITS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "option": "select"}
 NOISE_TAGS = frozenset("nav aside footer form script style noscript template iframe object embed svg canvas button select option input textarea menu dialog head title "
                        "link meta applet map audio video xmp noembed noframes datalist".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist note".split())
-NOISE_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar nav navbar navigation menu breadcrumb "
+NOISE_WORDS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar nav navbar navigation menu breadcrumb "
                         "breadcrumbs header masthead footer cookie cookies consent notice notices alert popup modal newsletter subscribe signup login comment comments disqus "
-                        "respond reply replies share sharing social related recommended pagination pager toolbar widget gdpr skip".split())
+                        "discussion feedback respond reply replies share sharing social related recommended pagination pager toolbar topbar sidenav rail widget gdpr skip "
+                        "copyright colophon".split())
 CONTENT_WORDS = frozenset("article post entry content main story body text".split())
 ROOMS = ("article", "main")
 
@@ -56,7 +57,7 @@ def _element(tag: str, attributes: str, inside: bool) -> Node:
     words = {w.lower() for w in _WORDS.findall(names)}
     bad = words & NOISE_WORDS
     if words & CONTENT_WORDS:
-        bad -= {"header", "widget", "related", "share"} if tag not in ("ul", "ol") else set()
+        bad -= {"header"}                        # the heading of an article
     if tag in ("body", "html", *ROOMS):
         bad = set()
     hidden = "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", ""))
@@ -428,6 +429,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     references are decoded, white space within a block becomes one space, blocks are joined by a line feed. Other
     columns are ignored.
     """
+    small_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
 
     @F.pandas_udf("string")
@@ -441,5 +443,5 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             out.append(extract(page, *(known[w] if w is not None else (None, None))))
         return pd.Series(out, dtype=object)
 
-    out = by_host(rows, wrappers(pages), "wrapper").withColumn("text", run("html", "wrapper"))
+    out = by_host(rows, wrappers(pages), "wrapper").withColumn("text", run.asNondeterministic()("html", "wrapper"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

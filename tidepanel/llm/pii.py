@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepanel.llm.common import stored
+from tidepanel.llm.common import small_batches, stored
 
 # Titles and given names by gender, in Latin and Cyrillic script.
 TITLES = {"m": "Mr Herr Monsieur Señor господин", "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora госпожа"}
@@ -233,6 +233,7 @@ def replace_entities(docs: DataFrame, key: bytes = b"tidepanel", text: str = "te
     entity, however formatted, are replaced alike in all documents, different entities differently. Null texts stay
     null, texts without entities are unchanged; an existing column ``entities`` is replaced.
     """
+    small_batches(docs.sparkSession)
     odd = exceptions(docs, key, text)
     result = f"text string, entities {ENTITY}"
     if odd.count() <= BROADCAST_ROWS:
@@ -242,7 +243,7 @@ def replace_entities(docs: DataFrame, key: bytes = b"tidepanel", text: str = "te
         def run(texts: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([replace(t, key, shared.value) for t in texts], columns=["text", "entities"])
 
-        out = docs.withColumn("_new", run(F.col(text)))
+        out = docs.withColumn("_new", run.asNondeterministic()(F.col(text)))
     else:
         def mentions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -257,5 +258,5 @@ def replace_entities(docs: DataFrame, key: bytes = b"tidepanel", text: str = "te
         def run_joined(texts: pd.Series, odd: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([replace(t, key, {(x["type"], x["normal"]): x["attempt"] for x in (o if o is not None else ())}) for t, o in zip(texts, odd)], columns=["text", "entities"])
 
-        out = keyed.join(own, F.col("_text") == F.col("_h"), "left").withColumn("_new", run_joined(F.col(text), F.col("_odd"))).drop("_text", "_h", "_odd")
+        out = keyed.join(own, F.col("_text") == F.col("_h"), "left").withColumn("_new", run_joined.asNondeterministic()(F.col(text), F.col("_odd"))).drop("_text", "_h", "_odd")
     return out.withColumns({text: F.col("_new.text"), "entities": F.col("_new.entities")}).drop("_new")

@@ -104,7 +104,7 @@ class Encoder:
         for i in plain:                                  # bounded memory, whatever the batch holds
             group.append(i)
             size += len(texts[i])
-            if size > 1_000_000:
+            if size > 400_000:
                 self._together(texts, group, out)
                 group, size = [], 0
         if group:
