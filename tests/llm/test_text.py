@@ -39,6 +39,18 @@ def test_copies_of_one_article_stay(spark):
     assert got == {(i, "T\nSame text") for i in range(4)}
 
 
+def test_copies_are_not_template_without_an_article_element(spark):
+    copy = "<body><div class=hint>Write to us at any time</div><div class=story><h2>Copied head</h2><p>The text of the copied page is here, and longer.<ul><li>point</ul></div><p class=when>day {i}</body>"
+    other = "<body><div class=hint>Write to us at any time</div><div class=story><p>Another text of its own, number {i}, with some words.</div><p class=when>day {i}</body>"
+    want = "Copied head\nThe text of the copied page is here, and longer.\npoint"
+    for k, same in enumerate((copy, copy.replace("{i}", "1"))):
+        rows = [(i, f"http://k{k}.example/", same.format(i=i)) for i in range(6)]
+        assert all(want in t for _, t in texts(pages.extract_pages(page_rows(spark, rows))))
+        rows += [(i, f"http://k{k}.example/", other.format(i=i)) for i in range(6, 9)]
+        got = dict(texts(pages.extract_pages(page_rows(spark, rows))))
+        assert all(got[i].startswith(want) for i in range(6)) and got[7].startswith("Another text of its own, number 7")
+
+
 def test_page_edge_cases(spark):
     rows = [(1, None, None), (2, "", ""), (None, "x", "<p>alone"), (4, "http://c.example", "<article>cut &am"), (4, "http://c.example", "<article>cut &am"),
             (5, "http://d.example", "<article>" + "<p>word</p>" * 20_000 + "</article>"), (6, "http://d.example", "<div>" * 5_000 + "deep"), (7, "u", "a < b <\"")]

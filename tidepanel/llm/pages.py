@@ -279,16 +279,24 @@ def page_mass(top: Slot) -> dict[int, float]:
     return out
 
 
+#: Pages of a host are copies of each other, as far as can be told, if less than this share of their text varies.
+LEAST_VARYING = 0.2
+
+
 def induce(seed: str, stats: list) -> str:
     """Wrapper of a host: the seed's outline, the slot that holds the main text, and the template slots within it.
 
-    A slot is template if at least three pages have it with one and the same text; in an article or main element
-    nothing is taken for template, since copies of one article are content.
+    A slot is template if pages of at least three different texts have it with one and the same text (``kinds``: how many
+    texts); in an article or main element nothing is taken for template. Where hardly any text varies, the pages
+    are copies of one article, and all of it is content.
     """
     top = from_outline(seed)
     order = [s for _, s in preorder(top)]
     by = {r["slot"]: r for r in stats}
-    fixed = {k for k, r in by.items() if r["n"] >= 3 and r["low"] == r["high"]}
+    varying = sum(r["mass"] for r in stats if r["low"] != r["high"])
+    fixed = {k for k, r in by.items() if r["kinds"] >= 3 and r["low"] == r["high"]}
+    if varying < LEAST_VARYING * sum(r["mass"] for r in stats):
+        fixed = set()
     mass = {id(order[k]): float(r["mass"]) for k, r in by.items() if k not in fixed}
     if not any(mass.values()):
         mass, fixed = {id(order[k]): float(r["mass"]) for k, r in by.items()}, set()
@@ -353,17 +361,30 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(" ".join(text.split()).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _lead(text: str) -> tuple[int, int]:
+    """Length and hash of the longest sentence: near copies share it, though a date or a line differs."""
+    best = max((" ".join(x.split()) for x in re.split(r"[.!?]", text)), key=lambda x: (len(x), x))
+    return len(best), _hash(best)
+
+
 def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"host": b["host"], "page_id": b["page_id"], "outline": [outline(fold(parse(h))) for h in b["html"]]})
+        tops = [fold(parse(h)) for h in b["html"]]
+        leads = [max((_lead("".join(s.text)) for _, s in preorder(t) if s.text), default=(0, 0))[1] for t in tops]
+        yield pd.DataFrame({"host": b["host"], "content": b["html"].map(_hash), "lead": leads, "outline": [outline(t) for t in tops]})
+
+
+SLOTS = "array<struct<slot:int,hash:bigint,mass:double,size:int,lead:bigint>>"
 
 
 def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Statistics of the seed's slots over the pages of a batch."""
+    """The seed's slots as each page of a batch has them; pages of one content once a batch."""
     seeds: dict[str, tuple[Slot, dict]] = {}
     for b in batches:
-        sums: dict[tuple[str, int], list] = {}
+        seen: dict[tuple[str, int], list] = {}
         for host, seed, page in zip(b["host"], b["seed"], b["html"]):
+            if (host, content := _hash(page)) in seen:
+                continue
             if seed not in seeds:
                 seeds.clear() if len(seeds) > 1000 else None
                 top = from_outline(seed)
@@ -372,15 +393,13 @@ def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             top = fold(parse(page))
             mass = page_mass(top)
             mapping = align(top, target)
+            slots = seen[host, content] = []
             for _, s in preorder(top):
                 text = "".join(s.text)
                 if id(s) in mapping and text.strip():
-                    h = _hash(text)
-                    r = sums.setdefault((host, number[id(mapping[id(s)])]), [0, h, h, 0.0])
-                    r[0] += 1
-                    r[1], r[2] = min(r[1], h), max(r[2], h)
-                    r[3] += mass[id(s)]
-        yield pd.DataFrame([(*k, *v) for k, v in sums.items()], columns=["host", "slot", "n", "low", "high", "mass"])
+                    size, lead = _lead(text)
+                    slots.append({"slot": number[id(mapping[id(s)])], "hash": _hash(text), "mass": mass[id(s)], "size": size, "lead": lead})
+        yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["host", "content", "slots"])
 
 
 #: Largest total of seeds or wrappers that is broadcast; beyond, they are joined by host and salt.
@@ -388,7 +407,7 @@ BROADCAST_BYTES = 32 << 20
 SALTS = 64
 
 
-def by_host(pages: DataFrame, one: DataFrame, column: str) -> DataFrame:
+def by_host(pages: DataFrame, one: DataFrame, column: str, salt: tuple = ("page_id", "url")) -> DataFrame:
     """Pages with their host's ``column``: by broadcast where all of it is small, else by a salted join.
 
     In the salted join every host's row is repeated SALTS times, so a host with a third of all pages is spread.
@@ -398,21 +417,28 @@ def by_host(pages: DataFrame, one: DataFrame, column: str) -> DataFrame:
     if size <= BROADCAST_BYTES:
         return pages.join(F.broadcast(right), F.col("host") == F.col("_host"), "left").drop("_host")
     salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    own = pages.withColumn("_mine", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    own = pages.withColumn("_mine", F.pmod(F.xxhash64(*salt), F.lit(SALTS)).cast("int"))
     return own.join(salted, (F.col("host") == F.col("_host")) & (F.col("_mine") == F.col("_salt")), "left").drop("_host", "_salt", "_mine")
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host and wrapper. The seed of a host is its most frequent outline; slot statistics over all pages of the host
-    are sums, minima and maxima, added up in each task before the shuffle."""
+    """host and wrapper. The seed of a host is the outline that the most different texts have; slot statistics are over
+    the different contents of the host's pages: copies count once, and near copies (pages that share the longest
+    sentence of the slots that vary in the host) are one kind."""
     whole = pages.where("html is not null").select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("bigint").alias("page_id"), "url", "html")
-    found = whole.withColumn("page_id", F.coalesce("page_id", F.lit(0))).mapInPandas(_outlines, "host string, page_id bigint, outline string")
-    counted = found.groupBy("host", "outline").agg(F.count(F.lit(1)).alias("n"))
-    seeds = stored(counted.groupBy("host").agg(F.max(F.struct("n", "outline"))["outline"].alias("seed")), "seeds")
-    slots = by_host(whole, seeds, "seed").select("host", "seed", "html").mapInPandas(_slots, "host string, slot int, n bigint, low bigint, high bigint, mass double")
-    total = slots.groupBy("host", "slot").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("mass").alias("mass"))
+    found = whole.select("host", "html").mapInPandas(_outlines, "host string, content bigint, lead bigint, outline string")
+    counted = found.groupBy("host", "outline").agg(F.approx_count_distinct("lead").alias("leads"), F.approx_count_distinct("content").alias("n"))
+    seeds = stored(counted.groupBy("host").agg(F.max(F.struct("leads", "n", "outline"))["outline"].alias("seed")), "seeds")
+    slots = by_host(whole, seeds, "seed").select("host", "seed", "html").mapInPandas(_slots, f"host string, content bigint, slots {SLOTS}")
+    slots = stored(slots.dropDuplicates(["host", "content"]), "slots")
+    total = stored(slots.select("host", F.inline("slots")).groupBy("host", "slot").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.sum("mass").alias("mass")), "totals")
+    varying = total.where("low <> high").groupBy("host").agg(F.concat_ws(",", F.sort_array(F.collect_list("slot"))).alias("varying"))
+    kind = F.expr("array_max(transform(filter(slots, x -> x.mass > 0 and array_contains(split(varying, ','), cast(x.slot as string))), x -> struct(x.size, x.lead))).lead")
+    kinds = (by_host(slots, varying, "varying", ("content",)).withColumn("kind", kind).select("host", "kind", F.inline("slots"))
+             .groupBy(F.col("host").alias("_h"), F.col("slot").alias("_s")).agg(F.countDistinct("kind").alias("kinds")))
     # a host has at most as many rows as its seed has slots
-    lists = total.groupBy(F.col("host").alias("_h")).agg(F.collect_list(F.struct("slot", "n", "low", "high", "mass")).alias("stats"))
+    lists = (total.join(kinds, (F.col("host") == F.col("_h")) & (F.col("slot") == F.col("_s")))
+             .groupBy("_h").agg(F.collect_list(F.struct("slot", "kinds", "low", "high", "mass")).alias("stats")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
