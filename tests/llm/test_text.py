@@ -51,6 +51,18 @@ def test_copies_are_not_template_without_an_article_element(spark):
         assert all(got[i].startswith(want) for i in range(6)) and got[7].startswith("Another text of its own, number 7")
 
 
+def test_noise_words_are_a_prior(spark):
+    shells = ["<div class='site-content no-sidebar'>{}</div>", "<div class='layout has-nav'>{}</div>", "<section class='discussion'>{}</section>", "<div class='page-widget'>{}</div>"]
+    rest = "<div class=sidebar>Other {i} <article>Teaser {i}</article></div><div id=comments><p>nice {i}</div>"
+    for k, shell in enumerate(shells):
+        for inner in ("<article><h1>Head {i}</h1><p>First paragraph {i} of it, which is the text.</article>", "<h1>Head {i}</h1><p>First paragraph {i} of it, which is the text."):
+            page = "<body>" + shell.format(inner) + rest
+            assert pages.extract(page.format(i=1), None) == "Head 1\nFirst paragraph 1 of it, which is the text."
+    rows = [(10 * k + i, f"http://n{k}.example/", ("<body>" + shell.format("<h1>Head {i}</h1><p>First paragraph {i} of it, which is the text.") + rest).format(i=i)) for k, shell in enumerate(shells) for i in range(4)]
+    got = dict(texts(pages.extract_pages(page_rows(spark, rows))))
+    assert all(got[10 * k + i] == f"Head {i}\nFirst paragraph {i} of it, which is the text." for k in range(4) for i in range(4))
+
+
 def test_page_edge_cases(spark):
     rows = [(1, None, None), (2, "", ""), (None, "x", "<p>alone"), (4, "http://c.example", "<article>cut &am"), (4, "http://c.example", "<article>cut &am"),
             (5, "http://d.example", "<article>" + "<p>word</p>" * 20_000 + "</article>"), (6, "http://d.example", "<div>" * 5_000 + "deep"), (7, "u", "a < b <\"")]

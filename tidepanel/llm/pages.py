@@ -33,6 +33,8 @@ NOISE_WORDS = frozenset("ad ads adsbygoogle adv advert adverts advertisement adv
                         "copyright colophon".split())
 CONTENT_WORDS = frozenset("article post entry content main story body text".split())
 ROOMS = ("article", "main")
+#: A class of this form tells of a state, not of the element: no-sidebar, has-nav, withMenu.
+_STATE = re.compile(r"(?:no|not|non|has|have|with|without|is|show|hide|hides|enable|enabled|disable|disabled)(?:[-_]|(?=[A-Z]))")
 
 MAX_DEPTH = 200
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z))""", re.S)
@@ -41,29 +43,32 @@ _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "label", "noise", "children")
+    __slots__ = ("tag", "label", "noise", "doubtful", "children")
 
-    def __init__(self, tag: str, label: str = "", noise: bool = False):
-        self.tag, self.label, self.noise, self.children = tag, label or tag, noise, []
+    def __init__(self, tag: str, label: str = "", noise: bool = False, doubtful: bool = False):
+        self.tag, self.label, self.noise, self.doubtful, self.children = tag, label or tag, noise, doubtful, []
 
 
 def _element(tag: str, attributes: str, inside: bool) -> Node:
-    """A node with its label (tag, id and classes) and whether its role is not content; ``inside``: of an article."""
+    """A node with its label (tag, id and classes) and whether its role is not content; ``inside``: of an article.
+
+    It is doubtful if only its id or classes say so: their words are a prior, which ``choose_room`` may overrule.
+    """
     noise = tag in NOISE_TAGS or (tag == "header" and not inside)
     if "=" not in attributes and "hidden" not in attributes:
         return Node(tag, tag, noise)
     at = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = " ".join(html.unescape(at.get(k, "")) for k in ("id", "class"))
-    words = {w.lower() for w in _WORDS.findall(names)}
+    words = {w.lower() for t in names.split() if not _STATE.match(t) for w in _WORDS.findall(t)}
     bad = words & NOISE_WORDS
     if words & CONTENT_WORDS:
         bad -= {"header"}                        # the heading of an article
     if tag in ("body", "html", *ROOMS):
         bad = set()
     hidden = "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", ""))
-    noise = noise or bool(bad) or bool(hidden) or at.get("role", "").lower() in NOISE_ROLES
+    noise = noise or bool(hidden) or at.get("role", "").lower() in NOISE_ROLES
     label = tag + "".join(f".{w}" for w in sorted(set(re.sub(r"\d+", "", names).split())))
-    return Node(tag, "main" if at.get("role") == "main" and tag not in ROOMS else label, noise)
+    return Node(tag, "main" if at.get("role") == "main" and tag not in ROOMS else label, noise, bool(bad) and not noise)
 
 
 def parse(page: str) -> Node:
@@ -127,10 +132,10 @@ def _end(stack: list[Node], tags: str, limits: str) -> None:
 class Slot:
     """A run of neighbouring elements with one label; inline elements belong to the text around them."""
 
-    __slots__ = ("label", "tag", "noise", "members", "children", "text", "links")
+    __slots__ = ("label", "tag", "noise", "doubtful", "members", "children", "text", "links")
 
-    def __init__(self, label: str, tag: str, noise: bool):
-        self.label, self.tag, self.noise = label, tag, noise
+    def __init__(self, label: str, tag: str, noise: bool, doubtful: bool = False):
+        self.label, self.tag, self.noise, self.doubtful = label, tag, noise, doubtful
         self.members, self.children, self.text, self.links = [], [], [], 0
 
 
@@ -138,7 +143,7 @@ def _own_text(node: Node, linked: bool = False) -> Iterator[tuple[str, bool]]:
     for c in node.children:
         if isinstance(c, str):
             yield c, linked
-        elif c.tag in INLINE and not c.noise:
+        elif c.tag in INLINE and not (c.noise or c.doubtful):
             yield from _own_text(c, linked or c.tag == "a")
 
 
@@ -146,7 +151,7 @@ def _blocks_in(node: Node) -> Iterator[Node]:
     """Block elements below a node, those inside inline elements included."""
     for c in node.children:
         if not isinstance(c, str):
-            if c.tag in INLINE and not c.noise:
+            if c.tag in INLINE and not (c.noise or c.doubtful):
                 yield from _blocks_in(c)
             else:
                 yield c
@@ -166,10 +171,10 @@ def fold(root: Node) -> Slot:
                 slot.text.append(s)
                 slot.links += len(s.strip()) if linked else 0
             for c in _blocks_in(m):
-                if runs and runs[-1][0].label == c.label and runs[-1][0].noise == c.noise:
+                if runs and (runs[-1][0].label, runs[-1][0].noise, runs[-1][0].doubtful) == (c.label, c.noise, c.doubtful):
                     runs[-1][1].append(c)
                 else:
-                    runs.append((Slot(c.label, c.tag, c.noise), [c]))
+                    runs.append((Slot(c.label, c.tag, c.noise, c.doubtful), [c]))
         slot.children = [s for s, _ in runs]
         todo += runs
     return top
@@ -186,13 +191,13 @@ def preorder(top: Slot) -> list[tuple[int, Slot]]:
 
 def outline(top: Slot) -> str:
     """The skeleton as text: depth and label of every slot."""
-    return json.dumps([[d, s.label, s.tag, int(s.noise)] for d, s in preorder(top)], separators=(",", ":"))
+    return json.dumps([[d, s.label, s.tag, s.noise + 2 * s.doubtful] for d, s in preorder(top)], separators=(",", ":"))
 
 
 def from_outline(text: str) -> Slot:
     path: list[Slot] = []
     for d, label, tag, noise in json.loads(text):
-        s = Slot(label, tag, bool(noise))
+        s = Slot(label, tag, noise == 1, noise == 2)
         if d:
             path[d - 1].children.append(s)
         path[d:] = [s]
@@ -242,34 +247,58 @@ def align(a: Slot, b: Slot) -> dict[int, Slot]:
 
 # --- wrappers --------------------------------------------------------------------------------------
 
-def choose_room(top: Slot, mass: dict[int, float]) -> Slot:
-    """The slot that holds the main text: the article or main element with the most text, else the deepest slot that
-    still holds three fifths of the varying text. Noise is never entered."""
+def choose_room(top: Slot, mass: dict[int, float]) -> tuple[Slot, set[int]]:
+    """The slot that holds the main text, and the ids of doubtful slots that are entered after all.
+
+    The room is the article or main element with the most text, else the deepest slot that still holds three fifths of the varying
+    text. Noise is never entered; a doubtful slot is if three fifths of the text are in it, or if it holds an article or
+    main element with as much text as all outside, and such elements outside have less than a fifth of that.
+    """
+    whole: dict[int, float] = {}
     total: dict[int, float] = {}
-    rooms: list[Slot] = []
-    order = [s for _, s in preorder(top)]
+    above: dict[int, Slot] = {}
+    order = [s for _, s in preorder(top) if not s.noise]
     for s in reversed(order):
-        total[id(s)] = mass.get(id(s), 0.0) + sum(total[id(c)] for c in s.children if not c.noise)
-    reach, todo = [], [top]
-    while todo:
-        s = todo.pop()
-        if not s.noise:
-            reach.append(s)
-            todo += reversed(s.children)
+        whole[id(s)] = mass.get(id(s), 0.0) + sum(whole[id(c)] for c in s.children if not c.noise)
+        above.update((id(c), s) for c in s.children)
+    kept = {id(s) for s in order if s.doubtful and whole[id(s)] > 0 and whole[id(s)] >= 0.6 * whole[id(top)]}
+
+    def closed(s: Slot) -> list[Slot]:
+        out = []
+        while s is not top:
+            out += [s] if s.doubtful and id(s) not in kept else []
+            s = above[id(s)]
+        return out
+
+    for s in reversed(order):
+        total[id(s)] = mass.get(id(s), 0.0) + sum(total[id(c)] for c in s.children if not c.noise and (not c.doubtful or id(c) in kept))
     for tag in ROOMS:
-        rooms = [s for s in reach if s.tag == tag or s.label == tag]
-        if rooms:
-            best = max(rooms, key=lambda s: total[id(s)])
-            if total[id(best)] > 0:
-                return best
+        rooms = [s for s in order if (s.tag == tag or s.label == tag) and whole[id(s)] > 0]
+        inner = [s for s in rooms if not closed(s)]
+        best = max(rooms, key=lambda s: whole[id(s)], default=None)
+        if inner and whole[id(most := max(inner, key=lambda s: whole[id(s)]))] >= 0.2 * whole[id(best)]:
+            return most, kept
+        if best and (not closed(best) or whole[id(best)] >= total[id(top)]):
+            return best, kept | {id(s) for s in closed(best)}
     s = top
     while True:
-        deeper = max((c for c in s.children if not c.noise), key=lambda c: total[id(c)], default=None)
+        deeper = max((c for c in s.children if not c.noise and (not c.doubtful or id(c) in kept)), key=lambda c: total[id(c)], default=None)
         if deeper is None or total[id(deeper)] <= 0.6 * total[id(s)] or mass.get(id(deeper), 0.0) > 0.4 * total[id(deeper)]:
-            return s
+            return s, kept
         s = deeper
 
 
+def open_slots(top: Slot, kept: set[int]) -> list[Slot]:
+    """Slots outside noise and outside doubtful slots that are not entered."""
+    out, todo = [], [top]
+    while todo:
+        s = todo.pop()
+        if not s.noise and (not s.doubtful or id(s) in kept):
+            out.append(s)
+            todo += s.children
+    return out
+
+
 def page_mass(top: Slot) -> dict[int, float]:
     """Text of every slot that is not mostly links."""
     out = {}
@@ -293,20 +322,23 @@ def induce(seed: str, stats: list) -> str:
     top = from_outline(seed)
     order = [s for _, s in preorder(top)]
     by = {r["slot"]: r for r in stats}
-    varying = sum(r["mass"] for r in stats if r["low"] != r["high"])
+    shown = {id(s) for s in open_slots(top, choose_room(top, {id(order[k]): float(r["mass"]) for k, r in by.items()})[1])}
+    told = [r for k, r in by.items() if id(order[k]) in shown]
+    varying = sum(r["mass"] for r in told if r["low"] != r["high"])
     fixed = {k for k, r in by.items() if r["kinds"] >= 3 and r["low"] == r["high"]}
-    if varying < LEAST_VARYING * sum(r["mass"] for r in stats):
+    if varying < LEAST_VARYING * sum(r["mass"] for r in told):
         fixed = set()
     mass = {id(order[k]): float(r["mass"]) for k, r in by.items() if k not in fixed}
     if not any(mass.values()):
         mass, fixed = {id(order[k]): float(r["mass"]) for k, r in by.items()}, set()
-    room = choose_room(top, mass)
+    room, kept = choose_room(top, mass)
     if room.tag in ROOMS or room.label in ROOMS:
         fixed = set()
-    return json.dumps({"seed": json.loads(seed), "room": order.index(room), "fixed": sorted(fixed)}, separators=(",", ":"))
+    kept = [k for k, s in enumerate(order) if id(s) in kept]
+    return json.dumps({"seed": json.loads(seed), "room": order.index(room), "kept": kept, "fixed": sorted(fixed)}, separators=(",", ":"))
 
 
-def _flow(node: Node, skip: set[int], out: list, line: list) -> None:
+def _flow(node: Node, skip: set[int], kept: set[int], out: list, line: list) -> None:
     """Blocks of a subtree in page order, into ``out``; ``line`` collects the block that is being read."""
     todo: list = [node]
     while todo:
@@ -316,7 +348,7 @@ def _flow(node: Node, skip: set[int], out: list, line: list) -> None:
             line.clear()
         elif isinstance(x, str):
             line.append(x)
-        elif x.noise or id(x) in skip:
+        elif x.noise or id(x) in skip or (x.doubtful and id(x) not in kept):
             continue
         elif x.tag == "br":
             line.append(" ")
@@ -331,11 +363,11 @@ def extract(page: str | None, wrapper: dict | None, seed: Slot | None = None) ->
     if not page:
         return ""
     top = fold(parse(page))
-    room, skip = None, set()
+    room, skip, kept = None, set(), set()
     if wrapper:
         seed = seed or from_outline(json.dumps(wrapper["seed"]))
         number = {id(s): k for k, (_, s) in enumerate(preorder(seed))}
-        fixed = set(wrapper["fixed"])
+        fixed, entered = set(wrapper["fixed"]), set(wrapper["kept"])
         mapping = align(top, seed)
         for _, s in preorder(top):
             k = number.get(id(mapping[id(s)])) if id(s) in mapping else None
@@ -343,12 +375,16 @@ def extract(page: str | None, wrapper: dict | None, seed: Slot | None = None) ->
                 room = s
             if k in fixed:
                 skip |= {id(m) for m in s.members}
+            if k in entered:
+                kept |= {id(m) for m in s.members}
     if room is None:
-        room, skip = choose_room(top, page_mass(top)), set()
+        skip = set()
+        room, slots = choose_room(top, page_mass(top))
+        kept = {id(m) for _, s in preorder(top) if id(s) in slots for m in s.members}
     out: list[str] = []
     line: list[str] = []
     for m in room.members:
-        _flow(m, skip, out, line)
+        _flow(m, skip, kept, out, line)
     out.append("".join(line))
     return "\n".join(t for t in (" ".join(b.split()) for b in out) if t)
 
@@ -370,7 +406,7 @@ def _lead(text: str) -> tuple[int, int]:
 def _outlines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         tops = [fold(parse(h)) for h in b["html"]]
-        leads = [max((_lead("".join(s.text)) for _, s in preorder(t) if s.text), default=(0, 0))[1] for t in tops]
+        leads = [max((_lead("".join(s.text)) for s in open_slots(t, choose_room(t, page_mass(t))[1]) if s.text), default=(0, 0))[1] for t in tops]
         yield pd.DataFrame({"host": b["host"], "content": b["html"].map(_hash), "lead": leads, "outline": [outline(t) for t in tops]})
 
 
@@ -393,11 +429,12 @@ def _slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             top = fold(parse(page))
             mass = page_mass(top)
             mapping = align(top, target)
+            shown = {id(s) for s in open_slots(top, choose_room(top, mass)[1])}
             slots = seen[host, content] = []
             for _, s in preorder(top):
                 text = "".join(s.text)
                 if id(s) in mapping and text.strip():
-                    size, lead = _lead(text)
+                    size, lead = _lead(text) if id(s) in shown else (0, 0)
                     slots.append({"slot": number[id(mapping[id(s)])], "hash": _hash(text), "mass": mass[id(s)], "size": size, "lead": lead})
         yield pd.DataFrame([(*k, v) for k, v in seen.items()], columns=["host", "content", "slots"])
 
@@ -433,7 +470,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     slots = stored(slots.dropDuplicates(["host", "content"]), "slots")
     total = stored(slots.select("host", F.inline("slots")).groupBy("host", "slot").agg(F.min("hash").alias("low"), F.max("hash").alias("high"), F.sum("mass").alias("mass")), "totals")
     varying = total.where("low <> high").groupBy("host").agg(F.concat_ws(",", F.sort_array(F.collect_list("slot"))).alias("varying"))
-    kind = F.expr("array_max(transform(filter(slots, x -> x.mass > 0 and array_contains(split(varying, ','), cast(x.slot as string))), x -> struct(x.size, x.lead))).lead")
+    kind = F.expr("array_max(transform(filter(slots, x -> x.mass > 0 and x.size > 0 and array_contains(split(varying, ','), cast(x.slot as string))), x -> struct(x.size, x.lead))).lead")
     kinds = (by_host(slots, varying, "varying", ("content",)).withColumn("kind", kind).select("host", "kind", F.inline("slots"))
              .groupBy(F.col("host").alias("_h"), F.col("slot").alias("_s")).agg(F.countDistinct("kind").alias("kinds")))
     # a host has at most as many rows as its seed has slots
