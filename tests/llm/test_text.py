@@ -63,6 +63,12 @@ def test_noise_words_are_a_prior(spark):
     assert all(got[10 * k + i] == f"Head {i}\nFirst paragraph {i} of it, which is the text." for k in range(4) for i in range(4))
 
 
+def test_constant_block_in_the_article_is_template(spark):
+    page = "<body><article><h1>Head {i}</h1><div class=hint>Write to us at any time</div><p>First paragraph {i} of it, which is the text.</article>"
+    rows = [(i, "http://t.example/", page.format(i=min(i, 4))) for i in range(8)]
+    assert texts(pages.extract_pages(page_rows(spark, rows))) == {(i, f"Head {min(i, 4)}\nFirst paragraph {min(i, 4)} of it, which is the text.") for i in range(8)}
+
+
 def test_page_edge_cases(spark):
     rows = [(1, None, None), (2, "", ""), (None, "x", "<p>alone"), (4, "http://c.example", "<article>cut &am"), (4, "http://c.example", "<article>cut &am"),
             (5, "http://d.example", "<article>" + "<p>word</p>" * 20_000 + "</article>"), (6, "http://d.example", "<div>" * 5_000 + "deep"), (7, "u", "a < b <\"")]

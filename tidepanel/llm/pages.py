@@ -316,8 +316,8 @@ def induce(seed: str, stats: list) -> str:
     """Wrapper of a host: the seed's outline, the slot that holds the main text, and the template slots within it.
 
     A slot is template if pages of at least three different texts have it with one and the same text (``kinds``: how many
-    texts); in an article or main element nothing is taken for template. Where hardly any text varies, the pages
-    are copies of one article, and all of it is content.
+    texts), in an article or main element too. Where hardly any text varies, the pages are copies of one article, and
+    all of it is content.
     """
     top = from_outline(seed)
     order = [s for _, s in preorder(top)]
@@ -332,8 +332,6 @@ def induce(seed: str, stats: list) -> str:
     if not any(mass.values()):
         mass, fixed = {id(order[k]): float(r["mass"]) for k, r in by.items()}, set()
     room, kept = choose_room(top, mass)
-    if room.tag in ROOMS or room.label in ROOMS:
-        fixed = set()
     kept = [k for k, s in enumerate(order) if id(s) in kept]
     return json.dumps({"seed": json.loads(seed), "room": order.index(room), "kept": kept, "fixed": sorted(fixed)}, separators=(",", ":"))
 
