@@ -69,6 +69,14 @@ def test_constant_block_in_the_article_is_template(spark):
     assert texts(pages.extract_pages(page_rows(spark, rows))) == {(i, f"Head {min(i, 4)}\nFirst paragraph {min(i, 4)} of it, which is the text.") for i in range(8)}
 
 
+def test_deep_pages_are_read_in_full():
+    for n, m in ((250, 250), (3_000, 100)):
+        page = "<div><article><p>Start</p>" + "<div>" * n + "<nav>Menu</nav><p>one<p>two" + "</div>" * n + "<b>" * m + "bold" + "</b>" * m + "<p>End</article></div><footer>f</footer>"
+        assert pages.extract(page, None) == "Start\none\ntwo\nbold\nEnd"
+        wrapper = json.loads(pages.induce(pages.outline(pages.fold(pages.parse(page))), []))
+        assert pages.extract(page, wrapper) == "Start\none\ntwo\nbold\nEnd"
+
+
 def test_page_edge_cases(spark):
     rows = [(1, None, None), (2, "", ""), (None, "x", "<p>alone"), (4, "http://c.example", "<article>cut &am"), (4, "http://c.example", "<article>cut &am"),
             (5, "http://d.example", "<article>" + "<p>word</p>" * 20_000 + "</article>"), (6, "http://d.example", "<div>" * 5_000 + "deep"), (7, "u", "a < b <\"")]

@@ -6,6 +6,7 @@ import hashlib
 import html
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -36,7 +37,6 @@ ROOMS = ("article", "main")
 #: A class of this form tells of a state, not of the element: no-sidebar, has-nav, withMenu.
 _STATE = re.compile(r"(?:no|not|non|has|have|with|without|is|show|hide|hides|enable|enabled|disable|disabled)(?:[-_]|(?=[A-Z]))")
 
-MAX_DEPTH = 200
 _TOKEN = re.compile(r"""<(?:!--.*?(?:-->|\Z)|!\[CDATA\[.*?(?:\]\]>|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>|(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z))""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
@@ -71,10 +71,37 @@ def _element(tag: str, attributes: str, inside: bool) -> Node:
     return Node(tag, "main" if at.get("role") == "main" and tag not in ROOMS else label, noise, bool(bad) and not noise)
 
 
+class _Open(list):
+    """The open elements of a page, of any depth, with their number by tag."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.n: Counter[str] = Counter()
+
+    def open(self, node: Node) -> None:
+        self.append(node)
+        self.n[node.tag] += 1
+
+    def close(self, k: int) -> None:
+        for x in self[k:]:
+            self.n[x.tag] -= 1
+        del self[k:]
+
+    def end(self, tags: tuple[str, ...], limits: tuple[str, ...] = ()) -> None:
+        """Close the innermost element of ``tags`` that is not beyond one of ``limits``."""
+        if not any(self.n[t] for t in tags):
+            return
+        for k in range(len(self) - 1, 0, -1):
+            if self[k].tag in tags:
+                return self.close(k)
+            if self[k].tag in limits:
+                return
+
+
 def parse(page: str) -> Node:
     """A forgiving DOM: unclosed elements end where they must, stray end tags are ignored."""
     root = Node("html")
-    stack = [root]
+    stack = _Open(root)
     at, end = 0, len(page)
 
     def text(s: str) -> None:
@@ -94,39 +121,26 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            stack.end((tag,))
             continue
         if tag == "html":
             continue
         if tag in ENDS_P:
-            _end(stack, "p", "table")
+            stack.end(("p",), ("table",))
         if tag in ENDS:
-            _end(stack, ENDS[tag], LIMITS.get(tag, "table"))
-        if tag == "body" and any(n.tag == "head" for n in stack):
-            del stack[1:]
-        node = _element(tag, attributes, any(n.tag in ROOMS for n in stack))
+            stack.end(tuple(ENDS[tag].split()), tuple(LIMITS.get(tag, "table").split()))
+        if tag == "body" and stack.n["head"]:
+            stack.close(1)
+        node = _element(tag, attributes, any(stack.n[t] for t in ROOMS))
         stack[-1].children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
-        elif tag not in VOID and not attributes.endswith("/") and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif tag not in VOID and not attributes.endswith("/"):
+            stack.open(node)
     return root
 
 
-def _end(stack: list[Node], tags: str, limits: str) -> None:
-    tags, limits = tags.split(), limits.split()
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in tags:
-            del stack[k:]
-            return
-        if stack[k].tag in limits:
-            return
-
-
 # --- skeletons and their alignment -----------------------------------------------------------------
 
 class Slot:
@@ -139,22 +153,28 @@ class Slot:
         self.members, self.children, self.text, self.links = [], [], [], 0
 
 
-def _own_text(node: Node, linked: bool = False) -> Iterator[tuple[str, bool]]:
-    for c in node.children:
+def _own_text(node: Node) -> Iterator[tuple[str, bool]]:
+    todo: list = [(c, False) for c in reversed(node.children)]
+    while todo:
+        c, linked = todo.pop()
         if isinstance(c, str):
             yield c, linked
         elif c.tag in INLINE and not (c.noise or c.doubtful):
-            yield from _own_text(c, linked or c.tag == "a")
+            linked = linked or c.tag == "a"
+            todo += [(x, linked) for x in reversed(c.children)]
 
 
 def _blocks_in(node: Node) -> Iterator[Node]:
     """Block elements below a node, those inside inline elements included."""
-    for c in node.children:
-        if not isinstance(c, str):
-            if c.tag in INLINE and not (c.noise or c.doubtful):
-                yield from _blocks_in(c)
-            else:
-                yield c
+    todo: list = node.children[::-1]
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            continue
+        if c.tag in INLINE and not (c.noise or c.doubtful):
+            todo += reversed(c.children)
+        else:
+            yield c
 
 
 def fold(root: Node) -> Slot:
@@ -206,35 +226,30 @@ def from_outline(text: str) -> Slot:
 
 def align(a: Slot, b: Slot) -> dict[int, Slot]:
     """Simple tree matching: the largest order-keeping mapping of equal labels, roots first: id(slot of a) -> slot of b."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def weigh(x: Slot, y: Slot) -> int:
-        if x.label != y.label:
-            return 0
-        key = (id(x), id(y))
-        if key in memo:
-            return memo[key][0]
+    pairs = [(a, b)] if a.label == b.label else []
+    for x, y in pairs:                               # grows while it is read; a pair comes before the pairs below it
+        pairs += [(p, q) for p in x.children for q in y.children if p.label == q.label]
+    weights: dict[tuple[int, int], int] = {}
+    tables: dict[tuple[int, int], list] = {}
+    for x, y in reversed(pairs):
         n, m = len(x.children), len(y.children)
         table = [[0] * (m + 1) for _ in range(n + 1)]
         for i in range(1, n + 1):
             for j in range(1, m + 1):
-                w = weigh(x.children[i - 1], y.children[j - 1])
+                w = weights.get((id(x.children[i - 1]), id(y.children[j - 1])), 0)
                 table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + w)
-        memo[key] = (table[n][m] + 1, table)
-        return table[n][m] + 1
+        weights[id(x), id(y)], tables[id(x), id(y)] = table[n][m] + 1, table
 
     out: dict[int, Slot] = {}
-    if not weigh(a, b):
-        return out
-    todo = [(a, b)]
+    todo = pairs[:1]
     while todo:
         x, y = todo.pop()
         out[id(x)] = y
-        table = memo[id(x), id(y)][1]
+        table = tables[id(x), id(y)]
         i, j = len(x.children), len(y.children)
         while i and j:
             p, q = x.children[i - 1], y.children[j - 1]
-            w = weigh(p, q)
+            w = weights.get((id(p), id(q)), 0)
             if w and table[i][j] == table[i - 1][j - 1] + w:
                 todo.append((p, q))
                 i, j = i - 1, j - 1
