@@ -152,6 +152,19 @@ def test_surrogates_keep_type_format_and_coreference():
     assert "Mr." in new and "Mrs" in new and pii.replace("Herr Müller", b"k", {})[0].startswith("Herr ")
 
 
+def test_names_and_secrets_are_found_whole():
+    text = ("Mrs Anne-Marie O'Neil met Mr Juan Carlos Lopez and Mr. J. Smith's aunt. Smith and Lopez thanked Prof. Dr. Ada de Vries; John Smith left with ADA. "
+            "{\"api_key\": \"Zk81-xq!w\", 'password': 'hu!nt3r2'} pwd=s3cr3t! Authorization: Bearer abc.DEF-123_ghi~456 user: longlonglonglong@mail.example.com")
+    new, places = pii.replace(text, b"key", {})
+    for original in ("Anne", "Marie", "Neil", "Juan", "Carlos", "Lopez", "Smith", "Ada", "ADA", "Vries", "Zk81", "hu!nt", "s3cr3t", "DEF", "longlong"):
+        assert original not in new
+    got = [(p["type"], new[p["start"]:p["start"] + p["length"]]) for p in places]
+    smith, lopez = got[6][1], got[4][1]
+    assert [x for _, x in got].count(smith) == 3 and [x for _, x in got].count(lopez) == 2 and got[5][1][1:] == "."
+    assert [t for t, _ in got][-5:] == ["secret"] * 4 + ["email"] and " de " in new and "'s aunt" in new
+    assert pii.detect("password: **** token: ---------------- Password: please ask") == []
+
+
 def test_clean_text_is_left_alone():
     for t in ("", "No. 12 of 2024-05-06, 10:30, v1.2.3 and 3.14", "a @ b", "token of thanks", "1,234,567 people", None):
         assert pii.replace(t, b"k", {}) == (t, [])

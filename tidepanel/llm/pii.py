@@ -13,30 +13,41 @@ from pyspark.sql import functions as F
 from tidepanel.llm.common import small_batches, stored
 
 # Titles and given names by gender, in Latin and Cyrillic script.
-TITLES = {"m": "Mr Herr Monsieur Señor господин", "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora госпожа"}
+TITLES = {"m": "Mr Herr Monsieur Señor господин", "f": "Mrs Ms Miss Frau Madame Mme Mlle Señora госпожа", "n": "Dr Doctor Prof Professor доктор профессор"}
 GIVEN = {
     "m": {"latin": "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karim Leo Martin Noah Oscar Paul Robin Simon Tomas Viktor".split(),
           "cyrillic": "Антон Борис Виктор Глеб Денис Егор Иван Кирилл Лев Максим".split()},
     "f": {"latin": "Anna Berta Clara Diana Elena Flora Greta Helen Irene Julia Karin Laura Maria Nora Olga Paula Rosa Sara Tina Vera".split(),
           "cyrillic": "Анна Вера Галина Дарья Елена Жанна Ирина Клара Лидия Мария".split()},
+    "n": {"latin": "Alexis Ariel Ashley Blair Cameron Casey Charlie Dana Devon Jamie Jordan Kim Morgan Riley Sasha Taylor".split(), "cyrillic": "Саша Женя Валя Шура".split()},
 }
 #: Letters of a script, by which a letter is replaced by another of its kind.
 ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "àáâãäåçèéêëìíîïñòóôõöùúûüýæøœß", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω"]
 _VOWELS, _CONSONANTS = {"latin": "aeiou", "cyrillic": "аеиоу"}, {"latin": "bdfgklmnprstv", "cyrillic": "бвгдклмнпрст"}
 _KIND = {c: a for a in ALPHABETS for c in a}
 
-_PATTERN = re.compile(r"""
-  (?P<secret>(?<=\w)\s{0,4}[=:]\s{0,4}["']?(?P<value>[A-Za-z0-9_+/-]{16,}={0,2})|(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,})(?!\w))
+_UPPER = "".join(c for c in map(chr, range(0x10000)) if c.isupper())
+#: A name's word after its first letter: letters, hyphens and apostrophes inside, no possessive.
+_JOINT = r"(?:(?:-|['’](?!s(?!\w)))[^\W\d_]+)"
+_REST = rf"(?:[^\W\d_]+{_JOINT}*|{_JOINT}+)"
+_PARTICLES = "van von der den de la le du di da del bin ibn al y"
+
+_TEXT = r"""
+  (?P<secret>(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)["']?\s{0,4}[=:]\s{0,4}(?:"(?P<v1>[^"\s]{4,})"|'(?P<v2>[^'\s]{4,})'
+     |["']?(?P<v3>(?=[^\s"'<>,;]*[0-9!@\#$%^&*?~])[^\s"'<>,;]{6,}|[A-Za-z0-9_+/-]{16,}={0,2}))|(?<!\w)Bearer[ ]{1,4}(?P<v4>[A-Za-z0-9._~+/-]{16,}={0,2})|(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abpr]-[A-Za-z0-9-]{10,})(?!\w))
  |(?P<email>(?<![\w.+-])[\w.+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))
  |(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
  |(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\w.+-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-]))
  |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
  |(?P<card>(?<![\w.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{13,19})(?!\w))
  |(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\w))
- |(?P<name>(?<!\w)(?:(?P<m>TITLES_M)|TITLES_F)\.?[ ]{1,2}(?P<full>[^\W\d_a-zß-ÿ][^\W\d_]+(?:[ ]{1,2}[^\W\d_a-zß-ÿ][^\W\d_]+)?))
-""".replace("TITLES_M", TITLES["m"].replace(" ", "|")).replace("TITLES_F", TITLES["f"].replace(" ", "|")), re.X)
-#: What a secret's value follows.
-_NAMED = re.compile(r"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth)\Z")
+ |(?P<name>(?<!\w)(?:(?:(?P<m>TITLES_M)|(?P<f>TITLES_F)|(?:TITLES_N))\.?[ ]{1,2})+
+     (?P<full>(?:[UPPER]\.[ ]{0,2})*[^\W\d_a-zß-ÿ]REST(?:[ ]{1,2}(?:[UPPER]\.[ ]{0,2})*(?:(?:PARTICLES)[ ]{1,2})*(?!(?:TITLES_ALL)(?!\w))[UPPER]REST)*))
+"""
+for _k, _v in (("TITLES_M", TITLES["m"]), ("TITLES_F", TITLES["f"]), ("TITLES_N", TITLES["n"]), ("TITLES_ALL", " ".join(TITLES.values())), ("PARTICLES", _PARTICLES)):
+    _TEXT = _TEXT.replace(_k, _v.replace(" ", "|"))
+_PATTERN = re.compile(_TEXT.replace("UPPER", _UPPER).replace("REST", _REST), re.X)
+_NAME_WORDS = re.compile(rf"[^\W\d_]\.|[^\W\d_]{_REST}")
 _HINT = re.compile(r"[0-9@]")
 _TITLES = tuple(" ".join(TITLES.values()).split())
 
@@ -57,22 +68,18 @@ def _lower(s: str) -> str:
 
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, type, normal form) of every entity, in order; given and family names are entities of their own."""
-    if not text or not (_HINT.search(text) or any(t in text for t in _TITLES) or any(t in text for t in ("=", ":"))):
+    if not text or not (_HINT.search(text) or any(t in text for t in _TITLES) or any(t in text for t in ("=", ":", "Bearer"))):
         return []
     out = []
     for m in _PATTERN.finditer(text):
         kind, s = m.lastgroup, m[0]
         if m["secret"]:
-            kind = "secret"
-            if m["value"]:
-                if not _NAMED.search(text, max(0, m.start() - 16), m.start()):
-                    continue
-                out.append((m.start("value"), m.end("value"), kind, m["value"].lower() if re.fullmatch(r"[0-9a-fA-F]+", m["value"]) else m["value"]))
-            else:
-                out.append((m.start(), m.end(), kind, s))
+            v = next((g for g in ("v1", "v2", "v3", "v4") if m[g]), "secret")
+            if sum(c.isascii() and c.isalnum() for c in m[v]) >= 4:           # else there is next to nothing to draw from
+                out.append((*m.span(v), "secret", m[v].lower() if re.fullmatch(r"[0-9a-fA-F]+", m[v]) else m[v]))
         elif m["name"]:
-            gender = "m" if m["m"] else "f"
-            words = [(m.start("full") + w.start(), m.start("full") + w.end(), w[0]) for w in re.finditer(r"\S+", m["full"])]
+            gender = "m" if m["m"] else "f" if m["f"] else "n"
+            words = [(m.start("full") + w.start(), m.start("full") + w.end(), w[0]) for w in _NAME_WORDS.finditer(m["full"]) if w[0] not in _PARTICLES.split()]
             for k, (i, j, w) in enumerate(words):
                 out.append((i, j, "family" if k == len(words) - 1 else "given_" + gender, _lower(w)))
         else:
@@ -87,7 +94,28 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
                 continue
             kind = next(k for k in ("email", "iban", "phone", "ssn", "card", "ip") if m[k])
             out.append((m.start(), m.end(), kind, _lower(s) if kind == "email" else s if kind == "ip" else re.sub(r"[^A-Z0-9]", "", s)))
-    return out
+    return _again(text, out)
+
+
+def _again(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """With the later and earlier mentions, without a title, of the names found; a given name has one gender in a text."""
+    names: dict[str, str] = {}
+    for _, _, kind, normal in sorted((x for x in found if x[2] == "family" or x[2].startswith("given_")), key=lambda x: (x[2] == "given_n", x[0])):
+        if not normal.endswith("."):
+            names.setdefault(normal, kind)
+    if not names:
+        return found
+    found = [(i, j, names.get(n, k) if k == "given_n" and names.get(n, k).startswith("given_") else k, n) for i, j, k, n in found]
+    forms = {f for i, j, _, n in found if n in names for f in (text[i:j], text[i:j].upper()) if j - i > 1}
+    if not forms:
+        return found
+    taken, more, at = sorted(x[:2] for x in found), [], 0
+    for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(forms, key=lambda f: (-len(f), f)))) + r")(?!\w)", text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if (at == len(taken) or taken[at][0] >= m.end()) and (n := _lower(m[0])) in names:
+            more.append((m.start(), m.end(), names[n], n))
+    return sorted(found + more)
 
 
 class _Draw:
@@ -164,7 +192,9 @@ def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
 
 def render(mention: str, kind: str, new: str) -> str:
     """A surrogate in the format of a mention: its punctuation, spaces and case."""
-    if kind in ("given_m", "given_f", "family"):
+    if kind == "family" or kind.startswith("given_"):
+        if len(mention) == 2 and mention[1] == ".":
+            return new[:1].upper() + "."
         return new.upper() if mention.isupper() and len(mention) > 1 else new[:1].upper() + new[1:]
     if kind in ("phone", "card", "ssn", "iban"):
         it = iter(new)
@@ -229,7 +259,7 @@ def replace_entities(docs: DataFrame, key: bytes = b"tidepanel", text: str = "te
     new text) added.
 
     Detected are e-mail addresses, telephone, card, bank-account and social-security numbers, IPv4 addresses, secrets
-    and names after a title. A surrogate depends on the key, the type and the entity's normal form: mentions of one
+    and names after a title, with their other mentions in the text. A surrogate depends on the key, the type and the entity's normal form: mentions of one
     entity, however formatted, are replaced alike in all documents, different entities differently. Null texts stay
     null, texts without entities are unchanged; an existing column ``entities`` is replaced.
     """
