@@ -132,6 +132,19 @@ def test_counts_do_not_depend_on_partitions(spark):
     assert one.languages == many.languages and (one.weights == many.weights).all()
 
 
+def test_long_texts_in_pieces_have_the_same_grams(monkeypatch):
+    some = ["der hund, und die katze 12 sind hier", "a", "", None, "x y", "the cat and the dog!", "  ab  cd  "]
+
+    def grams():
+        return sorted((int(o), n, int(b)) for codes, owner in language._joined(some) for n in language.ORDERS
+                      for at, bucket in language._grams(codes, None, 1 << 15, (n,)) for o, b in zip(owner[at], bucket) if o >= 0)
+
+    want = grams()
+    for size in (1, 2, 3, 7, 12):
+        monkeypatch.setattr(language, "_CHUNK", size)
+        assert grams() == want
+
+
 # --- personal data ---------------------------------------------------------------------------------
 
 TEXT = ("Mail jo.doe@mail.example.com or JO.DOE@MAIL.EXAMPLE.COM, call +1 (212) 555-0187 or +1 212 555 0187, card 4111 1111 1111 1111, from 192.168.1.20 "

@@ -54,19 +54,26 @@ def _grams(codes: np.ndarray, first: np.ndarray, buckets: int, orders) -> Iterat
 
 
 def _joined(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunks of (letter codes, owner): texts of a batch behind one another, two gaps between; owner is the row."""
-    group, size = [], 0
+    """Chunks of (letter codes, owner): texts of a batch behind one another, two gaps between; owner is the row, or -1
+    where no gram of the chunk starts: in a piece of a long text, the gap before it and the overlap with the next piece."""
+    group, size, over = [], 0, max(ORDERS) - 1
 
     def build(group):
-        parts = [t for _, t in group]
+        parts = [t for _, t, _, _ in group]
         codes = _letters()[np.frombuffer("\x00\x00".join(["", *parts, ""]).encode("utf-32-le"), np.uint32)]
         lengths = np.array([len(t) + 2 for t in parts])
-        owner = np.repeat(np.array([i for i, _ in group]), lengths)
+        owner = np.repeat(np.array([i for i, *_ in group]), lengths)
+        for (_, _, first, last), end, length in zip(group, np.cumsum(lengths), lengths):
+            if not first:
+                owner[end - length:end - length + 2] = -1
+            if not last:
+                owner[end - length + 2 + _CHUNK:end] = -1
         return codes, np.concatenate([owner, owner[-1:].repeat(2)])
 
     for i, t in enumerate(texts):
-        for k in range(0, len(t or ""), _CHUNK):       # long texts in pieces: the same grams, but those over a cut
-            group.append((i, t[k:k + _CHUNK]))
+        for k in range(0, len(t or ""), _CHUNK):       # long texts in overlapping pieces: the same grams
+            last = k + _CHUNK >= len(t)
+            group.append((i, t[k:] if last else t[k:k + _CHUNK + over], k == 0, last))
             size += len(group[-1][1])
             if size >= _CHUNK:
                 yield build(group)
@@ -90,9 +97,11 @@ class Model:
         total = np.zeros((n, len(self.languages)))
         seen = np.zeros(n, bool)
         for codes, owner in _joined(texts):
-            has = np.flatnonzero(codes)
+            has = np.flatnonzero((codes > 0) & (owner >= 0))
             seen[owner[has]] = True
             for at, bucket in _grams(codes, None, len(self.weights), self.orders):
+                own = owner[at] >= 0
+                at, bucket = at[own], bucket[own]
                 if len(at):
                     o = owner[at]
                     starts = np.concatenate([[0], np.flatnonzero(np.diff(o)) + 1])
@@ -119,9 +128,9 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", buckets:
             for name, part in b.groupby("lang"):
                 acc = sums.setdefault(name, np.zeros(buckets, np.int64))
                 docs[name] = docs.get(name, 0) + len(part)
-                for codes, _ in _joined(list(part["text"])):
-                    for _, bucket in _grams(codes, None, buckets, orders):
-                        acc += np.bincount(bucket, minlength=buckets)
+                for codes, owner in _joined(list(part["text"])):
+                    for at, bucket in _grams(codes, None, buckets, orders):
+                        acc += np.bincount(bucket[owner[at] >= 0], minlength=buckets)
         for name, acc in sums.items():
             at = np.flatnonzero(acc)
             yield pd.DataFrame({"lang": name, "bucket": np.append(at, -1), "n": np.append(acc[at], docs[name])})
