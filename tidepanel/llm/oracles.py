@@ -47,3 +47,21 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum(length('<turn >') + 1 + length('</turn>') + 1 + length(replace({_ESCAPED.format('role')}, '>', '\\>')) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
 FROM t GROUP BY conv_id"""
+
+#: crc32 step by step: the table of 256 remainders from its polynomial, then one byte of <doc_id>:<run> after another.
+_CRC_TABLE = "[list_reduce([CAST(i AS BIGINT)] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) FOR i IN range(256)]"
+_BYTES = "flatten([CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [192 + ord(c) // 64, 128 + ord(c) % 64] END FOR c IN string_split({0}, '')])"
+
+OP11 = rf"""WITH RECURSIVE r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents),
+d AS (SELECT doc_id, w, count(*) AS k FROM r WHERE length(w) >= 6 GROUP BY 1, 2),
+t AS (SELECT {_CRC_TABLE} AS t),
+h AS (SELECT w, k, xor(4294967295, list_reduce([CAST(4294967295 AS BIGINT)] || {_BYTES.format("doc_id || ':' || w")}, lambda c, b: xor(t[1 + CAST(xor(c % 256, b) AS INTEGER)], c // 256))) AS h FROM d, t),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS w, k FROM h),
+words AS (SELECT w, CAST(sum(k) AS BIGINT) AS n FROM s WHERE length(w) >= 6 GROUP BY 1 HAVING sum(k) >= 5),
+cuts AS (SELECT w, length(w) AS l, i, substr(w, 1, i - 1) || substr(w, i + 1) AS x FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM words)),
+near AS (SELECT a.w AS a, b.w AS b FROM cuts a JOIN cuts b ON a.l = b.l AND a.i = b.i AND a.x = b.x AND a.w <> b.w
+  UNION SELECT x, w FROM cuts WHERE x IN (SELECT w FROM words) UNION SELECT w, x FROM cuts WHERE x IN (SELECT w FROM words)),
+best AS (SELECT * FROM (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS n_near, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM near JOIN words ON w = b) WHERE r = 1),
+f AS (SELECT words.w, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * words.n THEN b END AS form, CASE WHEN best.n >= 5 * words.n THEN best.n END AS form_n FROM words LEFT JOIN best ON a = words.w),
+up AS (SELECT w, w AS z, 0 AS k FROM f UNION ALL SELECT up.w, f.form, k + 1 FROM up JOIN f ON f.w = up.z WHERE f.form IS NOT NULL)
+SELECT f.w AS word, form, root, n, n_near, form_n FROM f JOIN (SELECT w, arg_max(z, k) AS root FROM up GROUP BY 1) USING (w)"""

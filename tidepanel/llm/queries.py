@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidepanel.llm import chat, language, mixing, nearduplicates, oracles, packing, pages, pii, sharding, vectors
+from tidepanel.llm import alignment, chat, language, mixing, nearduplicates, oracles, packing, pages, pii, sharding, spelling, vectors
 from tidepanel.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,6 +75,16 @@ def op10_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@register
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.document_variants(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
@@ -86,6 +96,7 @@ LLM_ORACLES |= {
     "op4_embedding_duplicates": oracles.OP4,
     "op5_exact_top_k": oracles.OP5,
     "op8_prefix_tree_chat": oracles.OP8,
+    "op11_permuterm_variants": oracles.OP11,
 }
 if corpus_pipeline.ORACLE_SQL:
     LLM_ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
