@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepanel.llm import alignment, spelling
+from tidepanel.llm import alignment, quality, spelling
 
 # --- spelling variants -----------------------------------------------------------------------------
 
@@ -197,3 +197,98 @@ def test_large_groups_count_distinct_ids(monkeypatch):
     for part in tool.align(texts * 3):
         digests += part[2]
     assert digests == want[0][2] * 3
+
+
+# --- quality ---------------------------------------------------------------------------------------
+
+def plain_counts(text):
+    """Terms of a text, one at a time."""
+    out = np.zeros(quality.TERMS)
+    for n in quality.ORDERS:
+        for i in range(len(text) - n + 1):
+            h = 0
+            for c in text[i:i + n]:
+                h = (h * 0x100000001B3 + ord(c)) % 2**64
+            out[((h + n) * 0x9E3779B97F4A7C15 % 2**64 >> 40) % quality.BUCKETS] += 1
+    kind = [int(quality._kinds()[ord(c)]) for c in text]
+    for x, y, z in zip(kind, kind[1:], kind[2:]):
+        out[quality.BUCKETS + (x * quality._CLASSES + y) * quality._CLASSES + z] += 1
+    words = text.lower().split()
+    out[-3:] = sum(x == y for x, y in zip(words, words[1:])), len(words) - len(set(words)), len(set(words))
+    return out
+
+
+def test_terms_of_whole_texts(monkeypatch):
+    rng = random.Random(9)
+    texts = ["", "a", "ab", "Same same SAME end.", "".join(rng.choice("ab  .É9\n") for _ in range(400))]
+    for size in (1, 2, 7, 10_000):
+        monkeypatch.setattr(quality, "_CHUNK", size)
+        for t in texts:
+            assert (quality.term_counts(t) == plain_counts(t)).all()
+    assert not quality.term_counts(None).any()
+
+
+def quality_rows():
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 8)))
+    rows = []
+    for i in range(240):
+        w = [word() for _ in range(rng.randrange(20, 60))]
+        kind = i % 4
+        text = " ".join(w) + "." if kind else rng.choice([" ".join(f"{x}###" for x in w), " ".join(x for x in w for _ in range(8)), " ".join(w).upper() + "!!"])
+        rows.append((i, text, None if i % 7 == 0 else int(kind > 0)))
+    return rows
+
+
+def test_votes_match_brute_force_and_held_out_accuracy(spark):
+    rows = quality_rows()
+    docs = spark.createDataFrame([(i, t, i % 3) for i, t, _ in rows] + [(900, None, 0), (901, "", 0), (902, rows[1][1], 0)], "doc_id bigint, text string, score int")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(5_000, 0), (None, 1)], "doc_id bigint, quality int")
+    got = {r["doc_id"]: r for r in quality.score_quality(docs.repartition(5), labels).collect()}
+    again = {r["doc_id"]: r for r in quality.score_quality(docs.coalesce(1), labels).collect()}
+    assert got.keys() == again.keys() and all(abs(got[i]["score"] - again[i]["score"]) < 1e-6 and got[i]["predicted"] == again[i]["predicted"] for i in got)
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in got}
+    assert all(got[i]["held_out"] == held[i] and 0 <= got[i]["score"] <= 1 and got[i]["predicted"] == int(got[i]["score"] >= 0.3) for i in got)
+    truth = {i: int(i % 4 > 0) for i, _, _ in rows}
+    wrong = [i for i in truth if held[i] and got[i]["predicted"] != truth[i]]
+    assert len(wrong) <= 2
+    # the space and the votes by hand, over all voters at once
+    voters = [(t, y) for i, t, y in rows if y is not None and not held[i]]
+    counts = np.stack([plain_counts(t) for t, _ in voters])
+    y = np.array([y for _, y in voters], float)
+    rarity = np.ones(quality.TERMS)
+    rarity[:quality.BUCKETS] = np.log((1 + len(voters)) / (1 + (counts > 0).sum(axis=0)[:quality.BUCKETS])) + 0.05
+    x = quality._weighted(counts, rarity)
+    values, axes = np.linalg.eigh(x.T @ x)
+    model = quality.train(docs.where(~quality.held_out(F.col("doc_id"))), labels.withColumnRenamed("quality", "label"))
+    own = np.linalg.norm((x @ model.axes) @ model.axes.T - x) ** 2
+    least = values[:-quality.DIMENSIONS].sum()               # what no space of as many axes can keep
+    assert least <= own * (1 + 1e-9) and own <= 1.02 * least + 1e-9
+    assert len(model.voters) == len({t for t, _ in voters}) and abs(model.base - y.mean()) < 1e-12
+    mine = quality._unit(quality._weighted(np.stack([plain_counts(t) for _, t, _ in rows[:40]]), rarity) @ model.axes)
+    for (i, _, _), v in zip(rows[:40], mine):
+        near = model.voters @ v
+        chosen = near >= np.sort(near)[-quality.NEIGHBOURS] - quality.TIE
+        weight = np.maximum(near[chosen], 0) ** quality.POWER
+        assert abs(got[i]["score"] - (weight * model.labels[chosen]).sum() / weight.sum()) < 1e-6
+    assert got[900]["score"] == got[901]["score"] == round(model.base, 9)
+    assert got[902]["score"] == got[1]["score"]               # a copy scores like its original
+
+
+def test_voters_are_bounded_and_copies_vote_once(spark):
+    rows = [(i, f"text number {i % 900}") for i in range(3000)] + [(9_000 + i, "one hot copy") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id bigint, label int")
+    chosen = quality.choose_voters(docs, marks, most=300)
+    assert 230 < chosen.count() < 370 and chosen.select("text").distinct().count() == chosen.count()
+    assert sorted(chosen.collect()) == sorted(quality.choose_voters(docs.repartition(9), marks, most=300).collect())
+    everyone = {r["text"]: r["label"] for r in quality.choose_voters(docs, marks).collect()}
+    assert len(everyone) == 901 and everyone["one hot copy"] == 0.5
+
+
+def test_quality_without_labels_or_rows(spark):
+    docs = spark.createDataFrame([(1, "text")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int")
+    assert [(r["score"], r["predicted"]) for r in quality.score_quality(docs, labels).collect()] == [(0.5, 1)]
+    assert quality.score_quality(docs.where("false"), labels).count() == 0
+    assert [r["score"] for r in quality.score_quality(docs, spark.createDataFrame([(1, 0)], "doc_id bigint, quality int")).collect()] == [0.0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidepanel.llm import alignment, chat, language, mixing, nearduplicates, oracles, packing, pages, pii, sharding, spelling, vectors
+from tidepanel.llm import alignment, chat, language, mixing, nearduplicates, oracles, packing, pages, pii, quality, sharding, spelling, vectors
 from tidepanel.llm.common import table
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,6 +80,11 @@ def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.document_variants(table(spark, sf_dir, "documents"))
 
 
+@register
+def op12_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @register
 def op13_galloping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(table(spark, sf_dir, "documents"))
