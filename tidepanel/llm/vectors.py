@@ -115,8 +115,9 @@ def embedding_links(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     rows = stored(df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label).alias("label"), v.alias("v"))
                     .withColumn("usable", F.col("label").isNotNull() & finite(F.col("v")) & F.exists("v", lambda x: x != 0)), "vectors")
     usable = rows.where("usable").drop("usable").withColumn("dim", F.size("v"))
-    unique = stored(usable.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight"))
-                          .withColumn("rep", F.coalesce("rep", -1 - F.xxhash64("v").bitwiseAND((1 << 62) - 1))), "unique")
+    # a class of equal vectors has a number of its own; ids, null or not, only name what is found
+    unique = stored(usable.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"))
+                          .withColumn("rep", F.monotonically_increasing_id()), "unique")
     tiles = unique.groupBy(F.col("label").alias("_l"), F.col("dim").alias("_d")).agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
     dealt = (unique.join(tiles, (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d"))).drop("_l", "_d")
                    .withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int")))
@@ -139,10 +140,11 @@ def embedding_links(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     found = stored(same.union(cross).repartition(F.xxhash64("label", "dim", "i", "j")).mapInPandas(_tile_links(threshold), "rep bigint, links bigint, root bigint"), "found")
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    by_rep = (unique.join(sums.withColumnRenamed("rep", "_s"), F.col("rep") == F.col("_s"), "left")
-                    .join(parts.withColumnRenamed("id", "_p"), F.col("rep") == F.col("_p"), "left")
-                    .select(F.col("label").alias("_l"), F.col("v").alias("_v"), F.coalesce("component", "rep").alias("component_id"),
-                            (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    placed = stored(unique.join(parts.withColumnRenamed("id", "_p"), F.col("rep") == F.col("_p"), "left")
+                          .select("label", "v", "rep", "weight", "least", F.coalesce("component", "rep").alias("part")), "placed")
+    names = placed.groupBy(F.col("part").alias("_part")).agg(F.min("least").alias("component_id"))
+    by_rep = (placed.join(sums.withColumnRenamed("rep", "_s"), F.col("rep") == F.col("_s"), "left").join(names, F.col("part") == F.col("_part"))
+                    .select(F.col("label").alias("_l"), F.col("v").alias("_v"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
     joined = rows.join(by_rep, F.col("usable") & (F.col("label") == F.col("_l")) & (F.col("v") == F.col("_v")), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component_id", "vec_id"))
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
