@@ -181,6 +181,11 @@ def _matrix(values, cut: Cut) -> np.ndarray:
     return np.frombuffer(b"".join(values), np.uint16).reshape(-1, cut.registers)
 
 
+def fingerprints(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums over a set: with its size they name it."""
+    return int(s.sum(dtype=np.uint64).view(np.int64)), int(_mixed(s * _ODD[15]).sum(dtype=np.uint64).view(np.int64))
+
+
 def sketches(docs: DataFrame, cut: Cut = AT_85) -> DataFrame:
     """doc_id, text_key (hash of the text), n (set size), two set fingerprints, registers and band keys; the last two null for empty sets."""
     small_batches(docs.sparkSession)
@@ -190,7 +195,7 @@ def sketches(docs: DataFrame, cut: Cut = AT_85) -> DataFrame:
             for s in shingle_sets(b["text"]):
                 if len(s):
                     r = registers(s, cut)
-                    rows.append((len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(_mixed(s * _ODD[15]).sum(dtype=np.uint64).view(np.int64)), r.tobytes(), band_keys(r, cut)))
+                    rows.append((len(s), *fingerprints(s), r.tobytes(), band_keys(r, cut)))
                 else:
                     rows.append((0, 0, 0, None, None))
             out = pd.DataFrame(rows, columns=["n", "f1", "f2", "regs", "bands"])
@@ -242,14 +247,15 @@ def near_duplicates(docs: DataFrame, cut: Cut = AT_85) -> DataFrame:
     No bucket is cut off, pairs within a component are not needed, and no step returns more than a few rows per row.
 
     Shingles are 64-bit hashes. Null, empty and blank texts have an empty set and link with nothing. Rows that share
-    a doc_id are one document of the graph. A null doc_id links like any other, names no component and is
+    a doc_id are one document: all classes of its texts are linked. A null doc_id links like any other, names no component and is
     not kept; its component is the smallest id linked with it, or null.
     """
     rows = stored(sketches(docs, cut), "sketches")
     full = rows.where("n > 0")
+    # a class of equal sets has a number of its own; ids, null, negative or shared, only name what is found
     classes = stored(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("least"), F.min(F.struct("regs", "bands")).alias("s"))
-                         .select("n", "f1", "f2", F.coalesce("least", -1 - F.col("f1").bitwiseAND((1 << 62) - 1)).alias("id"), "s.regs", "s.bands"), "classes")
-    sketch = classes.select("id", "n", "regs").dropDuplicates(["id"])
+                         .select("n", "f1", "f2", "least", F.monotonically_increasing_id().alias("id"), "s.regs", "s.bands"), "classes")
+    sketch = classes.select("id", "n", "regs")
     spread = stored(classes.select("id", "n", F.posexplode("bands").alias("band", "key")), "bands")
     heads = (spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
                    .select(F.col("key").alias("_key"), F.col("head.id").alias("head"), F.col("head.n").alias("head_n"), "members"))
@@ -269,20 +275,32 @@ def near_duplicates(docs: DataFrame, cut: Cut = AT_85) -> DataFrame:
     near = f"100 * least(n, head_n) >= {cut.percent} * greatest(n, head_n)"
     stars = stored(filtered(buckets.where("id <> head").where(near).select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()), "stars")
     wanted = stars.select(F.col("a").alias("_id")).union(stars.select("b")).union(buckets.where("members > 2").select("id")).distinct()
+    chosen = wanted.join(classes.select("id", "n", "f1", "f2", "least"), F.col("_id") == F.col("id")).select("id", "n", "f1", "f2", "least")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    named = texts.where("doc_id is not null").join(wanted, F.col("doc_id") == F.col("_id"), "left_semi")
-    sets = stored(named.unionByName(texts.where("doc_id is null")).withColumn("doc_id", F.col("doc_id").cast("string"))
-                       .mapInPandas(_set_rows, "id bigint, set binary").dropDuplicates(["id"]), "sets")
-    links = stored(verified(stars, sets, cut), "links")
+    named = texts.join(chosen.select(F.col("least").alias("_least")).where("_least is not null").distinct(), F.col("doc_id") == F.col("_least"), "left_semi")
+    found = named.unionByName(texts.where("doc_id is null")).select("text").mapInPandas(_set_rows, "n1 bigint, g1 bigint, g2 bigint, set binary")
+    same_set = (F.col("n") == F.col("n1")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2"))
+    sets = stored(found.dropDuplicates(["n1", "g1", "g2"]).join(chosen, same_set).select("id", "set"), "sets")
+    # rows of one id with several sets are one document: their classes are linked
+    several = full.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "f1", "f2")).alias("x"), F.max(F.struct("n", "f1", "f2")).alias("y")).where("x <> y")
+    ties = (full.join(several.select(F.col("doc_id").alias("_doc"), "x"), F.col("doc_id") == F.col("_doc")).select("n", "f1", "f2", "x").distinct()
+                .join(classes.select("n", "f1", "f2", "id"), ["n", "f1", "f2"])
+                .join(classes.select(F.col("n").alias("n1"), F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("id").alias("head")),
+                      (F.col("x.n") == F.col("n1")) & (F.col("x.f1") == F.col("g1")) & (F.col("x.f2") == F.col("g2")))
+                .where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
+    links = stored(verified(stars, sets, cut).union(ties), "links")
     parts = components(links)
 
     def still_open() -> DataFrame:
         """Members of buckets with several components, with their component, sketch and block."""
         c = parts.select(F.col("id").alias("_p"), "component")
         placed = buckets.where("members > 2").join(c, F.col("id") == F.col("_p"), "left").withColumn("part", F.coalesce("component", "id"))
-        keys = placed.groupBy(F.col("key").alias("_k")).agg(F.min("part").alias("_x"), F.max("part").alias("_y")).where("_x <> _y").select("_k")
+        sizes = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("rows"))
+        keys = (sizes.groupBy(F.col("key").alias("_k")).agg(F.max(F.struct("rows", "part")).alias("most"), F.sum("rows").alias("all")).where("all > most.rows")
+                     .select("_k", F.col("most.part").alias("largest"), F.ceil((F.col("all") - F.col("most.rows")) / BLOCK).cast("int").alias("outer"), F.ceil(F.col("most.rows") / BLOCK).cast("int").alias("inner")))
         left = placed.join(keys, F.col("key") == F.col("_k")).join(sketch.select(F.col("id").alias("_s"), "regs"), F.col("id") == F.col("_s"))
-        return left.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        own = F.when(F.col("part") == F.col("largest"), F.col("outer") + F.pmod(F.xxhash64("id"), F.col("inner"))).otherwise(F.pmod(F.xxhash64("id"), F.col("outer")))
+        return left.withColumn("block", own.cast("int"))
 
     forest = stored(in_blocks(still_open(), partial(_forest, cut=cut), "a bigint, b bigint").distinct(), "forest")
     if not forest.isEmpty():
@@ -296,12 +314,13 @@ def near_duplicates(docs: DataFrame, cut: Cut = AT_85) -> DataFrame:
             parts = components(links.union(stored(rest.distinct(), "links")))
 
     c = parts.select(F.col("id").alias("_p"), "component")
-    named = (classes.join(c, F.col("id") == F.col("_p"), "left")
-                    .select(F.col("n").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), F.coalesce("component", "id").alias("named")))
+    placed = stored(classes.join(c, F.col("id") == F.col("_p"), "left").select("n", "f1", "f2", "least", F.coalesce("component", "id").alias("part")), "placed")
+    names = placed.groupBy(F.col("part").alias("_part")).agg(F.min("least").alias("name"))
+    named = placed.join(names, F.col("part") == F.col("_part")).select(F.col("n").alias("_n"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "name", "part")
     out = rows.join(named, (F.col("n") == F.col("_n")) & (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")), "left")
-    component = F.when(F.col("named") >= 0, F.col("named")).otherwise(F.col("doc_id"))
+    component = F.coalesce("name", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "text_key", F.col("named").alias("group"))
+                      F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), "text_key", F.col("part").alias("group"))
 
 
 def one_of_each(docs: DataFrame, cut: Cut = AT_80) -> DataFrame:
@@ -310,8 +329,8 @@ def one_of_each(docs: DataFrame, cut: Cut = AT_80) -> DataFrame:
     Documents without words all stay. Of a group without any id one document stays.
     """
     found = stored(near_duplicates(docs, cut), "groups")
-    stay = found.where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(stay, F.col("doc_id") == F.col("_id")).drop("_id").dropDuplicates(["doc_id"])
+    stay = found.where("kept").groupBy(F.col("doc_id").alias("_id")).agg(F.min("text_key").alias("_key"))
+    out = docs.join(stay, (F.col("doc_id") == F.col("_id")) & F.xxhash64("text").eqNullSafe(F.col("_key"))).drop("_id", "_key").dropDuplicates(["doc_id"])
     nameless = docs.where("doc_id is null")
     if nameless.isEmpty():
         return out
@@ -324,12 +343,8 @@ def one_of_each(docs: DataFrame, cut: Cut = AT_80) -> DataFrame:
 
 def _set_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        ids, sets = [], []
-        for i, s in zip(b["doc_id"], shingle_sets(b["text"])):
-            if len(s):
-                ids.append(int(i) if i is not None else -1 - (int(s.sum(dtype=np.uint64).view(np.int64)) & ((1 << 62) - 1)))
-                sets.append(s.tobytes())
-        yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "set": pd.Series(sets, dtype=object)})
+        out = [(len(s), *fingerprints(s), s.tobytes()) for s in shingle_sets(b["text"]) if len(s)]
+        yield pd.DataFrame(out, columns=["n1", "g1", "g2", "set"])
 
 
 # --- blocks of a bucket ----------------------------------------------------------------------------
@@ -345,8 +360,12 @@ def together(df: DataFrame) -> DataFrame:
 
 
 def in_blocks(left: DataFrame, work, schema: str) -> DataFrame:
-    """Run ``work`` on every two blocks of every bucket: block i meets every block j >= i, and itself."""
-    met = left.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    """Run ``work`` on the blocks of every bucket that must meet.
+
+    The first ``outer`` blocks hold what is outside the bucket's largest component, and meet each other, themselves and
+    the ``inner`` blocks of that component, which need not meet among themselves: with r rows outside and m inside,
+    about r * (r + 2 m) / BLOCK rows travel, m for a single outsider."""
+    met = left.withColumn("other", F.explode(F.expr("sequence(0, IF(block < outer, outer + inner, outer) - 1)")))
     met = met.select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "n", "part", "regs")
     return together(met).mapInPandas(work, schema)
 
