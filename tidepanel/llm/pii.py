@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 
@@ -76,7 +78,7 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
         if m["secret"]:
             v = next((g for g in ("v1", "v2", "v3", "v4") if m[g]), "secret")
             if sum(c.isascii() and c.isalnum() for c in m[v]) >= 4:           # else there is next to nothing to draw from
-                out.append((*m.span(v), "secret", m[v].lower() if re.fullmatch(r"[0-9a-fA-F]+", m[v]) else m[v]))
+                out.append((*m.span(v), "secret", m[v].lower() if _is_hex(m[v].lower()) else m[v]))
         elif m["name"]:
             gender = "m" if m["m"] else "f" if m["f"] else "n"
             words = [(m.start("full") + w.start(), m.start("full") + w.end(), w[0]) for w in _NAME_WORDS.finditer(m["full"]) if w[0] not in _PARTICLES.split()]
@@ -136,58 +138,163 @@ class _Draw:
     def of(self, s):
         return s[self.below(len(s))]
 
-    def like(self, c: str) -> str:
-        """Another sign of the same kind: a digit for a digit, a letter of the same script and case for a letter."""
-        if c.isascii() and c.isdigit():
-            return self.of("0123456789")
-        low = c.lower()
-        if low in _KIND:
-            x = self.of(_KIND[low])
-            return x.upper() if c != low and len(x.upper()) == 1 else x
+#: Attempt number of entities whose format is nearly used up: they are replaced by a permutation of the format's values.
+PERMUTED = -1
+#: A format is permuted if the corpus holds more than this share of its values.
+CROWDED = 0.25
+_DIGITS, _HEX = "0123456789", "0123456789abcdef"
+
+
+def _alike(c: str):
+    """All signs of the kind of ``c``: digits for a digit, letters of its script and case for a letter, else itself."""
+    if c.isascii() and c.isdigit():
+        return _DIGITS
+    low = c.lower()
+    if low not in _KIND:
         return c
+    return _KIND[low] if c == low else [x.upper() if len(x.upper()) == 1 else x for x in _KIND[low]]
 
 
-def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
-    """The replacement, in normal form: same length and kinds of signs, valid where the original is valid."""
-    d = _Draw(key, kind, normal, attempt)
+def _octets(p: str, first: bool) -> list[str]:
+    """Numbers of an address that are written as long as ``p`` is: those in use, or those that are not (zeros ahead, the
+    ends of the first number), whichever it belongs to."""
+    low, high = {1: (0, 9), 2: (10, 99), 3: (100, 255)}[len(p)]
+    low, high = (max(1, low), min(223, high)) if first else (low, high)
+    inside = low <= int(p) <= high and p == str(int(p))
+    return [x for x in (str(i).zfill(len(p)) for i in range(256)) if len(x) == len(p) and (low <= int(x) <= high and x == str(int(x))) == inside]
+
+
+def slots(kind: str, normal: str) -> tuple[list, list] | None:
+    """(signs, choices): what an entity consists of, and for each part all values of its format; None for names of the
+    listed scripts, whose surrogates are made of syllables."""
     if kind == "email":
         local, _, domain = normal.partition("@")
         name, _, top = domain.rpartition(".")
-        return "".join(map(d.like, local)) + "@" + "".join(map(d.like, name)) + "." + top
+        return list(normal), [*map(_alike, local), "@", *map(_alike, name), *("." + top if name else top)]
     if kind == "phone":
         n = max(0, len(normal) - 10)
         keep = normal[n + 3:n + 6] == "555" and len(normal) >= 10
-        return normal[:n] + "".join(c if keep and n + 3 <= i < n + 6 else d.like(c) for i, c in enumerate(normal[n:], n))
+        return list(normal), [c if i < n or keep and n + 3 <= i < n + 6 else _alike(c) for i, c in enumerate(normal)]
     if kind == "card":
-        body = normal[0] + "".join(map(d.like, normal[1:-1]))
-        check = next(c for c in "0123456789" if luhn(body + c))
-        return body + (check if luhn(normal) else d.of([c for c in "0123456789" if c != check]))
+        check = luhn(normal)                             # "*" stands for the digit that follows from the others
+        return [*normal[:-1], "*" if check else normal[-1]], [normal[0], *map(_alike, normal[1:-1]), "*" if check else _DIGITS]
     if kind == "iban":
-        body = normal[:2] + "00" + "".join(d.of("ABCDEFGHIJKLMNOPQRSTUVWXYZ") if c.isalpha() else d.like(c) for c in normal[4:])
-        return body[:2] + f"{98 - _mod97(body):02d}" + body[4:]
+        return list(normal[:2] + normal[4:]), [*normal[:2], *("ABCDEFGHIJKLMNOPQRSTUVWXYZ" if c.isalpha() else _alike(c) for c in normal[4:])]
     if kind == "ip":
-        p = [int(x) for x in normal.split(".")]
-        keep = 1 if p[0] == 10 or p[0] == 127 else 2 if (p[0], p[1]) in ((192, 168), (169, 254)) or (p[0] == 172 and 16 <= p[1] < 32) else 0
-        spans = {1: (0, 9), 2: (10, 99), 3: (100, 255)}
-        parts = []
-        for i, (x, s) in enumerate(zip(p, normal.split("."))):
-            low, high = spans[len(s)]
-            low, high = (max(1, low), min(223, high)) if i == 0 else (low, high)
-            parts.append(s if i < keep else str(low + d.below(high - low + 1)).zfill(len(s)))
-        return ".".join(parts)
+        parts = normal.split(".")
+        a, b = int(parts[0]), int(parts[1])
+        keep = 1 if a in (10, 127) else 2 if (a, b) in ((192, 168), (169, 254)) or a == 172 and 16 <= b < 32 else 0
+        return parts, [[x] if i < keep else _octets(x, i == 0) for i, x in enumerate(parts)]
     if kind == "secret":
-        if re.fullmatch(r"[0-9a-f]+", normal):
-            return "".join(d.of("0123456789abcdef") for _ in normal)
+        if _is_hex(normal):
+            return list(normal), [_HEX] * len(normal)
         prefix = re.match(r"AKIA|gh[pousr]_|sk-|xox[abpr]-", normal)
         n = prefix.end() if prefix else 0
-        return normal[:n] + "".join(map(d.like, normal[n:]))
-    if kind.startswith("given_") or kind == "family":
-        script = "cyrillic" if any("а" <= c <= "я" or c == "ё" for c in normal) else "latin"
-        if not any(c in _KIND for c in normal):      # a script without a list: other letters of the same block
-            return "".join(chr(ord(c) // 64 * 64 + d.below(64)) if c.isalpha() else c for c in normal)
-        syllables = "".join(d.of(_CONSONANTS[script]) + d.of(_VOWELS[script]) for _ in range(min(attempt, 4) if kind != "family" else 2 + d.below(2)))
-        return (d.of(GIVEN[kind[-1]][script]).lower() + syllables) if kind != "family" else syllables + d.of(_CONSONANTS[script])
-    return "".join(map(d.like, normal))
+        return list(normal), [*normal[:n], *map(_alike, normal[n:])]
+    if kind == "family" or kind.startswith("given_"):
+        if any(c in _KIND for c in normal):
+            return None
+        return list(normal), [[chr(x) for x in range(ord(c) // 64 * 64, ord(c) // 64 * 64 + 64)] if c.isalpha() else c for c in normal]
+    return list(normal), list(map(_alike, normal))
+
+
+def _is_hex(normal: str) -> bool:
+    """Hexadecimal and not all digits: a number of digits is a number and stays one."""
+    return re.fullmatch(r"[0-9a-f]+", normal) is not None and not normal.isdigit()
+
+
+def _join(kind: str, parts: list[str]) -> str:
+    """The entity that consists of ``parts``, with its check digits."""
+    if kind == "ip":
+        return ".".join(parts)
+    s = "".join(parts)
+    if s.endswith("*") and kind == "card":
+        return s[:-1] + next(c for c in _DIGITS if luhn(s[:-1] + c))
+    return s[:2] + f"{98 - _mod97(s[:2] + '00' + s[2:]):02d}" + s[2:] if kind == "iban" else s
+
+
+def format_of(kind: str, normal: str) -> tuple[str, float]:
+    """(name, number of values) of an entity's format; surrogates have the format of their entity."""
+    found = slots(kind, normal)
+    if found is None:
+        return "", math.inf
+    size, name = 1.0, hashlib.blake2b(digest_size=16)
+    for x in found[1]:
+        size *= len(x)
+        name.update(f"{x[0]}\0{x[-1]}\0{len(x)}\0".encode("utf-8", "surrogatepass"))
+    return name.hexdigest(), size
+
+
+class _Permutation:
+    """A keyed permutation of 0 .. n - 1 by alternating rounds over the halves of a number, walked on while beyond n."""
+
+    def __init__(self, key: bytes, name: str, n: int):
+        self.key, self.name, self.n = key[:64], name, n
+        self.half = max(1, ((n - 1).bit_length() + 1) // 2)
+        self.mask = (1 << self.half) - 1
+
+    def _round(self, r: int, x: int) -> int:
+        h = hashlib.blake2b(f"{self.name}\0{r}\0{x}".encode("utf-8", "surrogatepass"), key=self.key, digest_size=64).digest()
+        return int.from_bytes(h, "little") & self.mask
+
+    def there(self, x: int) -> int:
+        while True:
+            a, b = x >> self.half, x & self.mask
+            for r in range(8):
+                a, b = b, a ^ self._round(r, b)
+            x = a << self.half | b
+            if x < self.n:
+                return x
+
+    def back(self, x: int) -> int:
+        while True:
+            a, b = x >> self.half, x & self.mask
+            for r in reversed(range(8)):
+                a, b = b ^ self._round(r, a), a
+            x = a << self.half | b
+            if x < self.n:
+                return x
+
+
+def _permuted(key: bytes, kind: str, normal: str) -> str:
+    """The next value of the entity's format on one keyed cycle through all of them: different entities get different
+    values, and none its own unless it is alone."""
+    parts, choices = slots(kind, normal)
+    name, size = format_of(kind, normal)
+    n = math.prod(len(x) for x in choices)
+    walk = _Permutation(key, f"{kind}\0{name}", n)
+    at = 0
+    for p, x in zip(parts, choices):
+        at = at * len(x) + list(x).index(p)
+    while True:
+        at = walk.back((walk.there(at) + 1) % n)
+        out, rest = [], at
+        for x in reversed(choices):
+            rest, k = divmod(rest, len(x))
+            out.append(x[k])
+        new = _join(kind, out[::-1])
+        if new == normal or format_of(kind, new)[0] == name:     # other values on the cycle have another format
+            return new
+
+
+@functools.lru_cache(1 << 16)
+def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
+    """The replacement, in normal form: same length and kinds of signs, valid where the original is valid."""
+    if attempt == PERMUTED:
+        return _permuted(key, kind, normal)
+    d = _Draw(key, kind, normal, attempt)
+    found = slots(kind, normal)
+    if found is not None:
+        name = format_of(kind, normal)[0]
+        for _ in range(64):
+            new = _join(kind, [x if len(x) == 1 and isinstance(x, str) else d.of(x) for x in found[1]])
+            if format_of(kind, new)[0] == name:
+                return new
+        return _permuted(key, kind, normal)
+    script = "cyrillic" if any("а" <= c <= "я" or c == "ё" for c in normal) else "latin"
+    more = attempt // 8                                  # the longer the search, the longer the names
+    syllables = "".join(d.of(_CONSONANTS[script]) + d.of(_VOWELS[script]) for _ in range(min(attempt, 4) + more if kind != "family" else 2 + d.below(2) + more))
+    return (d.of(GIVEN[kind[-1]][script]).lower() + syllables) if kind != "family" else syllables + d.of(_CONSONANTS[script])
 
 
 def render(mention: str, kind: str, new: str) -> str:
@@ -226,11 +333,14 @@ BROADCAST_ROWS = 200_000
 
 
 def exceptions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """(type, normal, attempt) of entities whose first surrogate collides with another's or with a real entity.
-
-    Of the entities of one type that share a surrogate the smallest keeps it; the others, and those whose surrogate
-    is itself an entity of the corpus, draw again until none is left. Entities are counted once per task before the
-    shuffle, so one that a third of all documents hold is a row like any other.
+    """(type, normal, attempt) of entities that don't take their first surrogate.
+
+    Formats of which the corpus holds more than CROWDED of all values (four-digit numbers, private addresses) are
+    permuted: attempt PERMUTED, always distinct, and only there may a surrogate be another real entity.  In all
+    others, the entities of one type that share a surrogate leave it to the smallest of them; the others, and those
+    whose surrogate is itself an entity of the corpus, draw again until none is left: every draw succeeds with an even
+    chance or better, as no more than a quarter of the values are real and as many taken.  Entities are counted once per
+    task before the shuffle, so one that a third of all documents hold is a row like any other.
     """
     def entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -241,16 +351,25 @@ def exceptions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
         return pd.Series([surrogate(key, k, n, a) for k, n, a in zip(kind, normal, attempt)], dtype=object)
 
     known = stored(docs.select(F.col(text).alias("t")).where("t is not null").mapInPandas(entities, "type string, normal string").distinct(), "entities")
-    all_ = stored(known.withColumn("attempt", F.lit(0)).withColumn("new", draw("type", "normal", "attempt")), "surrogates")
+    @F.pandas_udf("format string, size double")
+    def formats(kind: pd.Series, normal: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([format_of(k, n) for k, n in zip(kind, normal)], columns=["format", "size"])
+
+    sized = stored(known.withColumn("f", formats("type", "normal")).select("type", "normal", "f.format", "f.size"), "formats")
+    full = (sized.groupBy(F.col("type").alias("_k"), F.col("format").alias("_f")).agg(F.count(F.lit(1)).alias("held"), F.max("size").alias("_size"))
+                 .where((F.col("held") > CROWDED * F.col("_size")) & (F.col("_f") != "")).select("_k", "_f"))
+    started = sized.join(full, (F.col("type") == F.col("_k")) & (F.col("format") == F.col("_f")), "left")
+    started = started.select("type", "normal", F.when(F.col("_k").isNotNull(), PERMUTED).otherwise(0).alias("attempt"))
+    all_ = stored(started.withColumn("new", draw("type", "normal", "attempt")), "surrogates")
     real = known.select(F.col("type").alias("_t"), F.col("normal").alias("_n"))
     while True:
         first = all_.groupBy(F.col("type").alias("_k"), F.col("new").alias("_new")).agg(F.min("normal").alias("_first"))
         marked = (all_.join(first, (F.col("type") == F.col("_k")) & (F.col("new") == F.col("_new")))
                       .join(real, (F.col("type") == F.col("_t")) & (F.col("new") == F.col("_n")), "left")
-                      .withColumn("clash", (F.col("normal") != F.col("_first")) | F.col("_n").isNotNull()))
+                      .withColumn("clash", (F.col("attempt") != PERMUTED) & ((F.col("normal") != F.col("_first")) | F.col("_n").isNotNull())))
         marked = stored(marked.select("type", "normal", F.col("attempt") + F.col("clash").cast("int"), "new", "clash").toDF("type", "normal", "attempt", "new", "clash"), "surrogates")
         if marked.where("clash").isEmpty():
-            return marked.where("attempt > 0").select("type", "normal", "attempt")
+            return marked.where("attempt <> 0").select("type", "normal", "attempt")
         all_ = stored(marked.withColumn("new", F.when(F.col("clash"), draw("type", "normal", "attempt")).otherwise(F.col("new"))).drop("clash"), "surrogates")
 
 
