@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, cut: Cut = AT_85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; and text_key, group (its component by class id).
 
     Documents with equal sets are one class, so copies cost one row. Classes that share a band form a bucket.
-    1. Every member of a bucket is compared with the bucket's smallest class: by likelihood estimate, then full sets.
+    1. Every member of a bucket is compared with the bucket's head, the class of the smallest id: by likelihood estimate, then full sets.
     2. Buckets that still hold several components are worked through in blocks of BLOCK rows: each block returns the
        forest of its likeliest pairs across components, at most one per row, and these are verified.
     3. In buckets that then still hold several components, blocks return the rows that have a possible partner in
@@ -256,8 +256,9 @@ def near_duplicates(docs: DataFrame, cut: Cut = AT_85) -> DataFrame:
     classes = stored(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("least"), F.min(F.struct("regs", "bands")).alias("s"))
                          .select("n", "f1", "f2", "least", F.monotonically_increasing_id().alias("id"), "s.regs", "s.bands"), "classes")
     sketch = classes.select("id", "n", "regs")
-    spread = stored(classes.select("id", "n", F.posexplode("bands").alias("band", "key")), "bands")
-    heads = (spread.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    spread = stored(classes.select("id", "n", F.col("least").isNull().alias("unnamed"), "least", F.posexplode("bands").alias("band", "key")), "bands")
+    # the head is the class of the smallest id: where ids follow time, the text that the others are copies of
+    heads = (spread.groupBy("key").agg(F.min(F.struct("unnamed", "least", "id", "n")).alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1")
                    .select(F.col("key").alias("_key"), F.col("head.id").alias("head"), F.col("head.n").alias("head_n"), "members"))
     buckets = stored(spread.join(heads, F.col("key") == F.col("_key")).select("key", "band", "id", "n", "head", "head_n", "members"), "buckets")
 
