@@ -267,21 +267,49 @@ def test_mix(spark):
     want = mixing.targets({s: v[1] for s, v in by.items()})
     for s, (taken, size, target, source_size) in by.items():
         assert size == source_size and abs(target - float(want[s])) < 1e-9 and abs(taken - target) <= 0.5
-    again = mixing.taken_per_document(*mixing.mix(df))
-    assert sorted((r["doc_id"], r["taken"]) for r in again.collect()) == sorted((r["doc_id"], r["taken"]) for r in out)
     slots = {}
     for r in blocks.collect():
         slots.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    mixed = mixing.mixed_documents(df)
-    assert mixed.columns[:5] == ["doc_id", "source", "text", "size", "words"] and "shard" in mixed.columns
-    n = {}
-    for r in mixed.collect():
-        n[r["source"]] = n.get(r["source"], 0) + len(WORDS.findall(r["text"]))
-    assert n == {s: v[0] for s, v in by.items() if v[0]}
+    for cut in (True, False):
+        mixed = mixing.mixed_documents(df, cut=cut)
+        assert mixed.columns[:5] == ["doc_id", "source", "text", "size", "words"] and "shard" in mixed.columns
+        n, most = {}, {x: max(len(WORDS.findall(t or "")) for _, y, t in rows if y == x) for _, x, _ in rows}
+        for r in mixed.collect():
+            n[r["source"]] = n.get(r["source"], 0) + len(WORDS.findall(r["text"]))
+            assert cut or (r["doc_id"], r["source"], r["text"]) in {(i, x, t) for i, x, t in rows}     # whole texts only
+        if cut:
+            assert n == {s: v[0] for s, v in by.items() if v[0]}
+        else:
+            assert all(abs(n[s] - by[s][2]) <= most[s] / 2 + 1 for s in n)
     assert mixing.taken_per_document(*mixing.mix(df.limit(0))).count() == 0
 
 
+def test_mix_hangs_on_the_rows_alone(spark):
+    """Same words, shards and slots however the input is split; quotas of the tree seen in the output."""
+    rng = random.Random(15)
+    rows = [(i if i % 40 else None, rng.choice(["a", "b", None]), " ".join("w" for _ in range(rng.choice([0, 3, 30, 300])))) for i in range(300)] + [(7, "a", "same row of words")] * 9
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
+    seen = []
+    for parts in (1, 7, 40):
+        documents, blocks = mixing.mix(df.repartition(parts), shards=5, block_words=50)
+        out = mixing.taken_per_document(documents, blocks).collect()
+        seen.append(sorted(((r["doc_id"] or -1), str(r["source"]), r["size"], r["taken"], str(r["places"])) for r in out))
+        assert len(out) == len(rows) and all(r["taken"] == sum(p["words"] for p in r["places"]) for r in out)
+        for r in out:                                    # blocks of a document do not overlap within a copy
+            spans = sorted((p["copy"], p["start"], p["words"]) for p in r["places"])
+            assert all(x[0] < y[0] or x[1] + x[2] <= y[1] for x, y in zip(spans, spans[1:])) and all(p["start"] + p["words"] <= r["size"] for p in r["places"])
+        per = {}
+        for r in out:
+            for p in r["places"]:
+                per[(p["shard"], r["source"])] = per.get((p["shard"], r["source"]), 0) + 1
+        shard_sizes = [sum(n for (k, _), n in per.items() if k == s) for s in range(5)]
+        quotas = {s: sum(n for (_, x), n in per.items() if x == s) for s in ("a", "b", None)}
+        tree = mixing.splitting_tree(np.array([quotas["a"], quotas["b"], quotas[None]]), 5, 11)
+        assert tree.tolist() == [[per.get((k, s), 0) for s in ("a", "b", None)] for k in range(5)] and max(shard_sizes) - min(shard_sizes) <= 3
+    assert seen[0] == seen[1] == seen[2]
+
+
 # --- packing ---------------------------------------------------------------------------------------
 
 def fewest_bins(sizes, capacity):

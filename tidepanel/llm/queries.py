@@ -65,9 +65,9 @@ def op8_prefix_tree_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents, blocks = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    documents, blocks = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), block_words=2_000)
     taken = mixing.taken_per_document(documents, blocks)
-    return taken.select("doc_id", "size", "source_size", "target", "taken")
+    return taken.select("doc_id", "size", "source_size", "target", "taken", "places")
 
 
 @register
