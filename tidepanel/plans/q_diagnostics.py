@@ -184,6 +184,18 @@ def _(s, d):
     return dg.normality_tests(b.series(s, d))
 
 
+_SW = dg.shapiro_sql()
+
+
+@query("d13_shapiro_wilk", "series:s n:i w:6 p_value:6 normal:i", f"""WITH {b.SERIES}, r AS (SELECT series, y, row_number() OVER (PARTITION BY series ORDER BY y, ds) AS i, count(*) {_P} AS total FROM series),
+m AS (SELECT *, CASE WHEN i * 2 > total THEN {ppf_sql("((i - 0.375) / (total + 0.25))")} ELSE -{ppf_sql("((total + 1 - i - 0.375) / (total + 0.25))")} END AS m FROM r),
+g AS (SELECT series, CAST(any_value(total) AS DOUBLE) AS n, sum(m * m) AS mm, sum(m * y) AS xm, max(m) AS m1, max(m) FILTER (i = total - 1) AS m2, max(y) - min(y) AS xe1, max(y) FILTER (i = total - 1) - max(y) FILTER (i = 2) AS xe2, var_pop(y) * count(*) AS ss FROM m GROUP BY 1),
+a AS (SELECT *, {_SW["a1"]} AS a1, {_SW["a2"]} AS a2 FROM g), w AS (SELECT *, {_SW["w"]} AS w FROM a), z AS (SELECT *, {_SW["z"]} AS z FROM w)
+SELECT series, n, w, 1 - {cdf_sql("z")} AS p_value, CAST(1 - {cdf_sql("z")} >= 0.05 AS INT) AS normal FROM z""")
+def _(s, d):
+    return dg.shapiro_wilk(b.series(s, d))
+
+
 @query("d14_zero_runs", "series:s start_ds:d end_ds:d days:i", f"""WITH {b.SERIES}, z AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ds) - row_number() OVER (PARTITION BY series, y = 0 ORDER BY ds) AS g FROM series)
 SELECT series, min(ds) AS start_ds, max(ds) AS end_ds, count(*) AS days FROM z WHERE y = 0 GROUP BY series, g HAVING count(*) >= 2""")
 def _(s, d):

@@ -172,10 +172,10 @@ def _(s, d):
     return news.pivot_scorers(news.daily_sentiment(art(s, d)), SCORERS)
 
 
-@query("a10_daily_news_complete", "ds:d n_news:i polarity:6", f"""WITH {ART}, g AS (SELECT business_date AS ds, count(*) AS n_news, avg(polarity) AS polarity FROM art WHERE k > 20 AND isodow(business_date) < 6 GROUP BY 1)
+@query("a10_daily_news_complete", "ds:d n_news:i polarity:6", f"""WITH {ART}, g AS (SELECT business_date AS ds, count(*) AS n_news, avg(polarity) AS polarity FROM art GROUP BY 1)
 SELECT c.ds, coalesce(n_news, 0) AS n_news, polarity FROM (SELECT CAST(unnest(generate_series(min(ds), max(ds), INTERVAL 1 DAY)) AS DATE) AS ds FROM g) c LEFT JOIN g USING (ds)""")
 def _(s, d):
-    return news.daily_complete(art(s, d).filter("k > 20").filter(F.weekday("business_date") < 5).withColumnRenamed("business_date", "ds"))
+    return news.daily_complete(art(s, d).withColumnRenamed("business_date", "ds"))
 
 
 # Panel calendar: weekdays of the news span without a long holiday block.

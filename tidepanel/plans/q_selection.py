@@ -7,12 +7,14 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from tidepanel.operators import features as ft
+from tidepanel.operators import learners as ml
 from tidepanel.operators import nodes
 from tidepanel.operators import selection as sel
 from tidepanel.plans import base as b
 from tidepanel.plans import q_etl as qe
 from tidepanel.plans import q_features as qf
 from tidepanel.plans.registry import query
+from tidepanel.session import cut_lineage
 
 LEAVES = nodes.leaf_nodes(qe.TREE_SIMPLE)
 _LEAF = f"{qe.PANEL_SIMPLE}, leaf AS (SELECT node AS series, ds, value AS y FROM panel WHERE node IN ({qe._LEAVES}))"
@@ -188,3 +190,75 @@ _FAM = " ".join(f"WHEN regexp_matches(feature, '{p}') THEN '{n}'" for n, p in se
 SELECT *, weight / sum(weight) OVER (PARTITION BY series) AS share FROM g""")
 def _(s, d):
     return sel.family_shares(_rel(s, d))
+
+
+# --- the whole pool: all candidates compete, at the sizes that applications use ------------------------------------------
+
+SIZES = (12, 25)
+
+
+def pool(s, d, market: bool = False):
+    """(rows, names): every series with all its candidates, and lags of the two market series among them."""
+    if not market:
+        return ml.pool_features(b.series(s, d), qf.SW)
+    wide = qf.market_joined(s, d)
+    ext = {f"ext_{c}_lag_{k}": f"CASE WHEN y <> 0 THEN {qf.SW.sql_lag(k, c)} END" for c in ("A", "N") for k in range(1, 16)}
+    x, names = ml.pool_features(b.series(s, d), qf.SW)
+    return x.join(ft.add(wide, ext).select("series", "ds", *ext), ["series", "ds"]), [*names, *ext]
+
+
+def pool_ranks(s, d, market: bool = False):
+    x, names = pool(s, d, market)
+    return sel.feature_ranks(sel.long_features(x, names))
+
+
+def _by_size(build, sizes=SIZES):
+    out = None
+    for k in sizes:
+        x = build(k).withColumn("k", F.lit(k))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("f4_pool_relevance", "series:s feature:s score:6")
+def _(s, d):
+    """Relevance of all 116 candidates of every series."""
+    return sel.spearman_relevance(pool_ranks(s, d))
+
+
+@query("f5_pool_mrmr", "k:i series:s step:i feature:s score:6")
+def _(s, d):
+    """12 and 25 of the whole pool by relevance less redundancy; the first 12 steps are the smaller choice."""
+    picked = sel.mrmr_select(pool_ranks(s, d), max(SIZES))
+    return picked.withColumn("k", F.explode(F.array(*[F.lit(k) for k in SIZES]))).where("step <= k")
+
+
+@query("f6_pool_top_k", "k:i series:s feature:s score:6 rank:i")
+def _(s, d):
+    scores = cut_lineage(sel.spearman_relevance(pool_ranks(s, d)))          # one row per series and candidate
+    return _by_size(lambda k: sel.top_k(scores, k))
+
+
+@query("f7_pool_volatility_quota", "k:i series:s feature:s score:6 rank:i")
+def _(s, d):
+    """Top features of the whole pool with a quarter of the places kept for volatility."""
+    scores = cut_lineage(sel.spearman_relevance(pool_ranks(s, d)))
+    volatile = F.col("feature").rlike("std|volatil")
+    return _by_size(lambda k: sel.volatility_quota(scores, volatile, k, k // 4))
+
+
+@query("f9_pool_market_slots", "rule:s k:i series:s chosen:i market:i")
+def _(s, d):
+    """How many of 12 and 25 chosen come from the market, when its 30 lags compete with the whole pool."""
+    ranks = pool_ranks(s, d, market=True)
+    out = None
+    for rule, beta in (("mrmr", 1.0), ("relevance", 0.0)):
+        chosen = cut_lineage(sel.mrmr_select(ranks, max(SIZES), beta))
+        x = _by_size(lambda k: sel.market_slots(chosen.where(F.col("step") <= k))).withColumn("rule", F.lit(rule))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+@query("f10_pool_family_shares", "series:s family:s weight:6 features:i share:6")
+def _(s, d):
+    return sel.family_shares(sel.spearman_relevance(pool_ranks(s, d)))
