@@ -145,6 +145,7 @@ CROWDED = 0.25
 _DIGITS, _HEX = "0123456789", "0123456789abcdef"
 
 
+@functools.lru_cache(4096)
 def _alike(c: str):
     """All signs of the kind of ``c``: digits for a digit, letters of its script and case for a letter, else itself."""
     if c.isascii() and c.isdigit():
@@ -155,6 +156,7 @@ def _alike(c: str):
     return _KIND[low] if c == low else [x.upper() if len(x.upper()) == 1 else x for x in _KIND[low]]
 
 
+@functools.lru_cache(4096)
 def _octets(p: str, first: bool) -> list[str]:
     """Numbers of an address that are written as long as ``p`` is: those in use, or those that are not (zeros ahead, the
     ends of the first number), whichever it belongs to."""
@@ -355,7 +357,9 @@ def exceptions(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     def formats(kind: pd.Series, normal: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([format_of(k, n) for k, n in zip(kind, normal)], columns=["format", "size"])
 
-    sized = stored(known.withColumn("f", formats("type", "normal")).select("type", "normal", "f.format", "f.size"), "formats")
+    many = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = known.repartition(many, "type", "normal")   # small rows, long work: by bytes they would be one task
+    sized = stored(spread.withColumn("f", formats("type", "normal")).select("type", "normal", "f.format", "f.size"), "formats")
     full = (sized.groupBy(F.col("type").alias("_k"), F.col("format").alias("_f")).agg(F.count(F.lit(1)).alias("held"), F.max("size").alias("_size"))
                  .where((F.col("held") > CROWDED * F.col("_size")) & (F.col("_f") != "")).select("_k", "_f"))
     started = sized.join(full, (F.col("type") == F.col("_k")) & (F.col("format") == F.col("_f")), "left")
