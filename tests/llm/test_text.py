@@ -63,6 +63,15 @@ def test_noise_words_are_a_prior(spark):
     assert all(got[10 * k + i] == f"Head {i}\nFirst paragraph {i} of it, which is the text." for k in range(4) for i in range(4))
 
 
+def test_a_form_around_the_page_is_entered(spark):
+    page = ("<body><form id='aspnetForm'><input type=hidden value=x><div class=top><a href=/>Home</a></div><div class=story><h2>Head {i}</h2><p>The text of page {i} is here, in some words."
+            "<p>And more of it, number {i}.</div><label>Your name</label><input name=n><button>Send</button></form><form class=find><label>Find</label><p>Type a word</p></form></body>")
+    want = "Head 1\nThe text of page 1 is here, in some words.\nAnd more of it, number 1."
+    assert pages.extract(page.format(i=1), None).endswith(want) and "Send" not in pages.extract(page.format(i=1), None)
+    got = dict(texts(pages.extract_pages(page_rows(spark, [(i, "http://f.example/", page.format(i=i)) for i in range(5)]))))
+    assert got[1] == want
+
+
 def test_constant_block_in_the_article_is_template(spark):
     page = "<body><article><h1>Head {i}</h1><div class=hint>Write to us at any time</div><p>First paragraph {i} of it, which is the text.</article>"
     rows = [(i, "http://t.example/", page.format(i=min(i, 4))) for i in range(8)]

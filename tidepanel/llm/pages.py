@@ -25,7 +25,7 @@ ENDS_P = frozenset("address article aside blockquote center details dialog dir d
                    "hgroup hr main menu nav ol p pre section summary table ul".split())
 ENDS = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option", "thead": "tr td th", "tbody": "tr td th thead tbody", "tfoot": "tr td th tbody"}
 LIMITS = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "option": "select"}
-NOISE_TAGS = frozenset("nav aside footer form script style noscript template iframe object embed svg canvas button select option input textarea menu dialog head title "
+NOISE_TAGS = frozenset("nav aside footer label script style noscript template iframe object embed svg canvas button select option input textarea menu dialog head title "
                        "link meta applet map audio video xmp noembed noframes datalist".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar tablist note".split())
 NOISE_WORDS = frozenset("ad ads adsbygoogle adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored sidebar nav navbar navigation menu breadcrumb "
@@ -52,11 +52,12 @@ class Node:
 def _element(tag: str, attributes: str, inside: bool) -> Node:
     """A node with its label (tag, id and classes) and whether its role is not content; ``inside``: of an article.
 
-    It is doubtful if only its id or classes say so: their words are a prior, which ``choose_room`` may overrule.
+    It is doubtful if only its id or classes say so: their words are a prior, which ``choose_room`` may overrule.  So is
+    a form, which may wrap the whole page; its controls and their labels are not content in any case.
     """
     noise = tag in NOISE_TAGS or (tag == "header" and not inside)
     if "=" not in attributes and "hidden" not in attributes:
-        return Node(tag, tag, noise)
+        return Node(tag, tag, noise, tag == "form")
     at = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = " ".join(html.unescape(at.get(k, "")) for k in ("id", "class"))
     words = {w.lower() for t in names.split() if not _STATE.match(t) for w in _WORDS.findall(t)}
@@ -68,7 +69,7 @@ def _element(tag: str, attributes: str, inside: bool) -> Node:
     hidden = "hidden" in at or at.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", at.get("style", ""))
     noise = noise or bool(hidden) or at.get("role", "").lower() in NOISE_ROLES
     label = tag + "".join(f".{w}" for w in sorted(set(re.sub(r"\d+", "", names).split())))
-    return Node(tag, "main" if at.get("role") == "main" and tag not in ROOMS else label, noise, bool(bad) and not noise)
+    return Node(tag, "main" if at.get("role") == "main" and tag not in ROOMS else label, noise, (bool(bad) or tag == "form") and not noise)
 
 
 class _Open(list):
