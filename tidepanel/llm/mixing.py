@@ -13,6 +13,8 @@ from tidepanel.llm.sharding import multivariate
 
 #: Words in a block where documents aren't to be split: more than any document has.
 WHOLE = 1 << 40
+#: Neighbouring documents of a shard that are written together.
+RUN = 5_000
 #: A document is taken at most so many times.
 MOST = 3
 
@@ -139,8 +141,8 @@ def first_words(text, n):
 
 
 def mixed_documents(docs: DataFrame, shards: int = 32, weights=(1, 2, 3), seed: int = 11, cut: bool = False) -> DataFrame:
-    """The mix itself: a row of ``docs`` for every time a document is taken, with its shard and slot, shard by shard in
-    the order of the slots.
+    """The mix itself: a row of ``docs`` for every time a document is taken, with its shard and slot, in runs of RUN
+    neighbours of a shard, in the order of the slots.
 
     Documents stay whole: the one at which its source's target is met is taken or left, whichever is nearer.  With
     ``cut`` it ends after the word that meets the target. Columns are those of ``docs`` plus shard and slot (which
@@ -158,4 +160,6 @@ def mixed_documents(docs: DataFrame, shards: int = 32, weights=(1, 2, 3), seed:
         text = F.col("text")
     out = once.join(chosen, F.col("_key") == F.col("_k")).withColumn("text", text)
     own = [c for c in docs.columns if c not in ("shard", "slot")]
-    return out.select(*own, F.col("_mix_shard").alias("shard"), F.col("_mix_slot").alias("slot")).repartition("shard").sortWithinPartitions("shard", "slot")
+    placed = out.select(*own, F.col("_mix_shard").alias("shard"), F.col("_mix_slot").alias("slot"))
+    run = F.floor(F.col("slot") / RUN)                   # a shard may be larger than a task
+    return placed.repartition("shard", run).sortWithinPartitions("shard", "slot")
