@@ -279,7 +279,7 @@ def _permuted(key: bytes, kind: str, normal: str) -> str:
             return new
 
 
-@functools.lru_cache(1 << 16)
+@functools.lru_cache(1 << 12)
 def surrogate(key: bytes, kind: str, normal: str, attempt: int = 0) -> str:
     """The replacement, in normal form: same length and kinds of signs, valid where the original is valid."""
     if attempt == PERMUTED:
