@@ -9,6 +9,7 @@ from tidepanel.operators import lagmodels as lm
 from tidepanel.operators import learners as ml
 from tidepanel.operators import quantile as qr
 from tidepanel.operators import smoothing as sm
+from tidepanel.operators import vector as vr
 from tidepanel.plans import base as b
 from tidepanel.plans import q_learners as ql
 from tidepanel.plans.registry import query
@@ -65,6 +66,13 @@ def _(s, d):
     return lm.arma_forecast(b.series(s, d), 20)
 
 
+@query("m12_vector_forecasts", "series:s h:i method:s pred:3")
+def _(s, d):
+    """All series from one vector autoregression, twenty days ahead, and their total."""
+    f = vr.vector_forecasts(s, vr.fit_vector(b.series(s, d)), 20)
+    return f.unionByName(f.groupBy("h", "method").agg(F.sum("pred").alias("pred")).withColumn("series", F.lit("total")))
+
+
 # --- exponential smoothing: the recursion day by day, for every grid point ------------------------------------------------
 
 def _smooth_sql(grid: str) -> str:
