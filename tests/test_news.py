@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidepanel.operators import news, tables
@@ -183,6 +184,11 @@ def _land(spark, path, rows):
     spark.createDataFrame([(u, i, dt.datetime.fromisoformat(t), "t", p, "s") for u, i, t, p in rows], ARTICLE).coalesce(1).write.mode("append").parquet(path)
 
 
+def _feed_of(spark, path, rows):
+    _land(spark, str(path), rows)
+    return feed.read_feed(spark, str(path), ARTICLE)
+
+
 def test_late_rows_are_kept_and_repeats_are_not(spark, tmp_path):
     landing, store, table = (str(tmp_path / x) for x in ("landing", "store", "table"))
     order = ["published_utc", "event_id"]
@@ -195,6 +201,45 @@ def test_late_rows_are_kept_and_repeats_are_not(spark, tmp_path):
     assert got == {("2024-03-05", 2, 0.6), ("2024-03-25", 1, 0.1), ("2024-02-02", 1, 0.2)}
 
 
+def test_a_batch_is_counted_without_the_rows_of_the_store(spark, tmp_path, monkeypatch):
+    landing, store, table, ck = (str(tmp_path / x) for x in ("landing", "store", "table", "ck"))
+    feed.stream_dedup(_feed_of(spark, tmp_path / "old", [("old", 0, "2024-03-05T00:30:00", 0.1), ("none", 9, "2024-03-05T00:40:00", None)]), store, str(tmp_path / "ck0"), ["event_id"])
+    counted, real = [], feed._day_sums
+    monkeypatch.setattr(feed, "_day_sums", lambda df, *a: counted.append(df.count()) or real(df, *a))
+    chunks = [[("a", 1, "2024-03-05T01:00:00", 0.5), ("b", 2, "2024-03-05T10:00:00", 0.25)], [("a", 3, "2024-03-05T01:00:00", 0.9)], [("c", 4, "2024-03-05T02:00:00", 0.75)]]
+    for rows in chunks:
+        _land(spark, landing, rows)
+        feed.tumbling_from_store(feed.read_feed(spark, landing, ARTICLE), store, table, ck, ["event_id"])
+    assert counted == [2, 2, 0, 1]                          # the store of before once, then new rows only
+    want = {("2024-03-05", 3, 0.45), ("2024-03-06", 1, 0.25)}
+    read = lambda: {(str(r.business_date), r.n_news, round(r.polarity, 6)) for r in feed.latest_revision(spark, table, ["business_date", "scorer"]).collect()}
+    assert read() == want
+    feed.tumbling_from_store(feed.read_feed(spark, landing, ARTICLE), store, table, str(tmp_path / "ck2"), ["event_id"])          # all pulled again by another stream
+    assert read() == want
+
+
+@pytest.mark.parametrize("when", ["rows", "revision"])
+def test_a_replayed_batch_is_counted_once(spark, tmp_path, monkeypatch, when):
+    landing, store, table, ck = (str(tmp_path / x) for x in ("landing", "store", "table", "ck"))
+    pull = lambda: feed.tumbling_from_store(feed.read_feed(spark, landing, ARTICLE), store, table, ck, ["event_id"])
+    _land(spark, landing, [("a", 1, "2024-03-05T01:00:00", 0.5)])
+    pull()
+    _land(spark, landing, [("b", 2, "2024-03-05T02:00:00", 0.25), ("a", 3, "2024-03-05T01:00:00", 0.9)])
+    once, real = feed._write_once, feed._means
+
+    def stop(*_):
+        raise RuntimeError("the driver is gone")
+
+    with monkeypatch.context() as m:                         # either before the rows are stored or after
+        m.setattr(feed, "_write_once", lambda s, path, rows: once(s, path, rows) or (stop() if path.endswith("batch=1") else None)) if when == "rows" else m.setattr(feed, "_means", stop)
+        with pytest.raises(StreamingQueryException):
+            pull()
+    assert spark.read.parquet(store).count() == (1 if when == "rows" else 2) and feed._means is real
+    pull()
+    assert sorted(r.uid for r in spark.read.parquet(store).collect()) == ["a", "b"]
+    assert [(r.n_news, r.polarity) for r in feed.latest_revision(spark, table, ["business_date", "scorer"]).collect()] == [(2, 0.375)]
+
+
 def test_ingest_reads_only_the_days_of_a_batch(spark, tmp_path, monkeypatch):
     landing, store = str(tmp_path / "landing"), str(tmp_path / "store")
     _land(spark, landing, [(f"u{d}", d, f"2024-03-{d:02d}T01:00:00", 0.5) for d in range(1, 20)])
